@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from panelforge.llm import exact_dedup, mixing, packing, quality_rules
+from panelforge.llm import chat, exact_dedup, mixing, packing, quality_rules, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_chat": chat.op2_chat,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
+    "op2_chat": chat.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
