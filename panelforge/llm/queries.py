@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from panelforge.llm import chat, exact_dedup, mixing, packing, quality_rules, simhash
+from panelforge.llm import chat, exact_dedup, katz, mixing, packing, quality_rules, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_chat": chat.op2_chat,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
+    "op7_katz": katz.op7_katz,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
