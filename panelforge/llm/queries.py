@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panelforge.llm import chat, exact_dedup, katz, mixing, packing, quality_rules, simhash
+from panelforge.llm import chat, exact_dedup, katz, mixing, packing, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_chat": chat.op2_chat,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
     "op7_katz": katz.op7_katz,
