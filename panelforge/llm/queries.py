@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.llm import chat, exact_dedup, katz, mixing, packing, quality_rules, simhash, toxicity
+from panelforge.llm import chat, exact_dedup, katz, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
     "op7_katz": katz.op7_katz,
+    "op8_substrings": substring_dedup.op8_substrings,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
