@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.llm import chat, exact_dedup, katz, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
+from panelforge.llm import chat, exact_dedup, katz, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_mixing": mixing.op4_mixing,
     "op5_packing": packing.op5_packing,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_katz": katz.op7_katz,
     "op8_substrings": substring_dedup.op8_substrings,
     "op9_quality_rules": quality_rules.op9_quality_rules,
