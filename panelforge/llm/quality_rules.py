@@ -13,33 +13,35 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 HOST_LIMIT = 0.5
 
 
-def n_repeat_words(ws: Column, window: int = WINDOW) -> Column:
-    """Words inside windows of `window` words that occur twice or more in the array (window is a power of two).
+def _neighbours(array: str, distance: int, f) -> Column:
+    """f of each element and the one `distance` further on."""
+    n = F.greatest(F.size(array) - F.lit(distance), F.lit(0))
+    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(array, F.lit(distance + 1), n), f)
 
-    Windows are compared by a 64-bit hash built by doubling (words, pairs, fours, eights). If all are
-    distinct the answer is 0; else the (hash, place) pairs are sorted, places whose neighbour has the same
-    hash are kept, and the union of their spans is summed. Work is n log n for a text of n words.
+
+def with_repeat_words(df: DataFrame, ws: str, window: int = WINDOW) -> DataFrame:
+    """Adds n_repeat_words: words inside windows of `window` words that occur twice or more in array `ws`.
+
+    Windows (a power of two of words) are compared by a 64-bit hash built by doubling: words, pairs, fours,
+    eights. If all are distinct the answer is 0; else the (hash, place) pairs are sorted, places whose
+    neighbour has the same hash are kept, and the union of their spans is summed. Work is n log n for a
+    text of n words. Each step is a column of its own, as a nested expression would be evaluated anew at
+    each of its uses.
     """
-    h = F.transform(ws, lambda w: F.xxhash64(w))
+    df = df.withColumn("_h", F.transform(ws, lambda w: F.xxhash64(w))).drop(ws)
     span = 1
     while span < window:
-        n = F.size(h) - F.lit(span)
-        # h[i] and h[i + span]
-        h = F.when(n > 0, F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(span + 1), n), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+        df = df.withColumn("_g", _neighbours("_h", span, lambda a, b: F.xxhash64(a, b))).drop("_h").withColumnRenamed("_g", "_h")
         span *= 2
-    return h
-
-
-def covered(h: Column, window: int = WINDOW) -> Column:
-    """Positions covered by windows whose hash is repeated in the array of window hashes."""
-    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    n = F.size(h)
-    same = F.zip_with(F.slice(pairs, F.lit(1), n - 1), F.slice(pairs, F.lit(2), n - 1),
-                      lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    places = F.sort_array(F.array_distinct(F.flatten(same)))
-    m = F.size(places)
-    steps = F.zip_with(F.slice(places, F.lit(1), m - 1), F.slice(places, F.lit(2), m - 1), lambda a, b: F.least(b - a, F.lit(window)))
-    return F.aggregate(steps, F.lit(window).cast("long"), lambda acc, x: acc + x)
+    df = df.withColumn("_n", F.size(F.array_distinct("_h")))
+    pairs = F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    df = df.withColumn("_p", F.when(F.col("_n") < F.size("_h"), F.sort_array(pairs)).otherwise(none)).drop("_h", "_n")
+    same = _neighbours("_p", 1, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("_p", F.sort_array(F.array_distinct(F.flatten(same))))
+    df = df.withColumn("_s", _neighbours("_p", 1, lambda a, b: F.least(b - a, F.lit(window))))
+    total = F.aggregate("_s", F.lit(window).cast("long"), lambda acc, x: acc + x)
+    return df.withColumn("n_repeat_words", F.when(F.size("_p") > 0, total).otherwise(0).cast("long")).drop("_p", "_s")
 
 
 def features(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
@@ -58,10 +60,9 @@ def features(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
         F.length(F.translate("_t", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        n_repeat_words(F.col("_w")).alias("_h"),
+        "_w",
     )
-    repeated = F.when(F.size(F.array_distinct("_h")) == F.size("_h"), F.lit(0).cast("long")).otherwise(covered(F.col("_h")))
-    base = base.withColumn("n_repeat_words", repeated).drop("_h")
+    base = with_repeat_words(base, "_w")
     return base.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
