@@ -102,12 +102,15 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of documents that pass their own rules and come from a host that passes; texts are read twice, not shuffled."""
+    """The rows of documents that pass their own rules and come from a host that passes.
+
+    The rated rows are written once with their texts: a filter on the rules over a plan that computes them
+    would be pushed below it, and so compute them anew at every mention.
+    """
     whole = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    base = features(docs, F.col("text"), [F.col("source").cast("string").alias("host")]).select("host", "base_failed")
-    verdicts = host_verdicts(base).where("host_ok").select(F.col("host").alias("v_host"))
-    rated = features(docs, F.col("text"), [*whole, F.col("source").cast("string").alias("host")]).where("not base_failed")
-    kept = rated.join(verdicts, F.col("host").eqNullSafe(F.col("v_host")), "left_semi")
+    rated = written(features(docs, F.col("text"), [*whole, F.col("source").cast("string").alias("host")]).select(*[f"c{i}" for i in range(len(whole))], "host", "base_failed"))
+    verdicts = host_verdicts(rated).where("host_ok").select(F.col("host").alias("v_host"))
+    kept = rated.where("not base_failed").join(verdicts, F.col("host").eqNullSafe(F.col("v_host")), "left_semi")
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
