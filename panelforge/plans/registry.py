@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from panelforge.plans import feature_queries
+
+_PARTS = [feature_queries]
 QUERIES: dict = {}
 SQL: dict = {}
+for _part in _PARTS:
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL
