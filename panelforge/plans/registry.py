@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from panelforge.plans import feature_queries
+from panelforge.plans import feature_queries, panel_queries
 
-_PARTS = [feature_queries]
+_PARTS = [feature_queries, panel_queries]
 QUERIES: dict = {}
 SQL: dict = {}
 for _part in _PARTS:
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
+
+
+def flagship(spark, sf_dir):
+    """Daily top and bottom decile spread of 20-session momentum."""
+    return QUERIES["b1_daily_baskets"](spark, sf_dir)

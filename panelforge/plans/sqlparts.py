@@ -54,3 +54,31 @@ def select(cols: dict[str, str], source: str, keys: str = "symbol, CAST(date AS
     """Rounded double columns after the keys."""
     body = ", ".join(f"round({x}, {digits}) + 0.0 AS {n}" for n, x in cols.items())
     return f"{head} SELECT {keys}, {body} FROM {source} {tail}"
+
+FEAT = f"""feat AS (SELECT symbol, sector, date, session_ix, close, volume, r1, {ret(5)} AS r5, {ret(20)} AS r20, {ret(60)} AS r60,
+ {roll('stddev_samp', 'r1', 20)} AS vol20, close / ({roll('avg', 'close', 20)}) - 1 AS vs_sma20, close / ({roll('avg', 'close', 50)}) - 1 AS vs_sma50,
+ volume / ({roll('avg', 'volume', 20)}) AS volume_ratio, {lead('close', 15)} / {lead('close', 1)} - 1 AS outcome, {lead('close', 14)} / close - 1 AS same_close FROM p)"""
+CONTEXT = """ctx AS (SELECT sector, date, etf_close / lag(etf_close, 20) OVER w - 1 AS sector_r20,
+ CASE WHEN count(s1) OVER x = 20 THEN stddev_samp(s1) OVER x END AS sector_vol20, lead(etf_close, 15) OVER w / lead(etf_close, 1) OVER w - 1 AS sector_forward
+ FROM (SELECT *, etf_close / lag(etf_close) OVER (PARTITION BY sector ORDER BY date) - 1 AS s1 FROM etf)
+ WINDOW w AS (PARTITION BY sector ORDER BY date), x AS (PARTITION BY sector ORDER BY date ROWS 19 PRECEDING))"""
+GRADE = "CASE WHEN {0} >= 0.9 THEN 4 WHEN {0} >= 0.8 THEN 3 WHEN {0} <= 0.1 THEN 0 WHEN {0} <= 0.2 THEN 1 ELSE 2 END"
+PREDS = f"""sc AS (SELECT symbol, sector, date, session_ix, close, r20 AS score, -vol20 AS low_vol, r5 AS short, vol20, vs_sma20, outcome,
+ CASE WHEN outcome IS NOT NULL THEN {GRADE.format('(' + pct('outcome', 'date') + ')')} END AS grade FROM feat),
+kn AS (SELECT * FROM sc WHERE score IS NOT NULL AND outcome IS NOT NULL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS place, count(*) OVER (PARTITION BY date) AS n FROM kn),
+dc AS (SELECT *, CAST(CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ceil(least(n, 10) * (row_number() OVER (PARTITION BY date ORDER BY score, symbol) - 1) / (n - 1))) END AS INTEGER) AS decile FROM rk),
+dy AS (SELECT date, max(n) AS n, avg(outcome) FILTER (place <= k) AS top_mean, median(outcome) FILTER (place <= k) AS top_median,
+ avg(CAST(outcome > 0 AS INTEGER)) FILTER (place <= k) AS top_hit, avg(outcome) FILTER (place > n - k) AS bottom_mean, median(outcome) FILTER (place > n - k) AS bottom_median,
+ avg(grade) FILTER (place <= k) AS top_grade FROM (SELECT *, greatest(1, ceil(n * 0.1)) AS k FROM rk) GROUP BY date),
+daily AS (SELECT *, top_mean - bottom_mean AS spread, top_median - bottom_median AS spread_median FROM dy)"""
+FULL = f"{ALL}, {FEAT}, {CONTEXT}, {PREDS}"
+D = "CAST(date AS VARCHAR) AS date"
+
+
+def r(x: str, name: str | None = None, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0 AS {name or x}"
+
+
+def rs(*names: str) -> str:
+    return ", ".join(r(n) for n in names)
