@@ -26,7 +26,7 @@ REACH, WINDOW = LENGTH - GRAM, LENGTH - GRAM + 1
 #: Texts are hashed in chunks of about so many bytes; longer texts in overlapping segments.
 CHUNK, OVERLAP = 1 << 19, 512
 #: Anchors with more classes than this are settled by window hashes instead, which no group has to be gathered for.
-GROUP = 512
+GROUP = 16384
 NO_ID = -(1 << 63)
 
 
@@ -104,10 +104,11 @@ def _pieces(texts) -> Iterator[list[tuple[int, int, int, bytes]]]:
         yield held
 
 
-_ANCHOR = "doc_id long, th long, pos long, h long, c long, before int, after int"
+_ANCHOR = "doc_id long, th long, h long, c long, before int, after int, places array<long>"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(id, text hash, anchor, context, bytes before, bytes from it, place) of all anchors, by chunk."""
     for b in batches:
         ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
         for pieces in _pieces(b.column(2).to_pylist()):
@@ -115,9 +116,26 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.array([x[0] for x in pieces])[piece]
             pos = pos + np.array([x[1] for x in pieces])[piece]
             first = np.array([x[2] for x in pieces])[piece]
-            own = (pos >= first) & (pos < first + CHUNK)
-            cols = [ids[doc], ths[doc], pos.astype(np.int64), h, c, before.astype(np.int32), after.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in cols], ["doc_id", "th", "pos", "h", "c", "before", "after"])
+            own = np.flatnonzero((pos >= first) & (pos < first + CHUNK))
+            if len(own):
+                yield ids[doc[own]], ths[doc[own]], h[own], c[own], before[own], after[own], pos[own]
+
+
+def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, _, h, *_ in _found(batches):
+        h, n = np.unique(h, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for a document's places with the same context, as in runs of one word."""
+    for ids, ths, h, c, before, after, pos in _found(batches):
+        order = np.lexsort((pos, c, ths, ids))
+        ids, ths, h, c, before, after, pos = (x[order] for x in (ids, ths, h, c, before, after, pos))
+        new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (ths[1:] != ths[:-1]) | (c[1:] != c[:-1])]))
+        places = pa.ListArray.from_arrays(pa.array(np.append(new, len(pos)).astype(np.int32)), pa.array(pos.astype(np.int64)))
+        cols = [ids[new], ths[new], h[new], c[new], before[new].astype(np.int32), after[new].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in cols], places], ["doc_id", "th", "h", "c", "before", "after", "places"])
 
 
 def prefix_intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
@@ -199,11 +217,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, th, a, b): byte ranges of documents (doc_id, th, data) that are covered by repeated strings; they may overlap."""
-    found = written(docs.mapInArrow(_anchor_rows, _ANCHOR))
-    where = F.struct("doc_id", "th", "pos", "before", "after")
-    classes = written(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(where).alias("at")))
+    repeated = written(docs.mapInArrow(_anchor_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    found = written(docs.mapInArrow(_anchor_rows, _ANCHOR).join(repeated, "h", "left_semi"))
+    where = F.struct("doc_id", "th", F.col("places")[0].alias("pos"), "before", "after")
+    classes = written(found.groupBy("h", "c").agg(F.sum(F.size("places")).alias("n"), F.min(where).alias("at")))
     groups = classes.groupBy("h").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("fewest")).where("classes > 1 and fewest = 1")
     settled = found.where(F.col("before") + F.col("after") >= LENGTH).join(classes.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
+    settled = settled.select("doc_id", "th", "before", "after", F.explode("places").alias("pos"))
     spans = settled.select("doc_id", "th", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b"))
     asked = classes.join(groups.select("h", "classes"), "h").select("h", "classes", (F.col("n") == 1).alias("single"), "at.*")
     placed = asked.join(docs, ["doc_id", "th"]).select(
@@ -213,6 +233,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     placed = written(placed)
     lists = placed.where(F.col("classes") <= GROUP).groupBy("h").agg(F.collect_list(F.struct("doc_id", "th", "pos", "single", "before", "after")).alias("members"))
     spans = spans.unionByName(lists.select("members").mapInArrow(_group_spans, _SPAN))
+    if placed.where(F.col("classes") > GROUP).isEmpty():
+        return spans
     windows = placed.where(F.col("classes") > GROUP).select("h", "doc_id", "th", "pos", "single", "before", "after")
     windows = windows.mapInArrow(_window_rows, "h long, doc_id long, th long, a long, w long, single boolean")
     twice = windows.groupBy("h", "w").count().where("count > 1").select("h", "w")
