@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from panelforge.functions.semantics import lead, pct_rank, ratio, rolling, share_true
 from panelforge.operators.features import ret
 
-C = F.col("close")
-
 
 def base_features(panel: DataFrame) -> DataFrame:
     """The columns that ranks, labels and setups read; one shuffle by symbol."""
     df = panel.withColumn("r1", ret(1))
     return df.select(
         "symbol", "sector", "date", "session_ix", "close", "volume", "r1", *[ret(k).alias(f"r{k}") for k in (5, 20, 60)],
-        rolling(F.stddev_samp, F.col("r1"), 20).alias("vol20"), (C / rolling(F.avg, C, 20) - 1).alias("vs_sma20"),
-        (C / rolling(F.avg, C, 50) - 1).alias("vs_sma50"), (F.col("volume") / rolling(F.avg, F.col("volume"), 20)).alias("volume_ratio"),
+        rolling(F.stddev_samp, F.col("r1"), 20).alias("vol20"), (F.col("close") / rolling(F.avg, F.col("close"), 20) - 1).alias("vs_sma20"),
+        (F.col("close") / rolling(F.avg, F.col("close"), 50) - 1).alias("vs_sma50"), (F.col("volume") / rolling(F.avg, F.col("volume"), 20)).alias("volume_ratio"),
     )
 
 
@@ -64,18 +62,18 @@ def breadth(df: DataFrame) -> DataFrame:
 
 
 def forward_same_close(df: DataFrame, h: int = 14) -> DataFrame:
-    return df.select("symbol", "date", (ratio(lead(C, h), C) - 1).alias("forward_return"))
+    return df.select("symbol", "date", (ratio(lead(F.col("close"), h), F.col("close")) - 1).alias("forward_return"))
 
 
 def forward_next_close(df: DataFrame, h: int = 14) -> DataFrame:
     """Entry at the next close, exit h sessions later."""
-    return df.select("symbol", "date", (ratio(lead(C, h + 1), lead(C, 1)) - 1).alias("forward_return"))
+    return df.select("symbol", "date", (ratio(lead(F.col("close"), h + 1), lead(F.col("close"), 1)) - 1).alias("forward_return"))
 
 
 def worst_path(df: DataFrame, h: int = 14) -> DataFrame:
     """Worst return from entry along the path, unknown closes skipped."""
     w = Window.partitionBy("symbol").orderBy("date").rowsBetween(1, h + 1)
-    return df.select("symbol", "date", (ratio(F.min("close").over(w), lead(C, 1)) - 1).alias("worst_path"))
+    return df.select("symbol", "date", (ratio(F.min("close").over(w), lead(F.col("close"), 1)) - 1).alias("worst_path"))
 
 
 def path_drawdown(df: DataFrame, h: int = 14) -> DataFrame:
@@ -95,7 +93,7 @@ def excess_returns(df: DataFrame, bench: DataFrame, context: DataFrame, h: int =
     """Forward return beyond the benchmark, beyond the sector, and after cost."""
     w = Window.orderBy("date")
     b = bench.select("date", (F.lead("bench_close", h + 1).over(w) / F.lead("bench_close", 1).over(w) - 1).alias("bench_forward"))
-    own = df.select("symbol", "sector", "date", (lead(C, h + 1) / lead(C, 1) - 1).alias("forward_return"))
+    own = df.select("symbol", "sector", "date", (lead(F.col("close"), h + 1) / lead(F.col("close"), 1) - 1).alias("forward_return"))
     both = own.join(b, "date", "left").join(context.select("sector", "date", "sector_forward"), ["sector", "date"], "left")
     neutral = F.col("forward_return") - F.col("sector_forward")
     return both.select("symbol", "sector", "date", "forward_return", (F.col("forward_return") - F.col("bench_forward")).alias("excess_return"), neutral.alias("sector_neutral"), (neutral - cost).alias("after_cost"))

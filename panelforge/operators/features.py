@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.semantics import lag, ratio, rolling
 
-C, V, H, L = F.col("close"), F.col("volume"), F.col("high"), F.col("low")
 KEYS = ["symbol", "date"]
 
 
 def ret(k: int):
-    return ratio(C, lag(C, k)) - 1
+    return ratio(F.col("close"), lag(F.col("close"), k)) - 1
 
 
 def returns(bars: DataFrame, spans=(1, 5, 10, 20, 60, 120)) -> DataFrame:
@@ -24,7 +23,7 @@ def returns(bars: DataFrame, spans=(1, 5, 10, 20, 60, 120)) -> DataFrame:
 
 def skip_momentum(bars: DataFrame, pairs=((126, 10), (252, 20))) -> DataFrame:
     """Return from `long` to `skip` sessions ago."""
-    return bars.select(*KEYS, *[(ratio(lag(C, s), lag(C, n)) - 1).alias(f"momentum_{n}_{s}") for n, s in pairs])
+    return bars.select(*KEYS, *[(ratio(lag(F.col("close"), s), lag(F.col("close"), n)) - 1).alias(f"momentum_{n}_{s}") for n, s in pairs])
 
 
 def _daily(bars: DataFrame) -> DataFrame:
@@ -44,7 +43,7 @@ def max_return(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def moving_averages(bars: DataFrame, spans=(20, 50, 100, 200)) -> DataFrame:
     """Simple averages, price against each, and ratios of neighbours."""
-    sma = {n: rolling(F.avg, C, n) for n in spans}
+    sma = {n: rolling(F.avg, F.col("close"), n) for n in spans}
     df = bars.select(*KEYS, "close", *[x.alias(f"sma_{n}") for n, x in sma.items()])
     gaps = [(ratio(F.col("close"), F.col(f"sma_{n}")) - 1).alias(f"price_vs_sma_{n}") for n in spans]
     pairs = [(ratio(F.col(f"sma_{a}"), F.col(f"sma_{b}")) - 1).alias(f"sma_{a}_vs_{b}") for a, b in zip(spans, spans[1:], strict=False)]
@@ -56,7 +55,7 @@ def rsi(bars: DataFrame, n: int = 14, fill: bool = False) -> DataFrame:
 
     With `fill`, the older rule: 50 in warm-up and wherever there is no loss.
     """
-    d = C - lag(C, 1)
+    d = F.col("close") - lag(F.col("close"), 1)
     df = bars.withColumn("d", d)
     gain = rolling(F.avg, F.when(F.col("d").isNotNull(), F.greatest(F.col("d"), F.lit(0.0))), n)
     loss = rolling(F.avg, F.when(F.col("d").isNotNull(), -F.least(F.col("d"), F.lit(0.0))), n)
@@ -69,14 +68,14 @@ def rsi(bars: DataFrame, n: int = 14, fill: bool = False) -> DataFrame:
 
 def volume_features(bars: DataFrame, spans=(20, 60)) -> DataFrame:
     """Volume against its averages, dollar volume and its logarithm."""
-    dollars = C * V
-    cols = [ratio(V, rolling(F.avg, V, n)).alias(f"volume_ratio_{n}d") for n in spans]
+    dollars = F.col("close") * F.col("volume")
+    cols = [ratio(F.col("volume"), rolling(F.avg, F.col("volume"), n)).alias(f"volume_ratio_{n}d") for n in spans]
     return bars.select(*KEYS, *cols, dollars.alias("dollar_volume"), F.log1p(dollars).alias("log_dollar_volume"))
 
 
 def illiquidity(bars: DataFrame, n: int = 20) -> DataFrame:
     """Mean absolute return per dollar traded."""
-    df = _daily(bars).withColumn("x", ratio(F.abs("r1"), C * V))
+    df = _daily(bars).withColumn("x", ratio(F.abs("r1"), F.col("close") * F.col("volume")))
     return df.select(*KEYS, rolling(F.avg, F.col("x"), n).alias(f"illiquidity_{n}d"))
 
 
@@ -87,7 +86,7 @@ def vol_adjusted(bars: DataFrame, spans=(20, 60), n: int = 20) -> DataFrame:
 
 def range_distance(bars: DataFrame, n: int = 252) -> DataFrame:
     """Distance of the close from the highest and lowest close of n sessions."""
-    return bars.select(*KEYS, (ratio(C, rolling(F.max, C, n)) - 1).alias(f"from_high_{n}d"), (ratio(C, rolling(F.min, C, n)) - 1).alias(f"from_low_{n}d"))
+    return bars.select(*KEYS, (ratio(F.col("close"), rolling(F.max, F.col("close"), n)) - 1).alias(f"from_high_{n}d"), (ratio(F.col("close"), rolling(F.min, F.col("close"), n)) - 1).alias(f"from_low_{n}d"))
 
 
 def with_benchmark(bars: DataFrame, bench: DataFrame) -> DataFrame:
@@ -108,8 +107,8 @@ def beta(bars: DataFrame, bench: DataFrame, n: int = 60) -> DataFrame:
 
 def true_range(bars: DataFrame, n: int = 14) -> DataFrame:
     """True range (greatest of high-low and the gaps to the last close) and its average."""
-    pc = lag(C, 1)
-    df = bars.withColumn("true_range", F.greatest(H - L, F.abs(H - pc), F.abs(L - pc)))
+    pc = lag(F.col("close"), 1)
+    df = bars.withColumn("true_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)))
     return df.select(*KEYS, "true_range", rolling(F.avg, F.col("true_range"), n).alias(f"atr_{n}"))
 
 
@@ -117,29 +116,29 @@ def stop_level(bars: DataFrame, n: int = 14, look: int = 22, trend: int = 50, su
     """Stop below the close: the highest of chandelier, trend and support stops, 1.5 to 4 ATR away; after `trend` bars."""
     atr = true_range(bars, n).select(*KEYS, F.col(f"atr_{n}").alias("atr"))
     df = bars.join(atr, KEYS).select(
-        *KEYS, "close", "atr", (rolling(F.max, H, look) - 3 * F.col("atr")).alias("chandelier"), (rolling(F.avg, C, trend) - F.col("atr")).alias("trend"),
-        (rolling(F.min, L, support) - F.lit(0.5) * F.col("atr")).alias("support"),
+        *KEYS, "close", "atr", (rolling(F.max, F.col("high"), look) - 3 * F.col("atr")).alias("chandelier"), (rolling(F.avg, F.col("close"), trend) - F.col("atr")).alias("trend"),
+        (rolling(F.min, F.col("low"), support) - F.lit(0.5) * F.col("atr")).alias("support"),
     )
     raw = F.greatest("chandelier", "trend", "support")
-    level = F.least(F.greatest(raw, C - 4 * F.col("atr")), C - F.lit(1.5) * F.col("atr"))
+    level = F.least(F.greatest(raw, F.col("close") - 4 * F.col("atr")), F.col("close") - F.lit(1.5) * F.col("atr"))
     return df.select(*KEYS, F.when(F.col("trend").isNotNull(), level).alias("stop_level"))
 
 
 def calendar_returns(bars: DataFrame, as_of, days=(7, 14, 30, 60, 90)) -> DataFrame:
     """Per symbol, return to the last close from the last one at least d days older than it."""
-    seen = bars.where(C.isNotNull() & (F.col("date") <= as_of))
+    seen = bars.where(F.col("close").isNotNull() & (F.col("date") <= as_of))
     last = seen.groupBy("symbol").agg(F.max("date").alias("last_date"))
     dated = seen.join(last, "symbol")
     then = [F.max_by("close", F.when(F.col("date") <= F.date_sub("last_date", d), F.col("date"))).alias(f"c{d}") for d in days]
     out = dated.groupBy("symbol").agg(F.max("date").alias("date"), F.max_by("close", "date").alias("close"), *then)
-    return out.select("symbol", "date", *[(ratio(C, F.col(f"c{d}")) - 1).alias(f"return_{d}c") for d in days])
+    return out.select("symbol", "date", *[(ratio(F.col("close"), F.col(f"c{d}")) - 1).alias(f"return_{d}c") for d in days])
 
 
 def year_to_date(bars: DataFrame) -> DataFrame:
     """Return since the last close before 1 January, by row."""
     year = F.year("date")
-    ends = bars.where(C.isNotNull()).groupBy("symbol", (year + 1).alias("y")).agg(F.max_by("close", "date").alias("base"))
-    return bars.withColumn("y", year).join(ends, ["symbol", "y"], "left").select(*KEYS, (ratio(C, F.col("base")) - 1).alias("return_ytd"))
+    ends = bars.where(F.col("close").isNotNull()).groupBy("symbol", (year + 1).alias("y")).agg(F.max_by("close", "date").alias("base"))
+    return bars.withColumn("y", year).join(ends, ["symbol", "y"], "left").select(*KEYS, (ratio(F.col("close"), F.col("base")) - 1).alias("return_ytd"))
 
 
 def latest_beta(bars: DataFrame, bench: DataFrame, n: int = 60, least: int = 40) -> DataFrame:
@@ -153,8 +152,8 @@ def latest_beta(bars: DataFrame, bench: DataFrame, n: int = 60, least: int = 40)
 
 def latest_metrics(bars: DataFrame, history: int = 36) -> DataFrame:
     """Of each symbol's last bar: change, volume ratio, place against averages, and the last closes in order."""
-    df = bars.select(*KEYS, "close", ret(1).alias("change"), ratio(V, rolling(F.avg, V, 20)).alias("volume_ratio"),
-                     (C > rolling(F.avg, C, 20)).alias("above_20"), (C > rolling(F.avg, C, 50)).alias("above_50")).where("close is not null")
+    df = bars.select(*KEYS, "close", ret(1).alias("change"), ratio(F.col("volume"), rolling(F.avg, F.col("volume"), 20)).alias("volume_ratio"),
+                     (F.col("close") > rolling(F.avg, F.col("close"), 20)).alias("above_20"), (F.col("close") > rolling(F.avg, F.col("close"), 50)).alias("above_50")).where("close is not null")
     df = df.withColumn("k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where(F.col("k") <= history)
     closes = F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"])
     now = lambda c: F.max(F.when(F.col("k") == 1, F.col(c))).alias(c)

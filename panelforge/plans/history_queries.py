@@ -136,14 +136,17 @@ def live(s, d):
     return k.place_and_percentile(df.withColumn("score", F.col("r60")).where("score is not null"), ["date"])
 
 
-TOP = F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1))
+def top():
+    return F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1))
+
+
 LIVE = f", lv AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY r60 DESC, symbol) AS rank, count(*) OVER (PARTITION BY date) AS n FROM (SELECT *, r20 - median(r20) OVER (PARTITION BY date, sector) AS rm, vol20 - median(vol20) OVER (PARTITION BY date, sector) AS vm, {pct('r20', 'date, sector')} AS sr FROM feat) WHERE r60 IS NOT NULL)"
 _first4 = lambda items: "array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN {a} THEN '{b}' END" for a, b in items) + "], lambda x: x IS NOT NULL), 1, 4), '|')"
 add("k2_tags", lambda s, d: live(s, d).select("symbol", "date", F.array_join(k.reason_tags(), "|").alias("reasons"), F.array_join(k.risk_flags(), "|").alias("risks")),
     LIVE + f" SELECT {K}, " + _first4([("vm < 0", "Lower volatility than sector median"), ("rm > 0", "Momentum ahead of sector median"), ("sr >= 0.7", "Top-sector return rank"), ("vs_sma50 > 0", "Above trend"), ("volume_ratio >= 1.2", "Strong volume")]) + " AS reasons, " + _first4([("vm > 0", "Above-sector volatility"), ("vs_sma20 < 0", "Below short trend"), ("vs_sma50 < 0", "Below trend"), ("volume_ratio < 0.7", "Weak volume confirmation")]) + " AS risks FROM lv")
 _SET = "CASE WHEN rank <= greatest(1, ceil(n * 0.1)) AND vs_sma20 > 0 AND vs_sma50 > 0 AND r5 > 0 AND r20 > 0 THEN 'momentum_confirmed' WHEN rank <= greatest(1, ceil(n * 0.1)) AND vs_sma20 < 0 AND vs_sma50 < 0 AND r5 < 0 AND r20 < 0 THEN 'model_rebound_watch' WHEN rank <= greatest(1, ceil(n * 0.1)) AND (vs_sma20 < 0 OR vs_sma50 < 0) THEN 'model_ranked_not_momentum_confirmed' ELSE 'model_ranked' END"
-add("k3_setup", lambda s, d: live(s, d).select("symbol", "date", k.setup_type(TOP).alias("setup")), LIVE + f" SELECT {K}, {_SET} AS setup FROM lv")
-add("k4_activation", lambda s, d: live(s, d).withColumn("setup", k.setup_type(TOP)).select("symbol", "date", k.activation_price(F.col("setup"), F.col("close"), F.col("vol20")).alias("price")).where("price is not null"), LIVE + f" SELECT {K}, round(close * (1 + 0.75 * vol20), 2) AS price FROM (SELECT *, {_SET} AS setup FROM lv) WHERE setup = 'model_rebound_watch' AND vol20 > 0 AND close > 0")
+add("k3_setup", lambda s, d: live(s, d).select("symbol", "date", k.setup_type(top()).alias("setup")), LIVE + f" SELECT {K}, {_SET} AS setup FROM lv")
+add("k4_activation", lambda s, d: live(s, d).withColumn("setup", k.setup_type(top())).select("symbol", "date", k.activation_price(F.col("setup"), F.col("close"), F.col("vol20")).alias("price")).where("price is not null"), LIVE + f" SELECT {K}, round(close * (1 + 0.75 * vol20), 2) AS price FROM (SELECT *, {_SET} AS setup FROM lv) WHERE setup = 'model_rebound_watch' AND vol20 > 0 AND close > 0")
 
 
 def _k5(s, d):
