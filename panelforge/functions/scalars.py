@@ -74,7 +74,7 @@ def first_sentences(x: Column, n: int) -> Column:
     """The first n sentences; common abbreviations do not end one."""
     # fixed values
     kept = F.regexp_replace(F.regexp_replace(x, r"\b(U|e|i)\.(S|g|e)\.", "$1\u0001$2\u0001"), r"\b(Mr|Mrs|Dr|Inc|Corp|vs)\.", "$1\u0001")
-    return F.replace(F.trim(F.concat_ws(" ", F.slice(F.regexp_extract_all(kept, F.lit(r"[^.!?]+[.!?]+"), F.lit(0)), 1, n))), F.lit("\u0001"), F.lit("."))
+    return F.replace(F.trim(F.concat_ws("", F.slice(F.regexp_extract_all(kept, F.lit(r"[^.!?]+[.!?]+"), F.lit(0)), 1, n))), F.lit("\u0001"), F.lit("."))
 
 
 def trading_days(spark: SparkSession, first: str, last: str) -> DataFrame:

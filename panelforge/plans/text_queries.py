@@ -34,7 +34,7 @@ add("p6_series_delta", lambda s, d: table(s, d, "part").select("p_partkey", x.se
 add("p9_age_hours", lambda s, d: table(s, d, "events").select("event_id", x.age_hours(F.col("ts"), F.lit("2024-03-01").cast("timestamp")).alias("age")), "SELECT event_id, round((epoch_us(TIMESTAMP '2024-03-01') - epoch_us(ts)) / 3.6e9, 6) + 0.0 AS age FROM events")
 add("p13_ticker_list", lambda s, d: table(s, d, "orders").groupBy((F.col("o_custkey") % 40).alias("k")).agg(F.min("o_orderstatus").alias("a"), F.min("o_orderpriority").alias("b")).select("k", F.array_join(x.ticker_list(F.concat_ws(", ", "a", F.lit("$abc"), "a", F.lit("9x"))), ",").alias("tickers")),
     "SELECT o_custkey % 40 AS k, min(o_orderstatus) || ',ABC' AS tickers FROM orders GROUP BY 1")
-add("p14_sentences", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(x.first_sentences(F.regexp_replace("text", "[^A-Za-z.! ]", ""), 2)).alias("md5")), r"SELECT doc_id, md5(trim(array_to_string(list_slice(regexp_extract_all(regexp_replace(text, '[^A-Za-z.! ]', '', 'g'), '[^.!?]+[.!?]+'), 1, 2), ' '))) AS md5 FROM documents")
+add("p14_sentences", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(x.first_sentences(F.regexp_replace("text", "[^A-Za-z.! ]", ""), 2)).alias("md5")), r"SELECT doc_id, md5(trim(array_to_string(list_slice(regexp_extract_all(regexp_replace(text, '[^A-Za-z.! ]', '', 'g'), '[^.!?]+[.!?]+'), 1, 2), ''))) AS md5 FROM documents")
 add("t1_titles", lambda s, d: pages(s, d).select("page_id", tx.page_title(F.col("html")).alias("title"), F.md5(F.coalesce(tx.page_summary(F.col("html")), F.lit(""))).alias("summary_md5")),
     "SELECT page_id, left(" + STRIP.format(r"coalesce(nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''))") + ", 160) AS title, md5(coalesce(left(" + STRIP.format(r"nullif(regexp_extract(html, '(?is)<p[^>]*>(.*?)</p>', 1), '')") + ", 320), '')) AS summary_md5 FROM pages")
 _VIS = "html"
