@@ -97,3 +97,35 @@ def ndcg(scored: DataFrame, k: int) -> DataFrame:
     df = scored.withColumns({"p": F.row_number().over(w.orderBy(F.desc("score"), "symbol")), "i": F.row_number().over(w.orderBy(F.desc("grade"), "symbol"))})
     gain = lambda place: F.sum(F.when(F.col(place) <= k, (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col(place) + 1)))
     return df.groupBy("date").agg((gain("p") / gain("i")).alias("ndcg"))
+
+
+def fold_predictions(df: DataFrame, folds: DataFrame, arms: dict[str, dict], label: str = "grade") -> DataFrame:
+    """Predictions of several arms over the same folds: (strategy, fold, date, symbol, sector, outcome, grade, score).
+
+    An arm is a choice of features and trainer settings: {"features": [...], "depth": 3, "trees": 20}. Each fold's
+    model is trained on its training dates and scores its test dates; arms and folds are few, so they are a loop
+    on the driver, and each fit is a Spark job.
+    """
+    out = None
+    for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():
+        dates = folds.where(F.col("fold") == fold)
+        train = df.join(F.broadcast(dates.where("split = 'train'").select("date")), "date", "left_semi")
+        test = df.join(F.broadcast(dates.where("split = 'test'").select("date")), "date", "left_semi")
+        for name, arm in arms.items():
+            settings = {k: v for k, v in arm.items() if k != "features"}
+            scored = train_ranker(train.withColumn(label, F.col(label).cast("double")), arm["features"], label, **settings).transform(test)
+            part = scored.select(F.lit(name).alias("strategy"), F.lit(fold).alias("fold"), "date", "symbol", "sector", "outcome", "grade", F.col("prediction").alias("score"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def ablation_arms(features: list[str], groups: dict[str, list[str]], **settings) -> dict[str, dict]:
+    """One arm with all features, and one without each group of name patterns."""
+    import re
+
+    arms = {"all": {"features": features, **settings}}
+    for name, patterns in groups.items():
+        kept = [c for c in features if not any(re.search(p, c) for p in patterns)]
+        if kept and len(kept) < len(features):
+            arms[f"without_{name}"] = {"features": kept, **settings}
+    return arms

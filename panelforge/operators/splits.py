@@ -91,3 +91,13 @@ def without_outliers(df: DataFrame, column: str, cap: float) -> DataFrame:
 def strict_start(exported: datetime.date, training_end: datetime.date) -> datetime.date:
     """The first day a model is monitored strictly: after both its export and its training data."""
     return max(exported, training_end) + datetime.timedelta(days=1)
+
+
+def trailing_split(rows: DataFrame, validation: float, test: float, embargo: int) -> DataFrame:
+    """(date, split) by shares of the dates, with one embargo cut off the end of the validation window."""
+    days = sessions(rows)
+    n = days.count()
+    test_start, val_start = n - int(n * test), n - int(n * test) - int(n * validation)
+    ix = F.col("session_ix")
+    role = F.when(ix < val_start, "train").when(ix < test_start - embargo, "validation").when(ix >= test_start, "test")
+    return days.select("date", role.alias("split")).where("split is not null")

@@ -203,3 +203,33 @@ def _m3(s, d):
 
 
 QUERIES["m3_train_ranker"] = lambda s, d: rounded(_m3(s, d))
+
+
+def _arms(s, d):
+    from panelforge.operators import splits as v
+
+    df = predictions(s, d).where("score is not null and vol20 is not null and short is not null and grade is not null")
+    folds = v.walk_forward(t.bars(s, d), 2, 40, 40, 100, 14)
+    return m.fold_predictions(df, folds, m.ablation_arms(["score", "vol20", "short"], {"volatility": ["^vol"]}, trees=3))
+
+
+def _m6(s, d):
+    from panelforge.operators import backtest as b
+
+    w = Window.partitionBy("strategy", "date").orderBy(F.desc("score"), "symbol")
+    top = _arms(s, d).withColumn("place", F.row_number().over(w)).where("place <= 3")
+    return b.describe(top, "outcome", ["strategy"])
+
+
+QUERIES["m6_ablation"] = lambda s, d: rounded(_m6(s, d))
+add("m8_gain_importance", lambda s, d: m.gain_importance(predictions(s, d).groupBy("sector", "symbol").agg(F.avg("score").alias("gain")).withColumnRenamed("sector", "feature")), f"SELECT sector AS feature, {r('avg(g)', 'gain')}, count(*) AS splits FROM (SELECT sector, symbol, avg(score) AS g FROM sc GROUP BY sector, symbol) GROUP BY sector")
+QUERIES["v8_trailing_split"] = lambda s, d: rounded(_v8(s, d))
+
+
+def _v8(s, d):
+    from panelforge.operators import splits as v
+
+    return v.trailing_split(t.bars(s, d), 0.2, 0.2, 15)
+
+
+SQL["v8_trailing_split"] = f"WITH {BARS}, dn AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)) SELECT * FROM (SELECT {D}, CASE WHEN i < n - floor(n * 0.2) - floor(n * 0.2) THEN 'train' WHEN i < n - floor(n * 0.2) - 15 THEN 'validation' WHEN i >= n - floor(n * 0.2) THEN 'test' END AS split FROM dn) WHERE split IS NOT NULL"
