@@ -264,8 +264,10 @@ def test_line_dedup(docs, rows, empty):
     assert stage.columns == docs.columns
 
 
-def test_large_line_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_large_line_buckets(spark, monkeypatch, rounds):
     monkeypatch.setattr(line_dedup, "SMALL", 2)
+    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
     rng = random.Random(9)
     base = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60)]
     rows = []
