@@ -173,13 +173,24 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int = LENGTH)
     out = []
     for length, first, last in prefix_intervals(lcp):
         inside = order[first : last + 1]
-        child = np.cumsum([0, *[x == length for x in lcp[first:last]]])
-        of = dict(zip(inside, child.tolist(), strict=True))
-        inside = sorted(inside, key=left.__getitem__)
-        for before, i, j in prefix_intervals([shared(left[a], left[b]) for a, b in zip(inside, inside[1:], strict=False)]):
-            group = inside[i : j + 1]
-            if before + length >= least and len({of[g] for g in group}) > 1:
-                out.append((before, length, group))
+        child, of = 0, {inside[0]: 0}
+        for x, g in zip(lcp[first:last], inside[1:], strict=True):
+            child += x == length
+            of[g] = child
+        # only occurrences with enough equal bytes before them can make up a repeat
+        need = max(least - length, 0)
+        equal: dict[bytes, list[int]] = {}
+        for g in inside:
+            if len(left[g]) >= need:
+                equal.setdefault(left[g][:need], []).append(g)
+        for same in equal.values():
+            if len(same) < 2 or len({of[g] for g in same}) < 2:
+                continue
+            same.sort(key=left.__getitem__)
+            for before, i, j in prefix_intervals([shared(left[a], left[b]) for a, b in zip(same, same[1:], strict=False)]):
+                group = same[i : j + 1]
+                if len({of[g] for g in group}) > 1:
+                    out.append((before, length, group))
     return out
 
 
@@ -187,16 +198,25 @@ _SPAN = "doc_id long, th long, a long, b long"
 
 
 def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of single contexts that are covered by a repeat within their group."""
     for b in batches:
-        rows = []
-        for members in b.column(0).to_pylist():
-            left, right = [m["before"][::-1] for m in members], [m["after"] for m in members]
-            best: dict[int, tuple[int, int]] = {}
-            for before, length, group in maximal_repeats(left, right):
-                for g in group:
-                    x = best.get(g, (0, 0))
-                    best[g] = (max(x[0], before), max(x[1], length))
-            rows += [(m["doc_id"], m["th"], m["pos"] - best[g][0], m["pos"] + best[g][1]) for g, m in enumerate(members) if g in best and m["single"]]
+        lists = b.column(0)
+        flat = lists.flatten()
+        doc_id, th, pos, single, before, after = (flat.field(k).to_pylist() for k in range(6))
+        left = [x[::-1] for x in before]
+        rows, at = [], 0
+        for n in lists.value_lengths().to_pylist():
+            if n == 2:
+                x, y = shared(left[at], left[at + 1]), shared(after[at], after[at + 1])
+                best = {0: (x, y), 1: (x, y)} if x + y >= LENGTH else {}
+            else:
+                best = {}
+                for x, y, group in maximal_repeats(left[at : at + n], after[at : at + n]):
+                    for g in group:
+                        old = best.get(g)
+                        best[g] = (max(old[0], x), max(old[1], y)) if old else (x, y)
+            rows += [(doc_id[at + g], th[at + g], pos[at + g] - x, pos[at + g] + y) for g, (x, y) in best.items() if single[at + g]]
+            at += n
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "th", "a", "b"])
 
 
