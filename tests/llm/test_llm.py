@@ -279,6 +279,20 @@ def test_large_line_buckets(spark, monkeypatch, rounds):
     assert out.agg(F.sum("n_removed")).first()[0] == 39
 
 
+def test_narrow_bands_of_short_lines(spark):
+    rng = random.Random(4)
+    sets, pairs = [], 1000
+    for i in range(pairs):
+        n = (10, 15, 20, 25, 30)[i % 5]
+        hs = [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+        both, rest = hs[: n * 4 // 5], hs[n * 4 // 5 :]
+        a, b = both + rest[::2], both + rest[1::2]  # Jaccard 0.8 over a union of n
+        sets += [(2 * i, a), (2 * i + 1, b)]
+    placed = line_dedup.narrow_members(spark.createDataFrame(sets, "id long, hs array<long>"))
+    found = placed.select("band", (F.col("id") / 2).cast("long").alias("pair"), "id").groupBy("band", "pair").agg(F.count_distinct("id").alias("n")).where("n = 2")
+    assert pairs - found.select("pair").distinct().count() <= pairs // 100
+
+
 def test_katz(docs, rows, empty):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     toks = [[w for w in data(r[1]).lower().split()] + [None] for r in rows]
