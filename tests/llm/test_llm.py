@@ -279,6 +279,17 @@ def test_large_line_buckets(spark, monkeypatch, rounds):
     assert out.agg(F.sum("n_removed")).first()[0] == 39
 
 
+def test_short_lines_go_by_equality(spark, tmp_path):
+    long = "a line of well over twenty characters"
+    rows = [(1, f"Share\n\nMenu\n{long}"), (2, f" Share \n\nmenu\n{long}\nShare"), (3, "Share"), (4, "\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    kept = {1: rows[0][1], 2: "\nmenu", 3: "", 4: "\n"}
+    assert got == {i: (len(t.split("\n")), (0, 3, 1, 0)[i - 1], hashlib.sha256(kept[i].encode()).hexdigest()) for i, t in rows}
+    assert sorted((r.doc_id, r.text) for r in line_dedup.stage_line_dedup(spark, docs, "").collect()) == [(1, kept[1]), (2, kept[2]), (4, kept[4])]
+
+
 def test_narrow_bands_of_short_lines(spark):
     rng = random.Random(4)
     sets, pairs = [], 1000
