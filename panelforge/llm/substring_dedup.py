@@ -257,7 +257,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return spans
     windows = placed.where(F.col("classes") > GROUP).select("h", "doc_id", "th", "pos", "single", "before", "after")
     windows = windows.mapInArrow(_window_rows, "h long, doc_id long, th long, a long, w long, single boolean")
-    twice = windows.groupBy("h", "w").count().where("count > 1").select("h", "w")
+    # a start that two anchors of a document share is one start; contexts of classes that are not single occur elsewhere too
+    start = F.struct("doc_id", "th", "a")
+    twice = windows.groupBy("h", "w").agg(F.min(start).alias("first"), F.max(start).alias("last"), F.bool_and("single").alias("once"))
+    twice = twice.where((F.col("first") != F.col("last")) | ~F.col("once")).select("h", "w")
     many = windows.where("single").join(twice, ["h", "w"], "left_semi").select("doc_id", "th", "a", (F.col("a") + LENGTH).alias("b"))
     return spans.unionByName(many)
 

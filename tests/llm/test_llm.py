@@ -367,6 +367,23 @@ def test_substrings_of_large_groups_and_segments(docs, monkeypatch):
     assert sorted(map(str, substring_dedup.substring_dedup(docs).collect())) == want
 
 
+def test_large_groups_of_periodic_text(spark, monkeypatch):
+    rng = random.Random(7)
+    # the run whose gram hashes least is an anchor of every text
+    grams = b"".join(bytes([c]) * substring_dedup.GRAM for c in range(33, 127))
+    at = substring_dedup.np.arange(0, len(grams), substring_dedup.GRAM)
+    run = chr(33 + int(substring_dedup.Hashes(substring_dedup.np.frombuffer(grams, dtype="u1")).of(at, at + substring_dedup.GRAM, 1).argmin())) * 45
+    noise = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(250))
+    rows = [(i, noise() + run + noise()) for i in range(50)]
+    rows += [(50, rows[0][1]), (51, rows[1][1][100:400]), (52, run * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(str, substring_dedup.substring_dedup(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "GROUP", 1)
+    got = substring_dedup.substring_dedup(docs).collect()
+    assert sorted(map(str, got)) == want
+    assert {r.doc_id for r in got if r.n_removed} == {0, 1, 50, 51, 52}
+
+
 def test_maximal_repeats_by_hand():
     left, right = [x[::-1] for x in (b"..abc", b"..abc", b"..xbc")], [b"defgh1", b"defgh2", b"defzzz"]
     assert sorted((a, b, sorted(g)) for a, b, g in substring_dedup.maximal_repeats(left, right, 4)) == [(2, 3, [0, 1, 2]), (5, 5, [0, 1])]
