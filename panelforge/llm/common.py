@@ -52,8 +52,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _mark(edges: DataFrame):
+    """Tells edge sets apart: their size and a sum and a XOR of hashes."""
+    h = F.xxhash64("u", "v")
+    return edges.agg(F.count(F.lit(1)), F.sum(h.cast("decimal(20)")), F.bit_xor(h)).first()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable id of every node of `edges(a, b)`, as (id, component).
+    """Smallest reachable id of every node of `edges(a, b)`, as (id, component); ids are of any type that has an order.
 
     Alternating large-star and small-star rounds over edge rows: a round is two groupings with map-side
     combine and two joins, so no component is ever gathered into one task. Rounds grow with the logarithm
@@ -64,6 +70,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.where("a is not null and b is not null and a != b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
+    mark = _mark(now)
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -74,13 +81,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        nxt = durable(small)
-        changed = nxt.exceptAll(now).limit(1).count() + now.exceptAll(nxt).limit(1).count()
-        now = nxt
-        if not changed:
+        now = durable(small)
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+
+
+def joined_up(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) after more `edges(a, b)` between the nodes of `groups(id, component)` and others."""
+    if edges.isEmpty():
+        return groups
+    for end in ("a", "b"):
+        top = groups.select(F.col("id").alias(end), "component")
+        edges = edges.join(top, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    moved = durable(connected_components(edges))
+    old = groups.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return durable(old.unionByName(moved.join(groups.select("id"), "id", "left_anti")))

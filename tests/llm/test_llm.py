@@ -218,92 +218,6 @@ def test_length_bins_round_up_by_little(spark):
         assert x <= b <= x * 1.002 + 1 and (x > 16384 or b == x)
 
 
-def test_line_dedup(docs, rows, empty):
-    regex = pytest.importorskip("regex")
-    pattern = regex.compile(r"(?s)(?=(\S.{0,11}))(?:[\x21-෿]+|\S)")
-    where, sets = collections.defaultdict(list), {}
-    for r in rows:
-        key = -(1 << 63) if r[0] is None else r[0]
-        for i, line in enumerate((r[1] or "").split("\n")):
-            s = line.strip(BLANKS.decode())
-            if len(s) >= 20:
-                where[s].append((key, data(r[1]), i))
-                sets[s] = frozenset(m.group(1) for m in pattern.finditer(s.lower()))
-    lines = list(where)
-    parent = {s: s for s in lines}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in itertools.combinations(lines, 2):
-        n = len(sets[a] & sets[b])
-        if n / (len(sets[a]) + len(sets[b]) - n) >= 0.8:
-            parent[find(a)] = find(b)
-    groups = collections.defaultdict(set)
-    for s in lines:
-        groups[find(s)] |= set(where[s])
-    lost = collections.Counter()
-    for g in groups.values():
-        first = min(g, key=lambda x: (x[0], x[2]))
-        ids = {x[0] for x in g}
-        for x in g:
-            lost[x[0], x[1]] += 1
-        lost[first[0], first[1]] -= 1
-        assert first[0] == min(ids)
-    got = line_dedup.line_dedup(docs, [F.col("doc_id"), F.col("text")]).toDF("doc_id", "text", "n_lines", "n_removed", "kept").collect()
-    assert len(got) == len(rows)
-    for r in got:
-        key = -(1 << 63) if r.doc_id is None else r.doc_id
-        assert r.n_removed == lost[key, data(r.text)] and r.n_lines == (r.text or "").count("\n") + 1
-        if not r.n_removed:
-            assert r.kept == (r.text or "")
-    assert line_dedup.line_dedup(empty, [F.col("doc_id")]).count() == 0
-    stage = line_dedup.stage_line_dedup(None, docs, "")
-    assert stage.columns == docs.columns
-
-
-@pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_large_line_buckets(spark, monkeypatch, rounds):
-    monkeypatch.setattr(line_dedup, "SMALL", 2)
-    monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
-    rng = random.Random(9)
-    base = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(60)]
-    rows = []
-    for i in range(40):
-        ws = list(base)
-        ws[rng.randrange(60)] = f"w{i}w"
-        rows.append((i, " ".join(ws)))
-    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), [F.col("doc_id")])
-    assert out.agg(F.sum("n_removed")).first()[0] == 39
-
-
-def test_short_lines_go_by_equality(spark, tmp_path):
-    long = "a line of well over twenty characters"
-    rows = [(1, f"Share\n\nMenu\n{long}"), (2, f" Share \n\nmenu\n{long}\nShare"), (3, "Share"), (4, "\n")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
-    kept = {1: rows[0][1], 2: "\nmenu", 3: "", 4: "\n"}
-    assert got == {i: (len(t.split("\n")), (0, 3, 1, 0)[i - 1], hashlib.sha256(kept[i].encode()).hexdigest()) for i, t in rows}
-    assert sorted((r.doc_id, r.text) for r in line_dedup.stage_line_dedup(spark, docs, "").collect()) == [(1, kept[1]), (2, kept[2]), (4, kept[4])]
-
-
-def test_narrow_bands_of_short_lines(spark):
-    rng = random.Random(4)
-    sets, pairs = [], 1000
-    for i in range(pairs):
-        n = (10, 15, 20, 25, 30)[i % 5]
-        hs = [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
-        both, rest = hs[: n * 4 // 5], hs[n * 4 // 5 :]
-        a, b = both + rest[::2], both + rest[1::2]  # Jaccard 0.8 over a union of n
-        sets += [(2 * i, a), (2 * i + 1, b)]
-    placed = line_dedup.narrow_members(spark.createDataFrame(sets, "id long, hs array<long>"))
-    found = placed.select("band", (F.col("id") / 2).cast("long").alias("pair"), "id").groupBy("band", "pair").agg(F.count_distinct("id").alias("n")).where("n = 2")
-    assert pairs - found.select("pair").distinct().count() <= pairs // 100
-
-
 def test_katz(docs, rows, empty):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     toks = [[w for w in data(r[1]).lower().split()] + [None] for r in rows]
