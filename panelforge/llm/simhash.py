@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass, field
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +12,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import connected_components, durable
+from panelforge.llm.common import connected_components, durable, written
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
-#: With at most 3 differing bits at least 5 of the 8 bytes agree at their positions.
-LEAST_BYTES = 8 - MOST_BITS
-#: Of any 5 positions 3 lie in one half, so indexing the triples of each half misses no pair that shares 5 bytes.
-TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 POSTING = 2048
+#: Shingles, similarity, bits and most differing bits of the pipeline's stage, where no contract fixes them. At similarity
+#: 0.8 of five-word shingles 39 of 256 bits differ on average, with a deviation of 6.
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BYTES, STAGE_BITS = 5, 0.8, 32, 52
+#: Lists that share all the bytes the count filter asks for and are longer than this are dealt into parts of this size.
+CHUNK = 1 << 17
+
+
+def _quads() -> list[tuple[int, ...]]:
+    """14 quadruples of 8 positions, one of which lies in any 5 positions.
+
+    Each half, and pairs of pairs of the halves: the pairs of 4 positions are three matchings, any 3 of 4
+    positions hold a pair of each matching, so 3 of one half and 2 of the other hold two of equal matchings.
+    """
+    matchings = [((0, 1), (2, 3)), ((0, 2), (1, 3)), ((0, 3), (1, 2))]
+    crossed = [(*a, *(4 + x for x in b)) for m in matchings for a, b in product(m, m)]
+    return [(0, 1, 2, 3), (4, 5, 6, 7), *crossed]
+
+
+@dataclass
+class Index:
+    """What is posted and what a pair must reach: keys are tuples of byte positions that must be equal."""
+
+    keys: list[tuple[int, ...]]
+    width: int  # bytes of a fingerprint
+    least_bytes: int  # count filter: so many bytes are equal at their positions
+    most_bits: int
+    posting: int = POSTING
+    chunk: int | None = None
+    others: list[list[int]] = field(init=False)
+
+    def __post_init__(self):
+        self.others = [[p for p in range(self.width) if p not in k] for k in self.keys]
+
+
+#: With at most 3 differing bits at least 5 of the 8 bytes agree at their positions, and four of them are a key.
+EXACT = Index(_quads(), 8, 8 - MOST_BITS, MOST_BITS)
+#: At similarity 0.8 a byte of two texts is equal with a chance of 0.27; the pairs of positions of each four are keys.
+STAGE = Index([tuple(4 * g + x for x in p) for g in range(STAGE_BYTES // 4) for p in combinations(range(4), 2)], STAGE_BYTES, 4, STAGE_BITS, chunk=CHUNK)
 
 
 def fingerprint(text: str | None) -> int:
@@ -31,12 +66,37 @@ def fingerprint(text: str | None) -> int:
     width = min(SHINGLE, len(words))
     starts, stops = [0, *ends[: len(words) - width].tolist()], (ends[width - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
+    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), dtype="<u8", count=len(stops))
+    return int(_majority(h).view("<u8")[0])
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """Bytes of the bits that are 1 in over half the rows of hashes (a row of one or more 64-bit words)."""
+    h = h.reshape(len(h), -1)
+    ones = np.zeros(64 * h.shape[1], dtype=np.int64)
     for at in range(0, len(h), 8192):
-        part = h[at : at + 8192]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+        part = np.ascontiguousarray(h[at : at + 8192])
+        ones += np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little")
+
+
+def _mix(x: np.ndarray, by: int) -> np.ndarray:
+    x = (x ^ np.uint64(by)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_hashes(text: str | None, width: int = STAGE_SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; fewer words are one shingle, no word gives none."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    w = np.fromiter((xxhash.xxh64_intdigest(x) for x in words), dtype=np.uint64, count=len(words))
+    width = min(width, len(words))
+    h = np.zeros(len(w) - width + 1, dtype=np.uint64)
+    for i in range(width):
+        h = _mix(h + w[i : len(w) - width + 1 + i], i + 1)
+    return np.unique(h)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,88 +105,181 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
 
-def forest(fp: np.ndarray, rep: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside a posting list, as pairs of representatives.
+def _wide_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, digest, fp): SimHashes of STAGE_BYTES over the distinct shingles."""
+    for b in batches:
+        out = []
+        for t in b.column(2):
+            h = shingle_hashes(t.as_py())
+            out.append(_majority(np.stack([_mix(h, 1000 + i) for i in range(STAGE_BYTES // 8)], axis=1)).tobytes() if len(h) else bytes(STAGE_BYTES))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "digest", "fp"])
+
+
+def forest(fp: np.ndarray, least_bytes: int, most_bits: int, first: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows of fingerprint bytes, as pairs of rows; the search begins at row `first`.
 
-    Breadth first: a fingerprint is compared with those not reached yet: the tally of shared positional
-    bytes first, then the differing bits of what is left. Memory is linear in the list.
+    Breadth first: a row is compared with those not reached yet. The tally of bytes that are equal at their
+    positions comes first; only pairs that reach `least_bytes` are verified bit by bit. Memory is linear.
     """
-    edges, open_, queue = [], np.arange(len(fp)), []
+    edges, queue = [], []
+    open_ = np.roll(np.arange(len(fp)), -first)
     while len(open_):
         if not queue:
-            queue, open_ = [open_[0]], open_[1:]
+            queue, open_ = [int(open_[0])], open_[1:]
             continue
         at = queue.pop()
         x = fp[open_] ^ fp[at]
-        shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= LEAST_BYTES
-        near = shared.copy()
-        near[shared] = np.bitwise_count(x[shared]) <= MOST_BITS
-        found = open_[near]
-        edges += [(int(rep[at]), int(rep[k])) for k in found]
-        queue += found.tolist()
+        near = (x == 0).sum(axis=1) >= least_bytes
+        near[near] = np.bitwise_count(x[near]).sum(axis=1) <= most_bits
+        found = open_[near].tolist()
+        edges += [(at, k) for k in found]
+        queue += found
         open_ = open_[~near]
     return edges
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lists = b.column(0)
-        flat = lists.flatten()
-        fp = flat.field(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        rep = flat.field(1).to_numpy(zero_copy_only=False)
-        at, edges = 0, []
-        for n in lists.value_lengths().to_pylist():
-            if n == 2:
-                x = int(fp[at] ^ fp[at + 1])
-                if sum(not x >> 8 * k & 255 for k in range(8)) >= LEAST_BYTES and x.bit_count() <= MOST_BITS:
-                    edges.append((int(rep[at]), int(rep[at + 1])))
-            else:
-                edges += forest(fp[at : at + n], rep[at : at + n])
-            at += n
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _linker(index: Index):
+    width, least, most = index.width, index.least_bytes, index.most_bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten()
+            fp = np.frombuffer(b"".join(flat.field(0).to_pylist()), dtype=np.uint8).reshape(-1, width)
+            node = flat.field(1).to_numpy(zero_copy_only=False)
+            sizes = np.array(lists.value_lengths().to_pylist(), dtype=np.int64)
+            starts = np.cumsum(sizes) - sizes
+            two = np.flatnonzero(sizes == 2)
+            x = fp[starts[two]] ^ fp[starts[two] + 1]
+            near = two[((x == 0).sum(axis=1) >= least) & (np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= most)]
+            left, right = [node[starts[near]]], [node[starts[near] + 1]]
+            for i in np.flatnonzero(sizes > 2):
+                at, n = starts[i], sizes[i]
+                edges = forest(fp[at : at + n], least, most, int(b.column(0)[i].as_py()) % n)
+                left.append(node[at + np.array([e[0] for e in edges], dtype=np.int64)])
+                right.append(node[at + np.array([e[1] for e in edges], dtype=np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (left, right)], ["a", "b"])
+
+    return run
+
+
+def links(entries: DataFrame, index: Index) -> DataFrame:
+    """Edges (a, b) of `entries(fp binary, node long)`, one row per node: spanning forests of the links in each posting list.
+
+    An entry is posted under each key, a tuple of positional bytes. A list of `posting` entries or fewer goes
+    to one task, where the shared bytes of its pairs are tallied. Longer lists are refined by one more byte
+    of each other position, as long as the count filter asks for more bytes than the list shares: nothing
+    that reaches it is lost. What is still long then shares all the bytes asked for (8-byte fingerprints:
+    2^24 different ones at most); with `chunk` it is dealt into parts, joined by their first entries.
+    """
+    byte = lambda p: F.substr("fp", p + 1, F.lit(1))
+    keys = [F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(i), *[byte(F.lit(p)) for p in k]).alias("key")) for i, k in enumerate(index.keys)]
+    posted = entries.select("fp", "node", F.explode(F.array(*keys)).alias("k")).select("k.i", "k.key", "fp", "node")
+    out = []
+    for depth in range(len(index.keys[0]), index.least_bytes + 1):
+        posted = durable(posted)
+        sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = posted.join(sizes, "key")
+        last = depth == index.least_bytes
+        short = sized if last else sized.where(F.col("n") <= index.posting)
+        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(index.chunk))).cast("int") if last and index.chunk else F.lit(0)
+        entry = F.struct("fp", "node")
+        lists = short.withColumn("part", part).groupBy("key", "part").agg(F.collect_list(entry).alias("entries"), F.min(entry).alias("head"))
+        if last and index.chunk:
+            lists = durable(lists)
+            heads = lists.groupBy("key").agg(F.collect_list("head").alias("entries")).where("size(entries) > 1")
+            out.append(heads.select(F.abs(F.xxhash64("key")).alias("at"), "entries").mapInArrow(_linker(index), "a long, b long"))
+        out.append(lists.select(F.abs(F.xxhash64("key", "part")).alias("at"), "entries").mapInArrow(_linker(index), "a long, b long"))
+        if last:
+            break
+        long_ = sized.where(F.col("n") > index.posting).drop("n")
+        if long_.isEmpty():
+            break
+        others = F.element_at(F.lit(index.others), F.col("i") + 1)
+        posted = long_.withColumn("p", F.explode(others)).select("i", F.xxhash64("key", "p", byte(F.col("p"))).alias("key"), "fp", "node")
+    edges = out[0]
+    for more in out[1:]:
+        edges = edges.union(more)
+    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = POSTING) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at MOST_BITS differing bits or fewer; component_id is the smallest id reachable. Null
-    and blank texts have fingerprint zero, linked like any other. Rows with a null id take part with no say
-    in component ids (null if their component has no other); repeated rows come out each; an empty table
-    gives an empty result; other columns are ignored.
-
-    Equal fingerprints are one entry with its smallest id. The index posts each entry under the 8 triples of
-    positional bytes that any pair sharing 5 bytes must meet in. In a posting list the shared bytes of a
-    pair are tallied, pairs below 5 are dropped, the others verified bit by bit; only a spanning forest of
-    the links comes out. Lists above `posting` entries are dealt over pairs of blocks, so none is gathered
-    whole. Components come from star rounds over edges.
+    and blank texts have fingerprint zero, linked like any other. Rows with a null id take part and link
+    others, with no say in component ids (null if their component has no other); repeated rows come out
+    each, rows that share an id but no text are rows of their own; an empty table gives an empty result;
+    other columns are ignored.
+
+    Equal fingerprints are one entry of the index; components come from star rounds over edges between
+    fingerprints.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = durable(rows.mapInArrow(_fingerprints, "doc_id long, fp long"))
     entries = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    keys = F.array(*[
-        sum((F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) * F.lit(256**i) for i, p in enumerate(t)), F.lit(k << 24))
-        for k, t in enumerate(TRIPLES)
-    ])
-    posted = durable(entries.where("rep is not null").select(F.explode(keys).alias("key"), F.struct("fp", "rep").alias("entry")))
-    sizes = posted.groupBy("key").count().where("count > 1")
-    blocks = F.ceil(F.col("count") / F.lit(posting)).cast("int")
-    own = F.pmod(F.xxhash64("entry.fp"), F.col("blocks")).cast("int")
-    dealt = posted.join(sizes, "key").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.select("key", "entry", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    lists = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("entry").alias("entries"))
-    links = lists.select("entries").mapInArrow(_links, "a long, b long")
-    components = connected_components(links)
-    grouped = entries.join(components.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(grouped, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # the eight bytes of a fingerprint, the most significant first
+    index = Index(EXACT.keys, EXACT.width, EXACT.least_bytes, EXACT.most_bits, posting)
+    edges = links(entries.select(F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), F.col("fp").alias("node")), index)
+    components = connected_components(edges)
+    grouped = entries.join(components.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
+    least = grouped.groupBy("c").agg(F.min("rep").alias("component_id"))
+    named = grouped.join(least, "c").select("fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["node", "hs"])
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(n >= STAGE_SIMILARITY * (len(x) + len(y) - n))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, component, keep_id, keep_digest), one row per pair of id and text digest of docs.
+
+    Texts link at a similarity of STAGE_SIMILARITY or more of their sets of five-word shingles (texts without
+    a word are one class): candidates come from the index over 256-bit SimHashes and are verified on whole
+    shingle sets. The row kept of a component is the one with the smallest id (null last), ties by digest.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
+    prints = written(rows.mapInArrow(_wide_fingerprints, "doc_id long, digest string, fp binary").distinct())
+    node = F.xxhash64("digest")
+    edges = durable(links(prints.select(node.alias("node"), "fp").distinct(), STAGE))
+    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    texts = rows.select(node.alias("node"), "digest", "text").join(ends, "node").dropDuplicates(["digest"]).select("node", "text")
+    sets = durable(texts.mapInArrow(_sets, "node long, hs binary"))
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
+    components = connected_components(both.select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long"))
+    named = prints.select("doc_id", "digest", node.alias("id")).join(components, "id", "left").select("doc_id", "digest", F.coalesce("component", "id").alias("component"))
+    named = written(named)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    keep = named.groupBy("component").agg(F.min(order).alias("keep")).select("component", F.col("keep.doc_id").alias("keep_id"), F.col("keep.digest").alias("keep_digest"))
+    return named.join(keep, "component").select("doc_id", "digest", "component", "keep_id", "keep_digest")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of all of `documents`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id; rows without an id stay."""
-    kept = durable(near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct())
-    with_id = docs.where(F.col("doc_id").isNotNull())
-    first = with_id.join(kept, F.col("doc_id") == F.col("k"), "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicates (see `similar_texts`): the one with the smallest id, null last.
+
+    Rows equal in id and text are one document, of which one row stays; rows that share an id but are unlike
+    in text all stay. Empty tables give an empty result; columns may have any names.
+    """
+    kept = similar_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))).select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d"))
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_d"))
+    # by the digest first, as ids may be null
+    stays = whole.dropDuplicates(["_i", "_d"]).join(kept.withColumnsRenamed({"_i": "_ki", "_d": "_kd"}), (F.col("_d") == F.col("_kd")) & F.col("_i").eqNullSafe(F.col("_ki")), "left_semi")
+    return stays.select("_row.*")

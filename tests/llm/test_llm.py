@@ -96,8 +96,9 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash(docs, rows, empty):
-    got = simhash.near_duplicates(docs, posting=2).collect()
+@pytest.mark.parametrize("posting", [1, 2, 2048])
+def test_simhash(docs, rows, empty, posting):
+    got = simhash.near_duplicates(docs, posting=posting).collect()
     fp = [fingerprint(r[1]) for r in rows]
     parent = list(range(len(rows)))
 
@@ -116,8 +117,63 @@ def test_simhash(docs, rows, empty):
     want = collections.Counter((r[0], f"{fp[i]:016x}", least.get(find(i))) for i, r in enumerate(rows))
     assert collections.Counter(map(tuple, got)) == want
     assert simhash.near_duplicates(empty).count() == 0
-    stays = [r.doc_id for r in simhash.stage_simhash(None, docs, "").collect() if r.doc_id is not None]
-    assert sorted(stays) == sorted(set(least.values()))
+
+
+def shingle_set(text, k=5):
+    ws = data(text).lower().split()
+    return frozenset(tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))) if ws else frozenset()
+
+
+def test_simhash_stage(spark, docs, rows, empty):
+    ts = sorted({r[1] or "" for r in rows})
+    sets = {t: shingle_set(t) for t in ts}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    parent = {t: t for t in ts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(ts, 2):
+        if near(a, b):
+            parent[find(a)] = find(b)
+    want = {}
+    for r in rows:
+        k = (r[0] is None, r[0] or 0, hashlib.sha256(data(r[1])).hexdigest())
+        want[find(r[1] or "")] = min(want.get(find(r[1] or ""), k), k)
+    got = simhash.stage_simhash(None, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, hashlib.sha256(data(r.text)).hexdigest()) for r in got.collect()) == sorted(want.values())
+    assert simhash.stage_simhash(None, empty, "").count() == 0
+
+
+def test_simhash_stage_keeps_unlike_texts_of_one_id(spark):
+    rows = [(5, "one two three four five six", 1), (5, "seven eight nine ten eleven", 2), (6, "a b c d e f g", 3), (None, "h i j k l m", 4), (None, "n o p q r s", 5), (6, "a b c d e f g", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k long")
+    assert sorted(r.k for r in simhash.stage_simhash(spark, docs, "").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_quads_lie_in_any_five_positions():
+    assert all(any(set(q) <= set(five) for q in simhash.EXACT.keys) for five in itertools.combinations(range(8), 5))
+
+
+@pytest.mark.parametrize("changed", [0, 1])
+def test_simhash_stage_recall(spark, changed):
+    """Pairs of texts at 0.8 to 0.9 among unrelated ones."""
+    rng = random.Random(8)
+    rows, pairs = [], 0
+    while pairs < 150:
+        ws = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = list(ws)
+        for i in rng.sample(range(300), 6 - 2 * changed):  # each change costs five shingles
+            other[i] = "x"
+        j = len(shingle_set(" ".join(ws)) & shingle_set(" ".join(other))) / len(shingle_set(" ".join(ws)) | shingle_set(" ".join(other)))
+        if 0.8 <= j:
+            rows += [(2 * pairs, " ".join(ws)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    kept = simhash.stage_simhash(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert all(r.doc_id % 2 == 0 for r in kept if r.doc_id - 1 not in {k.doc_id for k in kept} ) and len(rows) - len(kept) >= (0.9 if changed == 0 else 0.95) * pairs
 
 
 def test_spans_of_history_rewriting_template():
