@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import durable, written
 
-#: A digest is frequent if it holds at least one row in so many; so many winners are broadcast at most.
-HEAVY = 1024
+#: A digest is frequent if it holds at least one row in so many, or in SHARES times the shuffle partitions where that is
+#: more; so many winners are broadcast at most.
+HEAVY, SHARES = 1024, 4
 
 
 def _summaries(batches: Iterator[pd.DataFrame], counters: int) -> Iterator[pd.DataFrame]:
@@ -25,7 +26,7 @@ def _summaries(batches: Iterator[pd.DataFrame], counters: int) -> Iterator[pd.Da
     yield pd.DataFrame({"digest": held.index, "estimate": held.to_numpy()})
 
 
-def exact_dedup(docs: DataFrame, heavy: int = HEAVY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, heavy: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their SHA-256 digests are; null counts as the empty text. Of equal texts the row
@@ -36,8 +37,9 @@ def exact_dedup(docs: DataFrame, heavy: int = HEAVY, id_col: str = "doc_id", tex
     surely has over n/(2*heavy) in the summed counters, which fewer than 2*heavy digests can have, so the
     candidates are few at any size. They are verified by an exact count, and the winners (at most `heavy`
     rows) are broadcast: the rows of frequent digests never enter a shuffle. All others are grouped and
-    joined on the digest; a digest there has less than n/heavy rows.
+    joined on the digest; a digest there has less than n/heavy rows, a quarter of a partition's share at most.
     """
+    heavy = heavy or max(HEAVY, SHARES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = written(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
@@ -65,6 +67,7 @@ def exact_dedup(docs: DataFrame, heavy: int = HEAVY, id_col: str = "doc_id", tex
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row of `documents` with the row that stays of its equals."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -106,7 +106,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     method moves the chances of a block of `block` documents along the null-space of its balance constraints
     (documents, tokens), so both totals stay as expected, until two documents at most are fractional. Those
     left over go to blocks again, until a source fits one block and the landing chooses the outcome nearest
-    to the expected tokens. Order and random numbers come from hashes of ids: reruns agree. Null sources are
+    to the expected tokens. Order and random numbers come from hashes of ids and texts: reruns agree, rows
+    with null or equal ids go to blocks apart, and only rows equal in all of that share one. Null sources are
     one source; sources without a word have target 0; an empty table gives an empty result. `keep` names
     columns of docs to carry along; all others are ignored.
     """
@@ -115,6 +116,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
             (word_count(F.col("text")) if size is None else F.coalesce(size, F.lit(0)).cast("long")).alias("size"),
+            (F.xxhash64(F.lit(5), F.col("text")) if "text" in docs.columns else F.lit(0).cast("long")).alias("th"),
             F.monotonically_increasing_id().alias("rid"), *[c.alias(n) for n, c in carried.items()],
         )
     )
@@ -124,7 +126,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     s = sources.select(F.col("source").alias("s_source"), "source_size", "source_docs", "target", ratio.alias("ratio"))
     chosen = sizes.drop(*carried).join(s, F.col("source").eqNullSafe(F.col("s_source"))).select(
         "rid", "doc_id", "source", "size", "source_docs", (F.col("ratio") - F.floor("ratio")).alias("chance"),
-        F.xxhash64(F.lit(seed), "doc_id", "size").alias("h"),
+        F.xxhash64(F.lit(seed), "doc_id", "size", "th").alias("h"),
     )
     open_ = chosen.where("chance > 0 and chance < 1")
     picked, level = [], 0
@@ -155,11 +157,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of all of `documents`."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents it takes no copy of go."""
+    """Each document as often as the mix takes it; documents it takes no copy of go.
+
+    Null sources are one source, null texts have size 0 (and stay only by their source's whole copies);
+    repeated rows are documents each; an empty table gives an empty result; columns may have any names.
+    """
     names = docs.columns
     mixed = mix(docs, keep=names)
     # positions, as carried names may clash with the operator's own

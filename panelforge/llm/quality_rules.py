@@ -98,6 +98,7 @@ def quality_rules(docs: DataFrame, limit: float = HOST_LIMIT, id_col: str = "doc
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts, rule failures and verdicts of all of `documents`."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
@@ -105,7 +106,8 @@ def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of documents that pass their own rules and come from a host that passes.
 
     The rated rows are written once with their texts: a filter on the rules over a plan that computes them
-    would be pushed below it, and so compute them anew at every mention.
+    would be pushed below it, and so compute them anew at every mention. Null texts have no word and fail;
+    null hosts are one host; repeated rows count each; an empty table gives an empty result.
     """
     whole = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rated = written(features(docs, F.col("text"), [*whole, F.col("source").cast("string").alias("host")]).select(*[f"c{i}" for i in range(len(whole))], "host", "base_failed"))

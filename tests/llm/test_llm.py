@@ -180,10 +180,21 @@ def test_spans_of_history_rewriting_template():
     forgets = lambda ms: "".join(f"[{r}]{t if i == len(ms) - 1 else t[:3]};" for i, (r, t) in enumerate(ms))
     inc = chat.Incremental(forgets)
     assert [inc.add(m).rewrites for m in [("user", "hello there"), ("assistant", "long answer")]] == [False, True]
-    inc = chat.Incremental(chat.chatml, window=4)
+    # the last 20 turns only are rendered: history is rewritten from turn 20 on, and by a template that drops thoughts late
+    last = lambda ms: "".join(f"[{r}]{t};" for r, t in ms[-20:])
+    inc = chat.Incremental(last)
+    assert [inc.add(("user", f"turn {i}")).rewrites for i in range(60)] == [i >= 20 for i in range(60)]
+    late = lambda ms: "".join(f"[{r}]{t if len(ms) < 40 else t[:2]};" for r, t in ms)
+    inc = chat.Incremental(late)
+    assert [inc.add(("user", f"turn {i}")).rewrites for i in range(60)] == [i == 39 for i in range(60)]
+    system = lambda ms: "".join(f"{r}>{ms[0][1] if i == len(ms) - 1 and i else ''}{t}|" for i, (r, t) in enumerate(ms))
+    inc = chat.Incremental(system)
+    assert any(inc.add(("user", f"turn {i}")).rewrites for i in range(30))
+    inc = chat.Incremental(chat.chatml)
     for i in range(20):
         t = inc.add(("assistant", f"<|im_end|> {i} <\\|x|> <"))
         assert chat.unescape(t.segment[t.start : t.stop]) == f"<|im_end|> {i} <\\|x|> <" and not t.rewrites
+        assert t.segment[t.role_start : t.role_stop] == "assistant"
 
 
 @pytest.mark.parametrize("text", ["", "<", "<|", "<\\|", "<\\\\|x<|", "|", "a<|im_start|>b", "<<||>>"])
@@ -199,6 +210,8 @@ def test_chat(spark):
     assert got[1].loss_sha256 == hashlib.sha256(b"ab").hexdigest()
     assert got[3].turns_sha256 == hashlib.sha256("".join(f"{'user' if i % 2 else 'assistant'}\nt{i}\n" for i in range(50)).encode()).hexdigest()
     assert got[1].formatted_chars == len(chat.chatml([("user", ""), ("assistant", "a"), ("assistant", "b")]))
+    clash = spark.createDataFrame([(1, 0, "user", "x", "c", 1, "s", "l")], "conv_id long, turn long, role string, text string, conv string, ix long, segment string, loss string")
+    assert chat.conversation_digests(chat.format_conversations(clash)).first().n_turns == 1
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -268,10 +281,15 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
-def test_length_bins_round_up_by_little(spark):
-    xs = [1, 16384, 16385, 20000, 99999, 10**7 + 1, 2**40 + 1]
-    for x, b in zip(xs, [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x long").select(packing.length_bin(F.col("x"))).collect()]):
-        assert x <= b <= x * 1.002 + 1 and (x > 16384 or b == x)
+def test_packing_bounds_over_long_lengths(spark):
+    """Lengths far apart and above 16,384: the bounds are the best of all choices."""
+    lengths = [3, 17000, 17001, 17050, 40000, 40001, 99999, 100000, 5_000_000]
+    rows = [(None, x) for x in lengths for _ in range(1 + x % 3)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, size long"), buckets=4, length=F.col("size")).collect()
+    count = collections.Counter(x for _, x in rows)
+    cost = lambda bounds: sum(m * (next(b for b in bounds if b >= v) - v) for v, m in count.items())
+    best = min(cost(sorted([*pick, lengths[-1]])) for pick in itertools.combinations(lengths[:-1], 3))
+    assert sum(r.padding for r in got) == best and len(got) == len(rows)
 
 
 def test_katz(docs, rows, empty):
