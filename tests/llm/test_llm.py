@@ -318,21 +318,29 @@ def test_katz(docs, rows, empty):
         alpha[a] = (1 - s / below[a]) / (1 - sum(p1(b) for b, _ in items))
         assert sum(disc(d2, c) / below[a] for _, c in items) + alpha[a] * (sum(p1(w) for w in uni if (a, w) not in big) + unk) == pytest.approx(1)
     rule = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
-    got = collections.defaultdict(list)
-    for r in katz.katz_scores(docs, rule).collect():
-        got[r.doc_id].append(r)
-    small = {r.doc_id: r for r in katz.katz_scores(docs, rule, vocabulary=50).collect()}
-    for r, x in zip(rows, toks):
-        want = sum(math.log10(disc(d2, big[a, b]) / below[a] if (a, b) in big else alpha.get(a, 1) * p1(b)) for a, b in zip([0, *x[:-1]], x))
-        base = sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (len(uni) + 1))) for w in x)
-        g = min(got[r[0]], key=lambda g: abs(g.score - want))
-        assert (g.held_out, g.n_tokens, g.train_tokens) == (held(r[0]), len(x), n)
-        assert g.score == pytest.approx(want, rel=1e-6) and g.base_score == pytest.approx(base)
-        if r[0] is not None:
-            assert small[r[0]].base_score == pytest.approx(base) and small[r[0]].n_known == g.n_known
+    for options in ({}, {"vocabulary": 50, "part_tokens": 100}, {"vocabulary": 1}, {"part_tokens": 30}):
+        got = collections.defaultdict(list)
+        for r in katz.katz_scores(docs, rule, **options).collect():
+            got[r.doc_id].append(r)
+        assert sum(map(len, got.values())) == len(rows)
+        for r, x in zip(rows, toks):
+            want = sum(math.log10(disc(d2, big[a, b]) / below[a] if (a, b) in big else alpha.get(a, 1) * p1(b)) for a, b in zip([0, *x[:-1]], x))
+            base = sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (len(uni) + 1))) for w in x)
+            g = min(got[r[0]], key=lambda g: abs(g.score - want))
+            assert (g.held_out, g.n_tokens, g.train_tokens, g.n_known) == (held(r[0]), len(x), n, sum(w in uni for w in x))
+            assert g.score == pytest.approx(want, rel=1e-9) and g.base_score == pytest.approx(base)
     assert katz.katz_scores(empty, rule).count() == 0
 
 
+def test_katz_ties_and_no_training_text(spark):
+    """Twenty texts of words that occur once, under a cap they all tie at; and nothing to learn from."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(10))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((r.doc_id, round(r.score, 6)) for r in katz.katz_scores(docs, F.lit(False), vocabulary=v).collect()) for v in (50, 1000)]
+    assert got[0] == got[1] and all(math.isfinite(s) for _, s in got[0])
+    assert all(math.isfinite(r.score) and r.n_known == 0 for r in katz.katz_scores(docs, F.lit(True)).collect())
+
+
 def test_substring_dedup(docs, rows, empty):
     starts = collections.Counter(data(r[1])[i : i + 200] for r in rows for i in range(len(data(r[1])) - 199))
     want = collections.Counter()
