@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import written
 
-VOCABULARY, DISCOUNTED, PART_TOKENS, BATCH, SLICE = 1 << 20, 5, 2_000_000, 8192, 1 << 22
+VOCABULARY, DISCOUNTED, PART_TOKENS, BATCH, SLICE = 1 << 20, 5, 1_000_000, 8192, 1 << 22
 BITS, DOC_BITS = 21, 13
 #: Numbers beside those of words: the end of a text, its start (a history only). Codes of words without a number have FLAG set.
 END, START, FLAG = (1 << BITS) - 2, (1 << BITS) - 3, 1 << 62
