@@ -38,10 +38,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hashes of any ranges of a byte array, by two polynomials modulo 2^64."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, polynomials: int = 2):
         n = len(data) + 1
         self.parts = []
-        for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+        for base in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[:polynomials]:
             up = np.full(n, base, dtype=np.uint64)
             down = np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
             up[0] = down[0] = 1
@@ -67,14 +67,17 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, place, anchor hash, context hash, bytes before, bytes from it) of the anchors of texts of some bytes in all."""
+def anchors(texts: list[bytes], contexts: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, place, anchor hash, context hash, bytes before, bytes from it) of the anchors of texts of some bytes in all.
+
+    Without `contexts` the last three are left out.
+    """
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     if len(data) < LENGTH:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6 if contexts else 3))
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-    hashes = Hashes(data)
+    hashes = Hashes(data, 2 if contexts else 1)
     at = np.arange(len(data) - GRAM + 1)
     gram = np.maximum(hashes.of(at, at + GRAM, 1), np.uint64(1))
     least = _sliding(gram, WINDOW, np.minimum)
@@ -83,6 +86,8 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     p = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == gram)
     text = owner[p]
     begin = np.where(text > 0, ends[text - 1], 0)
+    if not contexts:
+        return text, p - begin, gram[p].view(np.int64)
     a, b = np.maximum(begin, p - REACH), np.minimum(ends[text], p + LENGTH)
     context = _mix(hashes.of(a, b) ^ (((p - a) << 16) | (b - p)).astype(np.uint64))
     return text, p - begin, gram[p].view(np.int64), context.view(np.int64), p - a, b - p
@@ -107,22 +112,22 @@ def _pieces(texts) -> Iterator[list[tuple[int, int, int, bytes]]]:
 _ANCHOR = "doc_id long, th long, h long, c long, before int, after int, places array<long>"
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(id, text hash, anchor, context, bytes before, bytes from it, place) of all anchors, by chunk."""
+def _found(batches: Iterator[pa.RecordBatch], contexts: bool = True) -> Iterator[tuple]:
+    """(id, text hash, anchor, [context, bytes before, bytes from it,] place) of all anchors, by chunk."""
     for b in batches:
         ids, ths = b.column(0).to_numpy(), b.column(1).to_numpy()
         for pieces in _pieces(b.column(2).to_pylist()):
-            piece, pos, h, c, before, after = anchors([x[3] for x in pieces])
+            piece, pos, *of = anchors([x[3] for x in pieces], contexts)
             doc = np.array([x[0] for x in pieces])[piece]
             pos = pos + np.array([x[1] for x in pieces])[piece]
             first = np.array([x[2] for x in pieces])[piece]
             own = np.flatnonzero((pos >= first) & (pos < first + CHUNK))
             if len(own):
-                yield ids[doc[own]], ths[doc[own]], h[own], c[own], before[own], after[own], pos[own]
+                yield ids[doc[own]], ths[doc[own]], *[x[own] for x in of], pos[own]
 
 
 def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, h, *_ in _found(batches):
+    for _, _, h, _ in _found(batches, contexts=False):
         h, n = np.unique(h, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
 
@@ -194,6 +199,20 @@ def maximal_repeats(left: list[bytes], right: list[bytes], least: int = LENGTH)
     return out
 
 
+def promising(left: list[bytes], right: list[bytes], least: int = LENGTH) -> list[int]:
+    """Occurrences that may lie in a repeat: the longest prefixes they share with any other, on both sides, add up to `least`.
+
+    The longest prefix shared with any other is shared with a neighbour in sorted order.
+    """
+    room = [0] * len(left)
+    for side in (left, right):
+        order = sorted(range(len(side)), key=side.__getitem__)
+        lcp = [0, *(shared(side[a], side[b]) for a, b in zip(order, order[1:], strict=False)), 0]
+        for i, g in enumerate(order):
+            room[g] += max(lcp[i], lcp[i + 1])
+    return [g for g, x in enumerate(room) if x >= least]
+
+
 _SPAN = "doc_id long, th long, a long, b long"
 
 
@@ -211,8 +230,9 @@ def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 best = {0: (x, y), 1: (x, y)} if x + y >= LENGTH else {}
             else:
                 best = {}
-                for x, y, group in maximal_repeats(left[at : at + n], after[at : at + n]):
-                    for g in group:
+                some = promising(left[at : at + n], after[at : at + n])
+                for x, y, group in maximal_repeats([left[at + g] for g in some], [after[at + g] for g in some]) if len(some) > 1 else ():
+                    for g in (some[k] for k in group):
                         old = best.get(g)
                         best[g] = (max(old[0], x), max(old[1], y)) if old else (x, y)
             rows += [(doc_id[at + g], th[at + g], pos[at + g] - x, pos[at + g] + y) for g, (x, y) in best.items() if single[at + g]]
@@ -304,4 +324,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:
+    """What is left of each of `documents` without repeated strings of LENGTH bytes."""
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
