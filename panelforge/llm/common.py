@@ -35,7 +35,22 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+#: Where the tables that `written` returned lie.
+_PATHS: dict[int, str] = {}
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table of `written` that nothing will read any more; other DataFrames are left alone."""
+    path = _PATHS.pop(id(df), None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import written
+from panelforge.llm.common import forget, written
 
 VOCABULARY, DISCOUNTED, PART_TOKENS, BATCH, SLICE = 1 << 20, 5, 1_000_000, 8192, 1 << 22
 BITS, DOC_BITS = 21, 13
@@ -426,7 +426,9 @@ def katz_scores(docs: DataFrame, held_out, vocabulary: int = VOCABULARY, part_to
     sums = bigrams.select(F.explode("sums").alias("s")).select(*[F.col("s")[i].alias(c) for i, c in enumerate(names)])
     # at most one row a numbered word, far fewer in practice
     hot = sums.groupBy("h").agg(*[F.sum(c).alias(c) for c in names[1:]]).toPandas().sort_values("h").reset_index(drop=True)
-    keys = requests.where("part < 0").select(*_NAMES, F.lit(0).cast("long").alias("m"), F.lit(None).cast("binary").alias("wide"))
+    keys = written(requests.where("part < 0").select(*_NAMES))
+    forget(requests)
+    keys = keys.select(*_NAMES, F.lit(0).cast("long").alias("m"), F.lit(None).cast("binary").alias("wide"))
     scored = bigrams.select(*_NAMES, "m", "wide").unionByName(keys).mapInPandas(lambda b: _score_part(b, shared, d, hot, parts), "bucket long, batch long, n long, sums binary")
     scores = scored.groupBy("bucket").applyInPandas(lambda pdf: _add_up(pdf), "key long, part_score double").groupBy("key").agg(F.sum("part_score").alias("total_score"))
 
