@@ -20,8 +20,34 @@ THEMES = {
 DEFAULT_THEME = "Market color"
 PRIORITY = ["Geopolitics and policy", "Rates and central banks", "Commodities and energy", "Macro and growth", "Earnings", "AI and semis", "Credit and liquidity", DEFAULT_THEME]
 MEDIA = "newsletter|co-author|coauthor|returns to|joins|hires|appointed|promoted|media post|mediapost|journalist|editor|coverage team|will author|will co-author"
-PERSONAL = "social security|medicare|401k|ira|retirement|estate plan|mortgage|payroll taxes|my husband|my wife|should i|personal finance"
-STOP_WORDS = ["A", "AI", "ALL", "AM", "ATH", "CEO", "CFO", "CPI", "DD", "EPS", "ETF", "FBI", "FDA"]
+PERSONAL = "social security|medicare|401k|ira|retirement|estate plan|mortgage|payroll taxes|my husband|my wife|i claimed|i'm working|i am working|should i|personal finance"
+ONE_DEAL = "dulux maker|takeover bid from major rival|stock soars 20% after takeover bid"
+BROAD = (
+    "s&p|nasdaq|dow|russell|index|indices|futures|sector|industry|semiconductor|semis|chip|chips|ai infrastructure|data center|hyperscaler|"
+    "oil|crude|brent|wti|energy|gasoline|gold|copper|treasury|yield|yields|fed|fomc|ecb|boj|boe|inflation|cpi|ppi|pce|jobs|payroll|unemployment|"
+    "claims|gdp|consumer spending|retail sales|tariff|trade|china|iran|israel|hormuz|credit|spreads|banks|financials|housing|dollar|rates|"
+    "defense sector|aerospace|supply chain"
+)
+MOVES = "soars?|surges?|jumps?|rips?|pops?|rallies|tumbles|plunges|slides|falls"
+SINGLE_NAME = (rf"(?:stock|shares?)\s+(?:{MOVES})", rf"(?:{MOVES})\s+\d+%?\s+(?:on|after|as)", "earnings beat")
+ROUNDUP = "live updates|stock market today|daily open|before the bell"
+ROUNDUP_TOPIC = "oil|yield|fed|cpi|ppi|payroll|earnings|guidance|hormuz|tariff|credit"
+HEADLINE = "breaking|daily open|market pulse|stock market today|before the bell|after hours|wall street|yields?|oil|earnings|central bank"
+WALL = "pardon our interruption|privacy|terms|sign in|login|subscribe"
+WEIGHTY = ["Earnings", "Rates and central banks", "Geopolitics and policy", "Commodities and energy"]
+FRESH_HOURS, IMPORTANT_HOURS, IMPORTANT_SCORE, DRIVERS = 24, 96, 44, 48
+STOP_WORDS = [
+    "A", "AI", "ALL", "AM", "ATH", "CEO", "CFO", "CPI", "DD", "EPS", "ETF", "FBI", "FDA", "FOMC", "GDP", "IPO", "IRS", "IT", "JOB", "LOL", "M", "MAGA",
+    "NYSE", "OP", "OTM", "PCE", "PM", "PUT", "SEC", "USA", "USD", "YOLO",
+]
+GENERIC_THREAD = "daily discussion|what are your moves|weekend discussion|earnings thread|daily thread|premarket thread|market open thread|moves tomorrow|watchlist"
+#: A word boundary that knows ASCII words only, whatever the text around it.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def has_words(text: Column, words: str) -> Column:
+    """Whether one of the alternatives stands in the text as words, in any case."""
+    return text.rlike(rf"(?i){EDGE}(?:{words}){EDGE}")
 
 
 def meta(html: Column, name: str) -> Column:
@@ -73,8 +99,7 @@ def links(pages: DataFrame, most: int = 5, least: int = 0) -> DataFrame:
 
 
 def themes(text: Column) -> Column:
-    hay = F.lower(text)
-    found = F.array_compact(F.array(*[F.when(hay.rlike(rf"\b({words})\b"), F.lit(name)) for name, words in THEMES.items()]))
+    found = F.array_compact(F.array(*[F.when(has_words(text, words), F.lit(name)) for name, words in THEMES.items()]))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(DEFAULT_THEME)))
 
 
@@ -83,11 +108,21 @@ def primary_theme(found: Column) -> Column:
 
 
 def is_media_meta(text: Column) -> Column:
-    return F.lower(text).rlike(rf"\b({MEDIA})\b")
+    return has_words(text, MEDIA)
 
 
-def is_low_signal(text: Column) -> Column:
-    return is_media_meta(text) | F.lower(text).rlike(rf"\b({PERSONAL})\b")
+def is_single_name(text: Column) -> Column:
+    """A headline of one stock's move."""
+    return has_words(text, SINGLE_NAME[0]) | has_words(text, SINGLE_NAME[1]) | has_words(text, SINGLE_NAME[2])
+
+
+def is_low_signal(title: Column, summary: Column, excerpt: Column, source: Column) -> Column:
+    """Media about media, personal finance, a single deal or name without a broad channel, or a roundup without a topic."""
+    text = F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")), F.coalesce(excerpt, F.lit("")))
+    single = is_single_name(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit("")))) & ~has_words(text, BROAD)
+    roundup = has_words(F.coalesce(title, F.lit("")), ROUNDUP) & ~has_words(text, ROUNDUP_TOPIC)
+    personal = has_words(text, PERSONAL) | text.rlike(rf"(?i){EDGE}401\(k\){EDGE}")
+    return is_media_meta(F.concat_ws(" ", F.coalesce(source, F.lit("")), text)) | personal | has_words(text, ONE_DEAL) | single | roundup
 
 
 def trust_score(trust: Column) -> Column:
@@ -95,34 +130,85 @@ def trust_score(trust: Column) -> Column:
     return F.when(t.contains("very high"), 5.0).when(t.contains("high"), 4.0).when(t.contains("medium"), 3.0).otherwise(2.0)
 
 
-def importance(trust: Column, age: Column, found: Column, low: Column) -> Column:
-    """Trust, freshness and themes, less a penalty for low signal."""
-    fresh = F.when(age.isNull(), 0).when(age <= 6, 12).when(age <= 24, 8).when(age <= 72, 3).otherwise(0)
-    special = F.size(F.filter(found, lambda x: x != DEFAULT_THEME))
-    return trust * 8 + fresh + F.least(special, F.lit(4)) * 5 - F.when(low, 30).otherwise(0)
+def scored_articles(articles: DataFrame) -> DataFrame:
+    """Adds themes, media, low, broad and importance to articles (title, summary, excerpt, source, trust, age, since_previous).
+
+    Importance is trust, news since the last refresh, freshness (`age` in hours, null: undated), weighty
+    themes and headline words, less penalties for earnings or single names without a broad channel, undated
+    pieces, media about media, low signal and pages behind a wall.
+    """
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("excerpt", F.lit("")))
+    short = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
+    df = articles.withColumns({
+        "themes": themes(text), "broad": has_words(text, BROAD), "single": is_single_name(short),
+        "media": is_media_meta(F.concat_ws(" ", F.coalesce("source", F.lit("")), text)),
+        "low": is_low_signal(F.col("title"), F.col("summary"), F.col("excerpt"), F.col("source")),
+        "headline": text.rlike(rf"(?i)(?:{HEADLINE})"), "wall": text.rlike(rf"(?i)(?:{WALL})"),
+    })
+    points = lambda when, n: F.when(when, n).otherwise(0)
+    fresh = F.when(F.col("age") <= FRESH_HOURS, 24).when(F.col("age") <= IMPORTANT_HOURS, 8).otherwise(0)
+    score = (
+        trust_score(F.col("trust")) * 8 + points(F.col("since_previous"), 30) + fresh
+        + points(F.arrays_overlap("themes", F.lit(WEIGHTY)), 14) + points(F.col("headline"), 8)
+        - points(F.array_contains("themes", "Earnings") & ~F.col("broad"), 26) - points(F.col("single") & ~F.col("broad"), 35)
+        - points(F.col("age").isNull(), 12) - points(F.col("media"), 80) - points(F.col("low"), 45) - points(F.col("wall"), 40)
+    )
+    return df.withColumn("importance", score).drop("single", "headline", "wall")
+
+
+def market_drivers(scored: DataFrame, most: int = DRIVERS) -> DataFrame:
+    """The best article of each url among those that are fresh, or important and not old; media, noise and narrow earnings aside."""
+    narrow = (F.size("themes") == 1) & (F.col("themes")[0] == "Earnings") & ~F.col("broad")
+    fresh = F.col("since_previous") | F.coalesce(F.col("age") <= FRESH_HOURS, F.lit(False))
+    important = F.coalesce((F.col("age") <= IMPORTANT_HOURS) & (F.col("importance") >= IMPORTANT_SCORE), F.lit(False))
+    kept = scored.where(~F.col("media") & ~F.col("low") & ~narrow & (fresh | important) & F.col("url").isNotNull() & (F.col("title") != ""))
+    best = kept.groupBy("url").agg(F.min_by(F.struct("doc_id", "importance", "themes"), F.struct(-F.col("importance"), "doc_id")).alias("a"))
+    return best.select("url", "a.*").orderBy(F.desc("importance"), "doc_id").limit(most)
 
 
 def top_per(df: DataFrame, key: str, n: int, *order) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
 
 
+def _mention(symbol: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.upper(symbol), "-", "."), "[^A-Z0-9.]", "")
+
+
+def cashtags(text: Column) -> Column:
+    found = F.transform(F.regexp_extract_all(text, F.lit(rf"\$([A-Z][A-Z0-9.-]{{0,7}}){EDGE}"), F.lit(1)), _mention)
+    return F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 1) & (F.length(x) <= 6)))
+
+
 def tickers(text: Column, known: list[str]) -> Column:
     """Cashtags, and known upper-case symbols, without stop words."""
-    cash = F.regexp_extract_all(text, F.lit(r"\$([A-Z][A-Z0-9.-]{0,5})\b"), F.lit(1))
-    plain = F.array_intersect(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,5})\b"), F.lit(1)), F.array(*[F.lit(k) for k in known]).cast("array<string>"))
-    return F.array_except(F.array_distinct(F.concat(cash, plain)), F.array(*[F.lit(s) for s in STOP_WORDS]))
-
-
-def ticker_signals(posts: DataFrame, known: list[str]) -> DataFrame:
-    """(post_id, symbol, weight, direct): title hits weigh 2.5, cashtags 2, body mentions 0.4 each."""
-    title, body = tickers(F.col("title"), known), tickers(F.col("body"), known)
-    df = posts.select("*", title.alias("in_title"), F.array_union(title, body).alias("all"))
-    df = df.select("post_id", "score", "comments", "body", "title", "in_title", F.size("all").alias("n"), F.explode("all").alias("symbol"))
-    times = F.size(F.split(F.concat(F.lit(" "), F.col("body"), F.lit(" ")), F.concat(F.lit(r"\b"), F.col("symbol"), F.lit(r"\b")))) - 1
-    direct = F.array_contains("in_title", F.col("symbol"))
-    cash = F.concat_ws(" ", "title", "body").contains(F.concat(F.lit("$"), F.col("symbol")))
-    weight = F.when(direct, 2.5).otherwise(0.0) + F.when(cash, 2.0).otherwise(0.0) + F.lit(0.4) * times
-    return df.select("post_id", "symbol", "score", "comments", "n", weight.alias("weight"), direct.alias("direct"))
+    known_, stop = (F.lit(list(x)).cast("array<string>") for x in (known, STOP_WORDS))
+    plain = F.transform(F.regexp_extract_all(text, F.lit(rf"{EDGE}([A-Z]{{2,5}}(?:\.[A-Z])?){EDGE}"), F.lit(1)), _mention)
+    return F.array_except(F.array_distinct(F.concat(cashtags(text), F.array_intersect(plain, known_))), stop)
+
+
+def ticker_signals(posts: DataFrame, known: list[str], body_chars: int = 1200) -> DataFrame:
+    """(post_id, symbol, score, comments, n, weight, direct) of posts (post_id, title, body, score, comments).
+
+    Title hits weigh 2.5, cashtags 2, body mentions 0.4 each up to four; symbols below 1 are left out. In
+    generic threads, in lists of eight symbols or more without a title hit or cashtag, and with fewer than
+    two mentions in the body, only title hits and cashtags count. n is the number of symbols a post keeps.
+    """
+    body = F.substring(F.coalesce("body", F.lit("")), 1, body_chars)
+    df = posts.select("post_id", "score", "comments", F.coalesce("title", F.lit("")).alias("title"), body.alias("body"))
+    both, stop, known_ = F.concat_ws(" ", "title", "body"), *(F.lit(list(x)).cast("array<string>") for x in (STOP_WORDS, known))
+    cash = cashtags(both)
+    df = df.withColumns({"in_title": tickers(F.col("title"), known), "in_body": tickers(F.col("body"), known), "cash": F.array_union(F.array_intersect(cash, known_), F.array_except(cash, stop))})
+    df = df.withColumn("all", F.array_union(F.array_union("in_title", "in_body"), "cash"))
+    dump = (F.size("all") >= 8) & (F.size("in_title") == 0) & (F.size("cash") == 0)
+    df = df.select("*", (has_words(F.col("title"), GENERIC_THREAD) | dump).alias("strict"), F.explode("all").alias("symbol"))
+    pattern = F.concat(F.lit(rf"(?i)(?:\$|{EDGE})"), F.regexp_replace("symbol", r"\.", "[.-]"), F.lit(EDGE))
+    title, tagged, times = F.array_contains("in_title", F.col("symbol")), F.array_contains("cash", F.col("symbol")), F.regexp_count("body", pattern)
+    direct = title | tagged
+    weight = F.when(title, 2.5).otherwise(0.0) + F.when(tagged, 2.0).otherwise(0.0) + F.lit(0.4) * F.least(times, F.lit(4))
+    kept = df.select("post_id", "symbol", "score", "comments", "strict", times.alias("times"), F.round(weight, 2).alias("weight"), direct.alias("direct"))
+    kept = kept.where(F.col("direct") | (~F.col("strict") & (F.col("times") >= 2))).where("weight >= 1")
+    n = F.count(F.lit(1)).over(Window.partitionBy("post_id")).cast("int")
+    return kept.select("post_id", "symbol", "score", "comments", n.alias("n"), "weight", "direct")
 
 
 def attention(signals: DataFrame, most: int = 15) -> DataFrame:

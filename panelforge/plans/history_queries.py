@@ -165,8 +165,8 @@ add("k13_over_represented", lambda s, d: k.over_represented(scored(s, d)), f", g
 add("k15_stance", lambda s, d: c.breadth(base(s, d)).select("date", k.stance(F.col("above_50")).alias("stance")), f"SELECT {D}, CASE WHEN x >= 0.55 THEN 'Risk on' WHEN x >= 0.4 THEN 'Mixed' ELSE 'Risk off' END AS stance FROM (SELECT date, avg(coalesce(CAST(vs_sma50 > 0 AS INTEGER), 0)) AS x FROM feat GROUP BY date)")
 add("k16_union_missing", lambda s, d: k.union_missing(t.table(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_nationkey").alias("k"), F.lit("c").alias("src")).distinct(), t.table(s, d, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("s").alias("src")).distinct(), "k"), "SELECT DISTINCT c_nationkey AS k, 'c' AS src FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT DISTINCT s_nationkey, 's' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 5000)", "")
 add("k17_avoid_list", lambda s, d: scored(s, d).where(F.col("date") == F.lit("2000-01-03").cast("date")).orderBy(F.desc("rank")).limit(10).select("symbol", "rank", F.concat_ws(" ", "sector", F.col("rank").cast("string")).alias("evidence")), f"SELECT symbol, rank, sector || ' ' || rank AS evidence FROM {SCORED} WHERE date = DATE '2000-01-03' ORDER BY rank DESC LIMIT 10")
-add("k18_to_refresh", lambda s, d: k.to_refresh(t.table(s, d, "nation").select(F.col("n_name").alias("key")), t.table(s, d, "orders").where("o_custkey < 400").join(t.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey % 3 != 0").join(t.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("key")).agg(F.to_date(F.max("o_orderdate")).alias("fetched")), F.lit("2001-12-31").cast("date"), 100, 12),
-    "SELECT n_name AS key, fetched IS NULL AS missing FROM nation LEFT JOIN (SELECT n2.n_name AS key, CAST(max(o_orderdate) AS DATE) AS fetched FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE o_custkey < 400 AND c_nationkey % 3 <> 0 GROUP BY 1) x ON x.key = n_name WHERE fetched IS NULL OR date_diff('day', fetched, DATE '2001-12-31') > 100 ORDER BY missing DESC, fetched NULLS FIRST, n_name LIMIT 12", "")
+add("k18_to_refresh", lambda s, d: k.to_refresh(t.table(s, d, "nation").select(F.col("n_name").alias("key")), t.table(s, d, "orders").where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").join(t.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("key")).agg(F.to_date(F.max("o_orderdate")).alias("fetched")), F.lit("2001-12-31").cast("date"), 20, 12),
+    "SELECT n_name AS key, fetched IS NULL AS missing FROM nation LEFT JOIN (SELECT n2.n_name AS key, CAST(max(o_orderdate) AS DATE) AS fetched FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation n2 ON c_nationkey = n2.n_nationkey WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' GROUP BY 1) x ON x.key = n_name WHERE fetched IS NULL OR date_diff('day', fetched, DATE '2001-12-31') > 20 ORDER BY missing DESC, fetched NULLS FIRST, n_name LIMIT 12", "")
 
 # ledger
 add("r1_missing_targets", lambda s, d: le.missing_targets(le.expected_targets(t.sessions(t.bars(s, d)).select("date")), le.expected_targets(t.sessions(t.bars(s, d)).where("session_ix % 3 = 0").select("date"))).select("key", F.col("due_at").cast("string").alias("due_at")),

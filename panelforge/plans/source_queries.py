@@ -33,8 +33,8 @@ add("s2_chart_bars", lambda s, d: rd.chart_bars(charts(s, d)).select("symbol", "
     f"{ALL} SELECT symbol, CAST(date AS VARCHAR) AS date, {r('CASE WHEN session_ix % 17 <> 0 THEN open * (close * 0.5) / close END', 'open')}, {r('CASE WHEN session_ix % 17 <> 0 THEN close * (close * 0.5) / close END', 'close')}, CASE WHEN session_ix % 17 <> 0 THEN 'ok' ELSE 'bad_adjusted_close' END AS reason FROM p WHERE close IS NOT NULL")
 add("s3_evidence", lambda s, d: rd.ingestion_evidence(rd.chart_bars(charts(s, d))),
     f"{ALL} SELECT symbol, count(*) AS raw, count(*) FILTER (session_ix % 17 <> 0) AS accepted, count(*) FILTER (session_ix % 17 = 0) AS rejected, array_to_string(list_slice(list(CAST(date AS VARCHAR) ORDER BY date DESC), 1, 3), ',') AS tail FROM p WHERE close IS NOT NULL GROUP BY symbol")
-add("s6_index_changes", lambda s, d: rd.index_changes(t.table(s, d, "customer").where("c_custkey <= 600").select((F.col("c_custkey") % 5).alias("page_id"), F.col("c_custkey").alias("pos"), F.when(F.col("c_custkey") % 15 < 5, F.concat(F.lit("d"), "c_custkey")).alias("date"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_name")).alias("added"), F.when(F.col("c_nationkey") % 3 == 0, F.col("c_mktsegment")).alias("removed"))),
-    """WITH x AS (SELECT c_custkey % 5 AS page_id, c_custkey AS pos, last_value(CASE WHEN c_custkey % 15 < 5 THEN 'd' || c_custkey END IGNORE NULLS) OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey) AS date, c_name, c_mktsegment, c_nationkey FROM customer WHERE c_custkey <= 600)
+add("s6_index_changes", lambda s, d: rd.index_changes(t.table(s, d, "customer").select((F.col("c_custkey") % 5).alias("page_id"), F.col("c_custkey").alias("pos"), F.when(F.col("c_custkey") % 15 < 5, F.concat(F.lit("d"), "c_custkey")).alias("date"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_name")).alias("added"), F.when(F.col("c_nationkey") % 3 == 0, F.col("c_mktsegment")).alias("removed"))),
+    """WITH x AS (SELECT c_custkey % 5 AS page_id, c_custkey AS pos, last_value(CASE WHEN c_custkey % 15 < 5 THEN 'd' || c_custkey END IGNORE NULLS) OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey) AS date, c_name, c_mktsegment, c_nationkey FROM customer)
  SELECT page_id, pos, date, c_name AS symbol, 'add' AS kind FROM x WHERE c_nationkey % 2 = 0 UNION ALL SELECT page_id, pos, date, c_mktsegment, 'remove' FROM x WHERE c_nationkey % 3 = 0""")
 add("s7_pushed_scan", lambda s, d: t.table(s, d, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate", "l_quantity"]).where("l_shipdate >= '2001-01-01' and l_quantity > 40").select("l_orderkey", "l_linenumber", "l_quantity"),
     "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' AND l_quantity > 40")

@@ -42,23 +42,23 @@ def _x3(spark, sf):
     at = _folder(spark)
     s = _events(spark, sf).select(F.col("event_id").alias("post_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("created"), (F.col("user_id") % 7).alias("comments"))
     jobs.post_attention(s, f"{at}/attention", f"{at}/checkpoint").awaitTermination()
-    return spark.read.schema("at timestamp, symbol string, mentions long, comments long").parquet(f"{at}/attention").where("at <= timestamp '2024-01-20'").select(F.col("at").cast("string").alias("at"), "symbol", "mentions", "comments")
+    return spark.read.schema("at timestamp, symbol string, mentions long, comments long").parquet(f"{at}/attention").select(F.col("at").cast("string").alias("at"), "symbol", "mentions", "comments")
 
 
 QUERIES["x3_post_attention"] = _x3
 SQL["x3_post_attention"] = """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS at, event_type AS symbol, count(*) AS mentions, CAST(sum(user_id % 7) AS BIGINT) AS comments
- FROM (SELECT *, unnest([0, 1, 2, 3]) AS k, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS b FROM events) CROSS JOIN LATERAL (SELECT b + to_hours(CAST((k + 1) * 6 AS INTEGER)) AS w) WHERE w <= TIMESTAMP '2024-01-20' GROUP BY 1, 2"""
+ FROM (SELECT *, unnest([0, 1, 2, 3]) AS k, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS b FROM events) CROSS JOIN LATERAL (SELECT b + to_hours(CAST((k + 1) * 6 AS INTEGER)) AS w) WHERE w <= (SELECT max(ts) - INTERVAL 1 hour FROM events) GROUP BY 1, 2"""
 
 
 def _x2(spark, sf):
     at = _folder(spark)
     s = _events(spark, sf).select(F.col("event_type").alias("symbol"), "ts")
     jobs.session_readiness(s, 5, ["click"], f"{at}/ready", f"{at}/checkpoint").awaitTermination()
-    return spark.read.schema("session timestamp, symbols long, in_context long, ready boolean").parquet(f"{at}/ready").where("session <= timestamp '2024-01-20'").select(F.col("session").cast("string").alias("session"), "symbols", "in_context", "ready")
+    return spark.read.schema("session timestamp, symbols long, in_context long, ready boolean").parquet(f"{at}/ready").select(F.col("session").cast("string").alias("session"), "symbols", "in_context", "ready")
 
 
 QUERIES["x2_session_readiness"] = _x2
-SQL["x2_session_readiness"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS session, count(DISTINCT event_type) AS symbols, count(DISTINCT CASE WHEN event_type = 'click' THEN 1 END) AS in_context, count(DISTINCT event_type) >= 4.5 AND bool_or(event_type = 'click') AS ready FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY date_trunc('day', ts)"
+SQL["x2_session_readiness"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS session, count(DISTINCT event_type) AS symbols, count(DISTINCT CASE WHEN event_type = 'click' THEN 1 END) AS in_context, count(DISTINCT event_type) >= 4.5 AND bool_or(event_type = 'click') AS ready FROM events WHERE date_trunc('day', ts) + INTERVAL 1 day <= (SELECT max(ts) - INTERVAL 2 days FROM events) GROUP BY date_trunc('day', ts)"
 
 
 def _x4(spark, sf):

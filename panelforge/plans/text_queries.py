@@ -43,38 +43,71 @@ for _t in ("script", "style", "nav", "footer", "header"):
 add("t3_visible_text", lambda s, d: pages(s, d).select("page_id", F.md5(tx.visible_text(F.col("html"))).alias("text_md5")), f"SELECT page_id, md5({STRIP.format(_VIS)}) AS text_md5 FROM pages")
 add("t2_published", lambda s, d: pages(s, d).select("page_id", F.coalesce(tx.published(F.col("html")), F.lit("")).alias("published")), r"""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<meta\b[^>]*(?:property|name|itemprop)="article:published_time"[^>]*content="([^"]*)"', 1), ''), nullif(regexp_extract(html, '(?i)<time[^>]*datetime="([^"]+)"', 1), ''), nullif(regexp_extract(html, '"datePublished"\s*:\s*"([^"]+)"', 1), ''), regexp_extract(html, '(20\d\d-\d\d-\d\d)', 1)) AS published FROM pages""")
 add("t4_links", lambda s, d: tx.links(pages(s, d)).select("page_id", "target", "score", "place"))
-_TH = ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b({w})\\b') THEN '{n}' END" for n, w in tx.THEMES.items())
+
+
+def _has(text, words):
+    quoted = words.replace("'", "''")
+    return f"regexp_matches({text}, '(?i)\\b(?:{quoted})\\b')"
+
+
+_TH = ", ".join(f"CASE WHEN {_has('text', w)} THEN '{n}' END" for n, w in tx.THEMES.items())
 _FOUND = f"list_filter([{_TH}], lambda x: x IS NOT NULL)"
 _PRIM = " ".join(f"WHEN list_contains(f, '{p}') THEN '{p}'" for p in tx.PRIORITY[:-1])
-add("t6_themes", lambda s, d: table(s, d, "documents").select("doc_id", tx.themes(F.regexp_replace("text", "[^ -~]", " ")).alias("f")).select("doc_id", F.array_join("f", "|").alias("themes"), tx.primary_theme(F.col("f")).alias("theme")),
-    f"SELECT doc_id, CASE WHEN len(f) > 0 THEN array_to_string(f, '|') ELSE 'Market color' END AS themes, CASE {_PRIM} ELSE 'Market color' END AS theme FROM (SELECT doc_id, {_FOUND} AS f FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents))")
-add("t7_low_signal", lambda s, d: table(s, d, "documents").select("doc_id", tx.is_low_signal(F.regexp_replace("text", "[^ -~]", " ")).alias("low")), rf"SELECT doc_id, regexp_matches(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '\b({tx.MEDIA})\b') OR regexp_matches(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '\b({tx.PERSONAL})\b') AS low FROM documents")
+add("t6_themes", lambda s, d: table(s, d, "documents").select("doc_id", tx.themes(F.col("text")).alias("f")).select("doc_id", F.array_join("f", "|").alias("themes"), tx.primary_theme(F.col("f")).alias("theme")),
+    f"SELECT doc_id, CASE WHEN len(f) > 0 THEN array_to_string(f, '|') ELSE 'Market color' END AS themes, CASE {_PRIM} ELSE 'Market color' END AS theme FROM (SELECT doc_id, {_FOUND} AS f FROM documents)")
 
 
 def _articles(s, d):
-    t = F.regexp_replace("text", "[^ -~]", " ")
-    age = (F.col("doc_id") % 100).cast("double")
-    df = table(s, d, "documents").select("doc_id", "source", tx.themes(t).alias("f"), tx.is_low_signal(t).alias("low"), age.alias("age"), F.element_at(F.array(F.lit("very high"), F.lit("High"), F.lit("medium"), F.lit(None).cast("string")), (F.col("doc_id") % 4 + 1).cast("int")).alias("trust"))
-    return df.withColumn("importance", tx.importance(tx.trust_score(F.col("trust")), F.col("age"), F.col("f"), F.col("low")))
-
-
-_ART = f"""art AS (SELECT doc_id, source, (CASE doc_id % 4 WHEN 0 THEN 5.0 WHEN 1 THEN 4.0 WHEN 2 THEN 3.0 ELSE 2.0 END) * 8 + CASE WHEN doc_id % 100 <= 6 THEN 12 WHEN doc_id % 100 <= 24 THEN 8 WHEN doc_id % 100 <= 72 THEN 3 ELSE 0 END + least(len({_FOUND}), 4) * 5
- - CASE WHEN regexp_matches(lower(text), '\\b({tx.MEDIA})\\b') OR regexp_matches(lower(text), '\\b({tx.PERSONAL})\\b') THEN 30 ELSE 0 END AS importance FROM (SELECT doc_id, source, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents))"""
+    """Documents as articles: the first line is the title, the whole text the summary."""
+    of = F.col("doc_id")
+    df = table(s, d, "documents").select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("summary"), F.lit("").alias("excerpt"), "source",
+        F.element_at(F.array(F.lit("very high"), F.lit("High"), F.lit("medium"), F.lit(None).cast("string")), (of % 4 + 1).cast("int")).alias("trust"),
+        F.when(of % 13 != 0, (of % 150).cast("double")).alias("age"), (of % 10 == 0).alias("since_previous"), F.concat(F.lit("u"), (of % 700).cast("string")).alias("url"),
+    )
+    return tx.scored_articles(df)
+
+
+_BROAD, _SINGLE = _has("t", tx.BROAD), "(" + " OR ".join(_has("ts", w) for w in tx.SINGLE_NAME) + ")"
+_MEDIA = _has("coalesce(source, '') || ' ' || t", tx.MEDIA)
+_LOW = f"({_MEDIA} OR {_has('t', tx.PERSONAL)} OR regexp_matches(t, '(?i)\\b401\\(k\\)\\b') OR {_has('t', tx.ONE_DEAL)} OR ({_SINGLE} AND NOT {_BROAD}) OR ({_has('title', tx.ROUNDUP)} AND NOT {_has('t', tx.ROUNDUP_TOPIC)}))"
+_ART = f"""d AS (SELECT doc_id, source, coalesce(split_part(text, chr(10), 1), '') AS title, coalesce(split_part(text, chr(10), 1), '') || ' ' || coalesce(text, '') AS ts, coalesce(split_part(text, chr(10), 1), '') || ' ' || coalesce(text, '') || ' ' AS t,
+  CASE WHEN doc_id % 13 <> 0 THEN doc_id % 150 END AS age, doc_id % 10 = 0 AS since, 'u' || (doc_id % 700) AS url FROM documents),
+f AS (SELECT *, {_FOUND.replace('text,', 't,')} AS found, {_BROAD} AS broad, {_SINGLE} AS single, {_MEDIA} AS media, {_LOW} AS low FROM d),
+art AS (SELECT doc_id, source, url, title, age, since, broad, media, low, CASE WHEN len(found) > 0 THEN found ELSE ['Market color'] END AS f,
+  (CASE doc_id % 4 WHEN 0 THEN 5.0 WHEN 1 THEN 4.0 WHEN 2 THEN 3.0 ELSE 2.0 END) * 8 + CASE WHEN since THEN 30 ELSE 0 END + CASE WHEN age <= 24 THEN 24 WHEN age <= 96 THEN 8 ELSE 0 END
+  + CASE WHEN list_has_any(found, ['Earnings', 'Rates and central banks', 'Geopolitics and policy', 'Commodities and energy']) THEN 14 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '(?i)(?:{tx.HEADLINE})') THEN 8 ELSE 0 END - CASE WHEN list_contains(found, 'Earnings') AND NOT broad THEN 26 ELSE 0 END
+  - CASE WHEN single AND NOT broad THEN 35 ELSE 0 END - CASE WHEN age IS NULL THEN 12 ELSE 0 END - CASE WHEN media THEN 80 ELSE 0 END
+  - CASE WHEN low THEN 45 ELSE 0 END - CASE WHEN regexp_matches(t, '(?i)(?:{tx.WALL})') THEN 40 ELSE 0 END AS importance FROM f)"""
+add("t7_low_signal", lambda s, d: _articles(s, d).select("doc_id", "media", "broad", "low"), f"WITH {_ART} SELECT doc_id, media, broad, low FROM art")
 add("t8_importance", lambda s, d: _articles(s, d).select("doc_id", "importance"), f"WITH {_ART} SELECT doc_id, importance::DOUBLE AS importance FROM art")
 add("t5_top_per_source", lambda s, d: tx.top_per(_articles(s, d), "source", 3, F.desc("importance"), "doc_id").select("source", "doc_id", "place"), f"WITH {_ART} SELECT source, doc_id, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY importance DESC, doc_id) AS place FROM art) WHERE place <= 3")
-add("t9_drivers", lambda s, d: _articles(s, d).where("age <= 72 or importance >= 40").orderBy(F.desc("importance"), "doc_id").limit(48).select("doc_id", "importance"), f"WITH {_ART} SELECT doc_id, importance::DOUBLE AS importance FROM art WHERE doc_id % 100 <= 72 OR importance >= 40 ORDER BY importance DESC, doc_id LIMIT 48")
-add("t10_theme_counts", lambda s, d: _articles(s, d).select(F.explode("f").alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("n")), f"SELECT theme, count(*) AS n FROM (SELECT unnest(CASE WHEN len(f) > 0 THEN f ELSE ['Market color'] END) AS theme FROM (SELECT {_FOUND} AS f FROM (SELECT regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents))) GROUP BY theme")
+add("t9_drivers", lambda s, d: tx.market_drivers(_articles(s, d)).select("url", "doc_id", "importance"),
+    f"""WITH {_ART} SELECT url, doc_id, importance::DOUBLE AS importance FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY importance DESC, doc_id) AS n FROM art WHERE NOT media AND NOT low AND title <> ''
+ AND NOT (len(f) = 1 AND f[1] = 'Earnings' AND NOT broad) AND (since OR coalesce(age <= 24, false) OR coalesce(age <= 96 AND importance >= 44, false))) WHERE n = 1 ORDER BY importance DESC, doc_id LIMIT 48""")
+add("t10_theme_counts", lambda s, d: _articles(s, d).select(F.explode("themes").alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("n")), f"WITH {_ART} SELECT theme, count(*) AS n FROM (SELECT unnest(f) AS theme FROM art) GROUP BY theme")
 add("t20_source_health", lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.length("text") >= 200).alias("usable"), F.max("doc_id").alias("newest")), "SELECT source, count(*) AS items, count(*) FILTER (length(text) >= 200) AS usable, max(doc_id) AS newest FROM documents GROUP BY source")
 KNOWN = ["THE", "AND", "LES", "QUE", "DER", "UND", "EST"]
 
 
-def _posts(s, d):
-    c = table(s, d, "conversations")
-    return c.groupBy(F.col("conv_id").alias("post_id")).agg(F.min_by(F.upper(F.substring("text", 1, 60)), "turn").alias("title"), F.min_by(F.upper(F.substring("text", 61, 600)), "turn").alias("body"), (F.count(F.lit(1)) * 100).alias("score"), F.sum(F.length("text") % 37).alias("comments"))
+_SMALL, _CAPITAL = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-add("t13_tickers", lambda s, d: _posts(s, d).select("post_id", F.array_join(F.sort_array(tx.tickers(F.regexp_replace("title", "[^ -~]", "_"), KNOWN)), ",").alias("tickers")),
-    r"WITH p AS (SELECT conv_id AS post_id, regexp_replace(arg_min(upper(substring(text, 1, 60)), turn), '[^ -~]', '_', 'g') AS t FROM conversations GROUP BY conv_id) SELECT post_id, array_to_string(list_sort(list_distinct(list_intersect(regexp_extract_all(t, '\b([A-Z]{2,5})\b', 1), ['THE', 'AND', 'LES', 'QUE', 'DER', 'UND', 'EST']))), ',') AS tickers FROM p")
+def _posts(s, d):
+    """Conversations as posts: the first turn is the title, the others the body."""
+    c = table(s, d, "conversations").withColumn("said", F.translate(F.coalesce("text", F.lit("")), _SMALL, _CAPITAL))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "said")))
+    posts = c.groupBy(F.col("conv_id").alias("post_id")).agg(turns.alias("turns"), (F.count(F.lit(1)) * 100).alias("score"), F.sum(F.length("text") % 37).alias("comments"))
+    return posts.select("post_id", F.col("turns")[0]["said"].alias("title"), F.array_join(F.transform(F.slice("turns", 2, 100000), lambda x: x["said"]), " ").alias("body"), "score", "comments")
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+add("t13_tickers", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.array_join(F.sort_array(tx.tickers(F.translate("text", _SMALL, _CAPITAL), KNOWN)), ",").alias("tickers")),
+    rf"""WITH p AS (SELECT conv_id, turn, translate(text, '{_SMALL}', '{_CAPITAL}') AS t FROM conversations),
+c AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(t, '\$([A-Z][A-Z0-9.-]{{0,7}})\b', 1), lambda x: regexp_replace(replace(x, '-', '.'), '[^A-Z0-9.]', '', 'g')), lambda x: len(x) BETWEEN 1 AND 6) AS cash,
+ list_intersect(regexp_extract_all(t, '\b([A-Z]{{2,5}}(?:\.[A-Z])?)\b', 1), ['THE', 'AND', 'LES', 'QUE', 'DER', 'UND', 'EST']) AS plain FROM p)
+SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(list_concat(cash, plain)), lambda x: NOT list_contains([{_STOP}], x))), ',') AS tickers FROM c""")
 add("t15_attention", lambda s, d: tx.attention(tx.ticker_signals(_posts(s, d), KNOWN)).select("symbol", "mentions", "direct", "signal", "attention"))
 add("t22_repeated_lists", lambda s, d: table(s, d, "documents").select("doc_id", tx.repeated_list(F.col("text")).alias("repeats")), r"SELECT doc_id, len(p) <> len(list_distinct(p)) AS repeats FROM (SELECT doc_id, list_transform(string_split(text, ','), lambda x: trim(x)) AS p FROM documents)")
 add("t23_source_refs", lambda s, d: tx.source_refs(pages(s, d).select("url", F.col("page_id").alias("published"))).select("url", "ref"), "SELECT url, 'S' || row_number() OVER (ORDER BY page_id DESC, url) AS ref FROM pages ORDER BY page_id DESC, url LIMIT 36")

@@ -35,10 +35,10 @@ def session_readiness(stream: DataFrame, symbols: int, context: list[str], table
     """X2: sessions for which all context series and enough symbols have arrived, once the watermark has passed them.
 
     Columns symbol, ts. A session is emitted once, complete or not, with its counts; late bars before the
-    watermark are counted in.
+    watermark are counted in. Counts are exact: a session's state holds its symbols.
     """
     day = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"))
-    g = day.agg(F.approx_count_distinct("symbol", 0.01).alias("symbols"), F.approx_count_distinct(F.when(F.col("symbol").isin(context), F.col("symbol")), 0.01).alias("in_context"))
+    g = day.agg(F.size(F.collect_set("symbol")).cast("long").alias("symbols"), F.size(F.collect_set(F.when(F.col("symbol").isin(context), F.col("symbol")))).cast("long").alias("in_context"))
     out = g.select(F.col("w.start").alias("session"), "symbols", "in_context", ((F.col("symbols") >= least * symbols) & (F.col("in_context") == len(context))).alias("ready"))
     return out.writeStream.outputMode("append").format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
