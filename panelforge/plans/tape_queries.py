@@ -47,8 +47,8 @@ add("k21_actions", lambda s, d: live(s, d).withColumn("setup", k.setup_type(top(
 add("k7_rescore", lambda s, d: tape.rescore(day(s, d).select("symbol", "score", "vol20"), {"score": 0.5, "vol20": -1.0}).select("symbol", "score"), f"{FULL} SELECT symbol, {r('coalesce(score, 0) * 0.5 + coalesce(vol20, 0) * -1.0', 'score')} FROM sc WHERE {LAST} AND score IS NOT NULL")
 add("t11_deeper_reads", lambda s, d: tape.deeper_reads(table(s, d, "documents").select("source", F.col("doc_id").alias("url"), "text", (F.col("doc_id") * 37 % 101).alias("importance")), table(s, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("url")), 6).select("source", "url", "importance"),
     "SELECT source, url, importance FROM (SELECT source, doc_id AS url, doc_id * 37 % 101 AS importance, row_number() OVER (PARTITION BY source ORDER BY doc_id * 37 % 101 DESC, doc_id) AS k FROM documents WHERE length(text) >= 400 AND doc_id % 2 <> 0) WHERE k = 1 ORDER BY importance DESC, url LIMIT 6")
-add("t12_conclusions", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(tape.clean_conclusion(F.regexp_replace("text", "[^A-Za-z .]", ""), F.regexp_replace(F.substring("text", 1, 5), "[^A-Za-z .]", ""))).alias("md5")))
-add("t25_clean_lists", lambda s, d: table(s, d, "documents").where("length(text) < 2000").select("doc_id", F.md5(F.array_join(F.array_sort(F.split(tape.dedupe_lists(F.col("text")), ", ")), "|")).alias("md5"), tape.useful(F.col("text")).alias("useful")))
+add("t12_conclusions", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(tape.clean_conclusion(F.col("text"), F.substring_index("text", "\n", 1))).alias("md5")))
+add("t25_clean_lists", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(F.array_join(F.array_sort(F.split(tape.dedupe_lists(F.col("text")), ", ")), "|")).alias("md5"), tape.useful(F.col("text")).alias("useful")))
 add("t16_metric_mode", lambda s, d: tape.metric_mode(table(s, d, "labels").select(F.col("quality").alias("score"))), "SELECT bool_and(quality IS NOT NULL) AS ranked, count(*) AS posts FROM labels")
 add("t17_earnings_movers", lambda s, d: tape.earnings_movers(table(s, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("symbol")), day(s, d).select("symbol", F.col("score").alias("change"))), f"{FULL} SELECT symbol, {r('score', 'change')} FROM sc WHERE {LAST} AND score IS NOT NULL AND symbol IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) ORDER BY abs(score) DESC, symbol LIMIT 12")
 add("t19_due_events", lambda s, d: tape.due_events(table(s, d, "events").where("event_type = 'signup'").select(F.col("event_id").alias("name"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at")), F.lit("2024-01-10").cast("timestamp"), 96, 50).select("name", "today"), "SELECT event_id AS name, CAST(ts AS DATE) = DATE '2024-01-10' AS today FROM events WHERE event_type = 'signup' AND date_trunc('second', ts) BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-14' ORDER BY date_trunc('second', ts), event_id LIMIT 50")
