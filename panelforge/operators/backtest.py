@@ -281,3 +281,30 @@ def activation_grid(rows: DataFrame, closes: DataFrame, context: DataFrame, mult
     tried = first.select("*", F.explode(F.array(*[F.lit(w) for w in windows])).alias("window")).where(F.col("s") - F.col("session_ix") <= F.col("window"))
     out = tried.join(exits, ["symbol", "s"]).join(sector, ["sector", "s"], "left").join(later, ["sector", "s"], "left")
     return out.select("symbol", "date", "multiple", "window", (F.col("exit_close") / F.col("entry") - 1 - F.coalesce(F.col("e1") / F.col("e0") - 1, F.lit(0.0)) - cost).alias("outcome"))
+
+
+def label_comparison(preds: DataFrame, cohorts: dict[str, DataFrame], measures: list[str], outcome: str = "outcome", share: float = 0.1) -> DataFrame:
+    """By cohort: how a score does on one label's return and on further measures (adjusted return, drawdowns) of the same top names.
+
+    Columns date, symbol, score, `outcome` and the measures. A cohort is a table of dates. Means and medians are
+    over dates, of each date's mean in the top basket; `spread` is top less bottom.
+    """
+    df = ranked(preds.where(F.col("score").isNotNull() & F.col(outcome).isNotNull()))
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
+    top, bottom = F.col("place") <= k, F.col("place") > F.col("n") - k
+    daily = df.groupBy("date").agg(*[F.avg(F.when(top, F.col(x))).alias(f"top_{x}") for x in (outcome, *measures)], F.avg(F.when(bottom, F.col(outcome))).alias("bottom")).withColumn("spread", F.col(f"top_{outcome}") - F.col("bottom")).drop("bottom")
+    names = [c for c in daily.columns if c != "date"]
+    parts = []
+    for name, dates in cohorts.items():
+        kept = daily.join(F.broadcast(dates.select("date")), "date", "left_semi")
+        parts.append(kept.agg(F.count(F.lit(1)).alias("dates"), *[F.avg(c).alias(f"{c}_mean") for c in names], *[F.median(c).alias(f"{c}_median") for c in names]).select(F.lit(name).alias("cohort"), "*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def compounded(daily: DataFrame, column: str, h: int, by: list[str]) -> DataFrame:
+    """Growth of daily-equivalent returns of h-session outcomes, each floored at 0.01."""
+    x = daily_equivalent(F.col(column), h)
+    return daily.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("dates"), F.avg(x).alias("mean_daily"), (F.exp(F.sum(F.log(1 + x))) - 1).alias("compounded"))

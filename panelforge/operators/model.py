@@ -129,3 +129,8 @@ def ablation_arms(features: list[str], groups: dict[str, list[str]], **settings)
         if kept and len(kept) < len(features):
             arms[f"without_{name}"] = {"features": kept, **settings}
     return arms
+
+
+def preset_arms(features: list[str], presets: dict[str, dict]) -> dict[str, dict]:
+    """One arm for each preset of trainer settings, all with the same features."""
+    return {name: {"features": features, **settings} for name, settings in presets.items()}

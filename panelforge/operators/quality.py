@@ -78,3 +78,69 @@ def published_violations(scored: DataFrame) -> DataFrame:
 def tag_coverage(facts: DataFrame, symbols: int) -> DataFrame:
     """Share of symbols that report each tag."""
     return facts.groupBy("tag").agg(F.countDistinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("facts")).withColumn("coverage", F.col("symbols") / symbols)
+
+
+def readiness_record(bars: DataFrame, failures: DataFrame, failing: DataFrame, samples: int = 6) -> DataFrame:
+    """(kind, key, value): symbols by latest accepted session (`missing` where there is none), and the first failing symbols with theirs.
+
+    `bars` has symbol and date, `failures` symbol and error, `failing` the symbols that block readiness.
+    """
+    latest = bars.groupBy("symbol").agg(F.max("date").cast("string").alias("latest"))
+    rows = latest.join(failures.select("symbol", "error").dropDuplicates(["symbol"]), "symbol", "full").select("symbol", F.coalesce("latest", F.lit("missing")).alias("latest"), "error")
+    counts = rows.groupBy("latest").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("count").alias("kind"), F.col("latest").alias("key"), "value")
+    first = rows.join(failing.select("symbol").distinct(), "symbol", "left_semi").orderBy("symbol").limit(samples)
+    return counts.unionByName(first.select(F.lit("sample").alias("kind"), F.col("symbol").alias("key"), F.concat_ws("|", "latest", "error").alias("value")))
+
+
+def all_gain_windows(bars: DataFrame, n: int = 14) -> DataFrame:
+    """By symbol: rows whose last n moves hold a gain and no loss (where RSI rules differ), and the last day."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    df = bars.where(F.col("close").isNotNull()).select("symbol", "date", (F.col("close") - F.lag("close").over(w)).alias("d"))
+    last = w.rowsBetween(1 - n, 0)
+    edge = (F.count("d").over(last) == n) & (F.min("d").over(last) >= 0) & (F.max("d").over(last) > 0)
+    return df.withColumn("edge", edge).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.count_if("edge").alias("edge_rows"), F.max("date").alias("last"))
+
+
+def cache_endings(by_symbol: DataFrame) -> DataFrame:
+    """Histogram of last days of `all_gain_windows`, with rows and edge cases."""
+    return by_symbol.groupBy("last").agg(F.count(F.lit(1)).alias("symbols"), F.sum("rows").alias("rows"), F.sum("edge_rows").alias("edge_rows"))
+
+
+def schema_errors(records: DataFrame, fields: dict[str, dict], column: str = "record") -> DataFrame:
+    """(key, path, error) of JSON objects that break a schema: type, required, enum, minItems and maxItems of top-level fields.
+
+    `fields` maps a name to {"type": "number|string|boolean|array|object|null"[, "required", "enum", "minItems", "maxItems"]}.
+    """
+    raw = F.try_parse_json(column)
+    found = [F.struct(F.lit("$").alias("path"), F.when(~F.coalesce(F.startswith(F.schema_of_variant(raw), F.lit("OBJECT")), F.lit(False)), F.lit("expected object")).alias("error"))]
+    for name, rule in fields.items():
+        v = F.try_variant_get(raw, f"$.{name}", "variant")
+        kind = F.lower(F.schema_of_variant(v))
+        named = F.when(kind.rlike("^(bigint|int|smallint|tinyint|decimal|double|float)"), "number").when(kind == "void", "null").when(kind.startswith("array"), "array").when(kind.startswith("object"), "object").otherwise(kind)
+        absent = v.isNull()
+        text = F.try_variant_get(raw, f"$.{name}", "string")
+        wrong = ~absent & ~named.isin(*rule["type"].split("|"))
+        checks = [F.when(wrong, F.lit(f"expected {rule['type']}"))]
+        if rule.get("required"):
+            checks.append(F.when(absent, F.lit("is required")))
+        if "enum" in rule:
+            checks.append(F.when(~absent & ~wrong & ~text.isin(*rule["enum"]), F.lit("is not in enum")))
+        if "minItems" in rule or "maxItems" in rule:
+            size = F.size(F.try_variant_get(raw, f"$.{name}", "array<variant>"))
+            if "minItems" in rule:
+                checks.append(F.when(~absent & ~wrong & (size < rule["minItems"]), F.lit(f"has fewer than {rule['minItems']} items")))
+            if "maxItems" in rule:
+                checks.append(F.when(~absent & ~wrong & (size > rule["maxItems"]), F.lit(f"has more than {rule['maxItems']} items")))
+        found += [F.struct(F.lit(f"$.{name}").alias("path"), c.alias("error")) for c in checks]
+    return records.select("key", F.inline(F.array(*found))).where("error is not null")
+
+
+def identity_violations(artifacts: DataFrame, datasets: DataFrame, target: str, least_version: int) -> DataFrame:
+    """(artifact, reason) of artifacts that do not match the dataset that they name.
+
+    Columns artifact, dataset, sha256, target of artifacts; dataset, sha256, label_version of datasets. The label
+    version matters for artifacts of `target` alone.
+    """
+    j = artifacts.join(datasets.select("dataset", F.col("sha256").alias("have"), "label_version"), "dataset", "left")
+    reason = F.when(F.col("have").isNull(), "missing_dataset").when(~F.col("have").eqNullSafe(F.col("sha256")), "other_bytes").when((F.col("target") == target) & (F.coalesce("label_version", F.lit(0)) < least_version), "old_labels")
+    return j.select("artifact", reason.alias("reason")).where("reason is not null")

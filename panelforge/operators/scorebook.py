@@ -113,3 +113,27 @@ def to_refresh(wanted: DataFrame, cache: DataFrame, now, max_age_days: int, most
     """Keys to fetch again: missing first, then stale, oldest first."""
     df = wanted.join(cache, "key", "left").withColumn("missing", F.col("fetched").isNull())
     return df.where(F.col("missing") | (F.datediff(now, "fetched") > max_age_days)).orderBy(F.desc("missing"), "fetched", "key").limit(most).select("key", "missing")
+
+
+def label_summary(summary: DataFrame, strategy: str, cohorts: list[str], measures: list[str]) -> DataFrame:
+    """One row of a label's summary (strategy, cohort, measures): a strategy's measures side by side for each cohort; absent ones are null."""
+    cells = [F.max(F.when(F.col("cohort") == c, F.col(x))).alias(f"{c}_{x}") for c in cohorts for x in measures]
+    return summary.where(F.col("strategy") == strategy).agg(*cells)
+
+
+def strategy_rows(summary: DataFrame, cohort: str, by: str) -> DataFrame:
+    """A cohort's strategies, best first, unknown last."""
+    return summary.where(F.col("cohort") == cohort).orderBy(F.col(by).desc_nulls_last(), "strategy")
+
+
+def macro_context(books: DataFrame, releases: DataFrame, drivers: DataFrame) -> DataFrame:
+    """(book, origin, ref, text): the first ready release with a reading, else the best-placed driver with a text, else neither.
+
+    Columns book; book, place, status, reading, ref of releases; book, place, title, summary, ref of drivers.
+    """
+    ready = releases.where((F.col("status") == "ready") & (F.coalesce("reading", F.lit("")) != "")).select("book", F.lit(1).alias("tier"), "place", F.lit("release").alias("origin"), "ref", F.col("reading").alias("text"))
+    text = F.coalesce(F.nullif("summary", F.lit("")), F.nullif("title", F.lit("")))
+    told = drivers.select("book", F.lit(2).alias("tier"), "place", F.lit("driver").alias("origin"), "ref", text.alias("text")).where("text is not null")
+    both = ready.unionByName(told)
+    first = both.groupBy("book").agg(F.min_by(F.struct("origin", "ref", "text"), F.struct("tier", "place", "ref")).alias("a"))
+    return books.select("book").distinct().join(first, "book", "left").select("book", F.coalesce("a.origin", F.lit("none")).alias("origin"), "a.ref", "a.text")

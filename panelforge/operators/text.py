@@ -242,11 +242,24 @@ def source_refs(rows: DataFrame, most: int = 36) -> DataFrame:
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
-    """RSS items and Atom entries of a text column: title, link, date, summary."""
+    """RSS items and Atom entries of (feed_id, body): id, title, link, date, summary (420 characters), excerpt (1,800)."""
     items = F.regexp_extract_all("body", F.lit(r"(?is)<(item|entry)\b.*?</\1>"), F.lit(0))
     tag = lambda t: strip_html(F.regexp_replace(F.regexp_extract("item", rf"(?is)<{t}\b[^>]*>(.*?)</{t}>", 1), r"<!\[CDATA\[|\]\]>", ""))
     df = feeds.select("feed_id", F.posexplode(items).alias("pos", "item"))
-    return df.select("feed_id", "pos", tag("title").alias("title"), _first(tag("link"), F.regexp_extract("item", r'(?i)<link[^>]*href="([^"]+)"', 1)).alias("link"), _first(tag("pubDate"), tag("updated"), tag("published")).alias("date"), F.substring(_first(tag("description"), tag("summary")), 1, 420).alias("summary"))
+    return df.select("feed_id", "pos", tag("title").alias("title"), _first(tag("link"), F.regexp_extract("item", r'(?i)<link[^>]*href="([^"]+)"', 1)).alias("link"), _first(tag("pubDate"), tag("updated"), tag("published")).alias("date"), F.substring(_first(tag("description"), tag("summary")), 1, 420).alias("summary"), F.substring(_first(tag("content:encoded"), tag("content"), tag("description"), tag("summary")), 1, 1800).alias("excerpt"), _first(tag("id"), tag("guid")).alias("id"))
+
+
+def company_news(feeds: DataFrame, most: int = 8) -> DataFrame:
+    """(symbol, item, title, link, date, summary) of the first items of each symbol's feed (feed_id is the symbol); items without title or link go."""
+    df = feed_items(feeds).where(F.col("pos") < most).where(F.col("title").isNotNull() & (F.col("title") != "") & F.col("link").isNotNull())
+    item = F.concat(F.col("feed_id").cast("string"), F.lit("-N"), (F.col("pos") + 1).cast("string"))
+    return df.select(F.col("feed_id").alias("symbol"), item.alias("item"), "title", "link", "date", F.substring("summary", 1, 280).alias("summary"))
+
+
+def forum_entries(feeds: DataFrame) -> DataFrame:
+    """Posts of a forum's Atom listing, in the form of the JSON one; score and comments are not told there."""
+    df = feed_items(feeds)
+    return df.select(F.col("id").alias("post_id"), "title", F.col("excerpt").alias("body"), F.lit(None).cast("long").alias("score"), F.lit(None).cast("long").alias("comments"), F.try_to_timestamp("date").alias("created"))
 
 
 def markdown_rows(lines: DataFrame) -> DataFrame:

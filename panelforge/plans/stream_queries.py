@@ -12,7 +12,7 @@ from panelforge.streaming import jobs
 QUERIES, SQL = {}, {}
 
 
-def _folder(spark) -> str:
+def shared_folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-"))
@@ -26,7 +26,7 @@ def _events(spark, sf):
 
 
 def _x1(spark, sf):
-    at = _folder(spark)
+    at = shared_folder(spark)
     s = _events(spark, sf).select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("date"), F.col("event_id").alias("seq"), F.col("value").alias("close"), F.lit(1.0).alias("volume"))
     q = jobs.latest_bars(s, f"{at}/bars", f"{at}/checkpoint")
     q.awaitTermination()
@@ -39,7 +39,7 @@ SQL["x1_latest_bars"] = "SELECT user_id AS symbol, CAST(CAST(ts AS DATE) AS VARC
 
 
 def _x3(spark, sf):
-    at = _folder(spark)
+    at = shared_folder(spark)
     s = _events(spark, sf).select(F.col("event_id").alias("post_id"), F.col("event_type").alias("symbol"), F.col("ts").alias("created"), (F.col("user_id") % 7).alias("comments"))
     jobs.post_attention(s, f"{at}/attention", f"{at}/checkpoint").awaitTermination()
     return spark.read.schema("at timestamp, symbol string, mentions long, comments long").parquet(f"{at}/attention").select(F.col("at").cast("string").alias("at"), "symbol", "mentions", "comments")
@@ -51,7 +51,7 @@ SQL["x3_post_attention"] = """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS at, eve
 
 
 def _x2(spark, sf):
-    at = _folder(spark)
+    at = shared_folder(spark)
     s = _events(spark, sf).select(F.col("event_type").alias("symbol"), "ts")
     jobs.session_readiness(s, 5, ["click"], f"{at}/ready", f"{at}/checkpoint").awaitTermination()
     return spark.read.schema("session timestamp, symbols long, in_context long, ready boolean").parquet(f"{at}/ready").select(F.col("session").cast("string").alias("session"), "symbols", "in_context", "ready")
@@ -62,7 +62,7 @@ SQL["x2_session_readiness"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d
 
 
 def _x4(spark, sf):
-    at = _folder(spark)
+    at = shared_folder(spark)
     s = _events(spark, sf).select(F.to_date("ts").alias("as_of"), F.lit("m").alias("model"), F.concat(F.col("event_type"), F.lit("_"), F.col("user_id").cast("string")).alias("symbol"), (F.col("event_id") % 1000).alias("rank"))
     q = jobs.snapshot_changes(s, f"{at}/snapshots", f"{at}/changes", f"{at}/checkpoint")
     q.awaitTermination()

@@ -13,20 +13,23 @@ CHART = """struct<chart:struct<result:array<struct<meta:struct<symbol:string,exc
  indicators:struct<quote:array<struct<open:array<double>,high:array<double>,low:array<double>,close:array<double>,volume:array<double>>>,adjclose:array<struct<adjclose:array<double>>>>>>>>"""
 FACTS = "struct<cik:string,facts:map<string,map<string,struct<units:map<string,array<struct<end:string,val:double,filed:string,form:string>>>>>>>"
 LISTING = "struct<data:struct<children:array<struct<data:struct<id:string,title:string,selftext:string,score:bigint,num_comments:bigint,created_utc:double>>>>>"
+EARNINGS = "struct<data:struct<asOf:string,rows:array<struct<symbol:string,name:string,time:string,marketCap:string,fiscalQuarterEnding:string,epsForecast:string,noOfEsts:string,lastYearRptDt:string,lastYearEPS:string>>>>"
+BOOSTER = """struct<learner:struct<gradient_booster:struct<model:struct<trees:array<struct<left_children:array<int>,right_children:array<int>,split_indices:array<int>,
+ split_conditions:array<double>,default_left:array<int>,loss_changes:array<double>>>>>>>"""
 SCREEN = "struct<finance:struct<result:array<struct<id:string,quotes:array<struct<symbol:string,shortName:string,regularMarketPrice:double,regularMarketChangePercent:double,regularMarketVolume:double>>>>>>"
 
 
-def bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV per symbol; what is no number becomes null, and the symbol is the file's name."""
-    df = spark.read.schema(BAR_CSV).option("header", True).csv(path)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv", 1)
+def bars_csv(spark: SparkSession, path: str, name: str = r"([^/]+)\.csv") -> DataFrame:
+    """CSVs by symbol; what is no number becomes null, and `name` finds the symbol in a file's path."""
+    df = spark.read.schema(BAR_CSV).option("header", True).option("recursiveFileLookup", True).csv(path)
+    name = F.regexp_extract(F.col("_metadata.file_path"), name, 1)
     return df.select(name.alias("symbol"), F.to_date(F.try_to_timestamp(F.substring("date", 1, 10), F.lit("yyyy-MM-dd"))).alias("date"), *[F.col(c).try_cast("double").alias(c) for c in ("open", "high", "low", "close", "volume")]).where("date is not null")
 
 
-def macro_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(series_id, date, value) from two-column CSVs whatever their header."""
-    df = spark.read.schema("date string, value string").option("header", True).option("enforceSchema", True).csv(path)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv", 1)
+def macro_csv(spark: SparkSession, path: str, name: str = r"([^/]+)\.csv") -> DataFrame:
+    """(series_id, date, value) from two-column CSVs whatever their header; `name` finds the series in a file's path."""
+    df = spark.read.schema("date string, value string").option("header", True).option("enforceSchema", True).option("recursiveFileLookup", True).csv(path)
+    name = F.regexp_extract(F.col("_metadata.file_path"), name, 1)
     return df.select(name.alias("series_id"), F.to_date(F.try_to_timestamp("date", F.lit("yyyy-MM-dd"))).alias("date"), F.col("value").try_cast("double").alias("value")).dropna()
 
 
@@ -87,7 +90,7 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def registry(spark: SparkSession, path: str, schema: str, field: str) -> DataFrame:
     """Records of an array field of multi-line JSON registries."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline(field))
+    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).select(F.inline(field))
 
 
 def forum_posts(listings: DataFrame, column: str = "body") -> DataFrame:
@@ -103,6 +106,67 @@ def movers(payloads: DataFrame, column: str = "body") -> DataFrame:
     return q.select("bucket", normal_symbol(F.col("q.symbol")).alias("symbol"), F.col("q.shortName").alias("name"), F.col("q.regularMarketPrice").alias("price"), F.col("q.regularMarketChangePercent").alias("change"), F.col("q.regularMarketVolume").alias("volume"))
 
 
+def earnings_calendar(payloads: DataFrame, column: str = "body") -> DataFrame:
+    """(date, as_of, symbol, name, time, ...) of a day's earnings payloads (date, body); as_of is the date where the payload has none."""
+    d = F.from_json(column, EARNINGS)["data"]
+    return payloads.select("date", F.coalesce(d["asOf"], F.col("date").cast("string")).alias("as_of"), F.inline(d["rows"])).withColumnsRenamed({"lastYearRptDt": "lastYearReportDate", "lastYearEPS": "lastYearEps"})
+
+
+def _month_day(text, fmt: str):
+    return F.to_date(F.try_to_timestamp(F.regexp_replace(F.trim(text), r"\s+", " "), F.lit(fmt)))
+
+
+def fred_calendar(pages: DataFrame, first, last) -> DataFrame:
+    """(page_id, date, time, title) of release-calendar pages (page_id, html) inside [first, last]; Central times are shown as Eastern."""
+    row = r'(?is)<span style="font-weight:\s*bold;">[^<]+</span>.*?<td[^>]*>\s*[0-9]{1,2}:[0-9]{2}\s*[ap]m\s*</td>.*?<a href="/release\?rid=[0-9]+">[^<]+</a>'
+    part = lambda p: F.regexp_extract("row", p, 1)
+    df = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(row), F.lit(0))).alias("row"))
+    at = F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), F.upper(F.regexp_replace(part(r"(?i)>\s*([0-9]{1,2}:[0-9]{2}\s*[ap]m)\s*<"), r"\s+", ""))), F.lit("yyyy-MM-dd h:mma"))
+    date = _month_day(part(r">([^<]+)</span>"), "MMMM dd, yyyy")
+    df = df.select("page_id", date.alias("date"), F.concat(F.date_format(at + F.expr("interval 1 hour"), "h:mm a"), F.lit(" ET")).alias("time"), strip_html(part(r'(?i)<a href="/release[^>]*>([^<]+)</a>')).alias("title"))
+    return df.where(F.col("date").between(first, last))
+
+
+def bea_event(title):
+    # fixed values
+    named = (("Personal Income and Outlays", "Personal Income and Outlays"), (r"GDP \(Advance Estimate\)", "GDP Advance Estimate"), (r"GDP \(Second Estimate\)", "GDP Second Estimate"), (r"GDP \(Third Estimate\)", "GDP Third Estimate"), ("GDP", "Gross Domestic Product"))
+    return F.coalesce(*[F.when(title.rlike(f"(?i){p}"), F.lit(n)) for p, n in named], title)
+
+
+def bea_calendar(pages: DataFrame, first, last) -> DataFrame:
+    """(page_id, date, time, event, title) of the product and income releases of schedule pages (page_id, html) inside [first, last].
+
+    The year stands in the page's header; a page without one takes the year of `first`.
+    """
+    year = F.coalesce(F.nullif(F.regexp_extract("html", r"(?i)<th[^>]*>\s*Year\s+([0-9]{4})\s*</th>", 1), F.lit("")), F.year(F.lit(first).cast("date")).cast("string"))
+    df = pages.select("page_id", year.alias("year"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row"))
+    part = lambda p: F.regexp_extract("row", p, 1)
+    day, at, title = part(r'(?is)<div class="release-date">([^<]+)</div>'), part(r'(?is)<small class="text-muted">([^<]+)</small>'), strip_html(part(r'(?is)<td class="release-title[^"]*"[^>]*>(.*?)</td>'))
+    df = df.select("page_id", _month_day(F.concat_ws(", ", F.trim(day), "year"), "MMMM d, yyyy").alias("date"), F.concat(strip_html(at), F.lit(" ET")).alias("time"), title.alias("title"))
+    return df.where(F.col("title").rlike("(?i)GDP|Personal Income and Outlays") & F.col("date").between(first, last)).select("page_id", "date", "time", bea_event(F.col("title")).alias("event"), "title")
+
+
+def fomc_calendar(pages: DataFrame, first, last) -> DataFrame:
+    """(page_id, date, title, projections) of rate decisions of meeting pages (page_id, html): the last day of each range, starred ones with projections."""
+    panel = r"(?is)<h4><a[^>]*>\s*[0-9]{4}\s+FOMC Meetings.*?(?=<h4><a|$)"
+    df = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(panel), F.lit(0))).alias("panel"))
+    meeting = r"(?is)fomc-meeting__month.*?<strong>[^<]+</strong>.*?fomc-meeting__date[^>]*>[^<]+</div>"
+    df = df.select("page_id", F.regexp_extract("panel", r"([0-9]{4})\s+FOMC", 1).alias("year"), F.explode(F.regexp_extract_all("panel", F.lit(meeting), F.lit(0))).alias("m"))
+    month, days = F.trim(F.regexp_extract("m", r"<strong>([^<]+)</strong>", 1)), F.trim(F.regexp_extract("m", r"(?s)fomc-meeting__date[^>]*>([^<]+)<", 1))
+    day = F.regexp_extract(F.replace(days, F.lit("*"), F.lit("")), r"([0-9]{1,2})\s*$", 1)
+    df = df.select("page_id", _month_day(F.concat_ws(" ", month, F.concat(day, F.lit(",")), "year"), "MMMM d, yyyy").alias("date"), F.format_string("FOMC meeting decision (%s %s, %s)", month, days, F.col("year")).alias("title"), days.contains("*").alias("projections"))
+    return df.where(F.col("date").between(first, last))
+
+
+def saved_trees(models: DataFrame, column: str = "body") -> DataFrame:
+    """Nodes as rows (model, tree, node, split_index, condition, left, right, default_left, gain, leaf) of saved boosters (model, body)."""
+    trees = F.from_json(column, BOOSTER)["learner"]["gradient_booster"]["model"]["trees"]
+    df = models.select("model", F.posexplode(trees).alias("tree", "t"))
+    zipped = F.arrays_zip(*[F.col(f"t.{c}").alias(c) for c in ("left_children", "right_children", "split_indices", "split_conditions", "default_left", "loss_changes")])
+    df = df.select("model", "tree", F.posexplode(zipped).alias("node", "x"))
+    return df.select("model", "tree", "node", F.col("x.split_indices").alias("split_index"), F.col("x.split_conditions").alias("condition"), F.col("x.left_children").alias("left"), F.col("x.right_children").alias("right"), (F.col("x.default_left") != 0).alias("default_left"), F.col("x.loss_changes").alias("gain"), (F.col("x.left_children") < 0).alias("leaf"))
+
+
 def company_facts(payloads: DataFrame, column: str = "body") -> DataFrame:
     """(cik, taxonomy, tag, unit, end, filed, form, value) of nested company facts."""
     f = F.from_json(column, FACTS)
@@ -138,6 +202,11 @@ def cache_manifest(requested: DataFrame, present: DataFrame) -> DataFrame:
     return requested.join(n, "key", "left").select("key", F.when(F.col("rows").isNull(), "failed").otherwise("cached").alias("status"), F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
+def write_reference(rows: DataFrame, path: str, version: str, as_of) -> None:
+    """Writes a reference cache in full precision with its version and date."""
+    rows.select("*", F.lit(version).alias("version"), F.lit(as_of).alias("as_of")).write.parquet(path)
+
+
 def check_reference(cache: DataFrame, version: str, as_of) -> DataFrame:
     """Rows of a reference cache; another version or date is an error."""
     bad = cache.where((F.col("version") != version) | (F.col("as_of") != F.lit(as_of))).limit(1).collect()
