@@ -49,10 +49,6 @@ def sector_context(etf: DataFrame) -> DataFrame:
                      (F.lead("etf_close", 15).over(w) / F.lead("etf_close", 1).over(w) - 1).alias("sector_forward"))
 
 
-def sector_spreads(df: DataFrame, context: DataFrame) -> DataFrame:
-    return df.join(context, ["sector", "date"], "left").select("symbol", "date", (F.col("r20") - F.col("sector_r20")).alias("r20_vs_sector"), (F.col("vol20") - F.col("sector_vol20")).alias("vol20_vs_sector"))
-
-
 def breadth(df: DataFrame) -> DataFrame:
     """By date: share of names above their averages, and medians of returns and volatility."""
     return df.groupBy("date").agg(
@@ -126,12 +122,6 @@ def binary_labels(df: DataFrame, column: str, hurdle: float = 0.01) -> DataFrame
     return df.select("*", (x > 0).cast("int").alias("positive"), (x > hurdle).cast("int").alias("above_hurdle"))
 
 
-def candidate_setup(df: DataFrame) -> Column:
-    """All conditions of a momentum setup; an unknown one fails."""
-    tests = [F.col("composite") >= 0.6, F.col("r20_minus_sector_median") > 0, F.col("r20_sector_rank") >= 0.5, F.col("vs_sma20") > 0, F.col("vs_sma50") > 0, F.col("volume_ratio") >= 0.7]
-    return F.coalesce(tests[0] & tests[1] & tests[2] & tests[3] & tests[4] & tests[5], F.lit(False))
-
-
 def meta_label(candidate: Column, outcome: Column, drawdown: Column, hurdle: float = 0.0, floor: float = -0.3) -> Column:
     """1 if a candidate beat the hurdle without falling below the floor; null where there is no candidate."""
     return F.when(candidate, F.coalesce((outcome > hurdle) & (drawdown > floor), F.lit(False)).cast("int"))

@@ -36,18 +36,6 @@ def base(spark, sf):
 
 
 K = f"symbol, {D}"
-add("c1_date_rank", lambda s, d: c.rank_columns(base(s, d), ["r5", "r20", "vol20"], ["date"], "rank").select("symbol", "date", "r5_rank", "r20_rank", "vol20_rank"),
-    f"SELECT {K}, {', '.join(r(pct(x, 'date'), x + '_rank') for x in ('r5', 'r20', 'vol20'))} FROM feat")
-add("c2_sector_rank", lambda s, d: c.rank_columns(base(s, d), ["r5", "r20", "vol20"], ["date", "sector"], "sector_rank").select("symbol", "date", "r5_sector_rank", "r20_sector_rank", "vol20_sector_rank"),
-    f"SELECT {K}, {', '.join(r(pct(x, 'date, sector'), x + '_sector_rank') for x in ('r5', 'r20', 'vol20'))} FROM feat")
-add("c3_minus_sector_median", lambda s, d: c.minus_sector_median(base(s, d), ["r20", "vol20"]).select("symbol", "date", "r20_minus_sector_median", "vol20_minus_sector_median"),
-    f"SELECT {K}, {', '.join(r(f'{x} - median({x}) OVER (PARTITION BY date, sector)', x + '_minus_sector_median') for x in ('r20', 'vol20'))} FROM feat")
-add("c4_sector_spreads", lambda s, d: c.sector_spreads(base(s, d), c.sector_context(t.sector_bars(s, d))),
-    f"SELECT symbol, CAST(feat.date AS VARCHAR) AS date, {r('r20 - sector_r20', 'r20_vs_sector')}, {r('vol20 - sector_vol20', 'vol20_vs_sector')} FROM feat LEFT JOIN ctx USING (sector, date)")
-add("c5_composite", lambda s, d: c.rank_columns(base(s, d), ["r5", "r20", "r60"], ["date"], "rank").select("symbol", "date", c.mean_of_known(["r5_rank", "r20_rank", "r60_rank"]).alias("composite")),
-    f"SELECT {K}, {r('list_avg(list_filter([a, b, c], lambda x: x IS NOT NULL))', 'composite')} FROM (SELECT symbol, date, {pct('r5', 'date')} AS a, {pct('r20', 'date')} AS b, {pct('r60', 'date')} AS c FROM feat)")
-add("c6_benchmark_relative", lambda s, d: base(s, d).join(t.benchmark(s, d).select("date", (F.col("bench_close") / F.lag("bench_close", 20).over(Window.orderBy("date")) - 1).alias("b20")), "date", "left").select("symbol", "date", (F.col("r20") - F.col("b20")).alias("r20_vs_bench")),
-    f"SELECT symbol, CAST(feat.date AS VARCHAR) AS date, {r('r20 - b20', 'r20_vs_bench')} FROM feat LEFT JOIN (SELECT date, bench_close / lag(bench_close, 20) OVER (ORDER BY date) - 1 AS b20 FROM bench) USING (date)")
 add("c7_breadth", lambda s, d: c.breadth(base(s, d)),
     f"SELECT {D}, {r('avg(coalesce(CAST(vs_sma20 > 0 AS INTEGER), 0))', 'above_20')}, {r('avg(coalesce(CAST(vs_sma50 > 0 AS INTEGER), 0))', 'above_50')}, {r('median(r20)', 'r20_median')}, {r('median(r60)', 'r60_median')}, {r('median(vol20)', 'vol20_median')} FROM feat GROUP BY date")
 add("c8_sector_context", lambda s, d: c.sector_context(t.sector_bars(s, d)), f"SELECT sector, {D}, {rs('sector_r20', 'sector_vol20', 'sector_forward')} FROM ctx")
@@ -77,19 +65,6 @@ add("l8_binary_labels", lambda s, d: c.binary_labels(c.forward_next_close(t.pane
     f"SELECT {K}, CAST(outcome > 0 AS INTEGER) AS positive, CAST(outcome > 0.01 AS INTEGER) AS above_hurdle FROM feat WHERE outcome IS NOT NULL")
 
 
-def _l9(s, d):
-    df = c.rank_columns(base(s, d), ["r5", "r20", "r60"], ["date"], "rank")
-    df = c.minus_sector_median(c.rank_columns(df, ["r20"], ["date", "sector"], "sector_rank"), ["r20"])
-    df = df.withColumn("composite", c.mean_of_known(["r5_rank", "r20_rank", "r60_rank"])).withColumn("candidate", c.candidate_setup(df.withColumn("composite", F.lit(0.0))))
-    df = df.join(c.forward_next_close(t.panel(s, d)), ["symbol", "date"]).join(c.worst_path(t.panel(s, d)), ["symbol", "date"])
-    meta = c.meta_label(F.col("candidate"), F.col("forward_return"), F.col("worst_path"))
-    return df.select("symbol", "date", F.col("candidate").cast("int").alias("candidate"), F.coalesce(meta, F.lit(-1)).alias("meta"))
-
-
-add("l9_candidate_setup", _l9, f"""SELECT {K}, CAST(cand AS INTEGER) AS candidate, CASE WHEN cand THEN CAST(coalesce(outcome > 0 AND wp > -0.3, false) AS INTEGER) ELSE -1 END AS meta FROM (
- SELECT *, coalesce(list_avg(list_filter([a, b, c], lambda x: x IS NOT NULL)) >= 0.6 AND ms > 0 AND sr >= 0.5 AND vs_sma20 > 0 AND vs_sma50 > 0 AND volume_ratio >= 0.7, false) AS cand FROM (
- SELECT feat.*, wp, {pct('r5', 'date')} AS a, {pct('r20', 'date')} AS b, {pct('r60', 'date')} AS c, {pct('r20', 'date, sector')} AS sr, r20 - median(r20) OVER (PARTITION BY date, sector) AS ms
- FROM feat JOIN (SELECT symbol, date, min(close) OVER {FW} / {lead('close', 1)} - 1 AS wp FROM p) USING (symbol, date)))""")
 add("l10_complete_cases", lambda s, d: c.complete_cases(predictions(s, d), ["score", "outcome", "vol20"]).select("symbol", "date", "score", "outcome"),
     f"SELECT {K}, {rs('score', 'outcome')} FROM sc WHERE score IS NOT NULL AND outcome IS NOT NULL AND vol20 IS NOT NULL")
 
@@ -190,8 +165,6 @@ def _cohorts(s, d):
 
 add("b2_cohorts", lambda s, d: b.cohort_summary(predictions(s, d), STR, _cohorts(s, d)), "")
 SQL["b2_cohorts"] = f"{FULL}, {LONG}, co AS (SELECT 'month' AS cohort, min(date) AS date FROM bars GROUP BY date_trunc('month', date) UNION ALL SELECT 'quarter', min(date) FROM bars GROUP BY date_trunc('quarter', date)) SELECT cohort, strategy, count(*) AS dates, {', '.join(r(f'avg({x})', x) for x in ('top_mean', 'bottom_mean', 'spread', 'top_hit'))} FROM st JOIN co USING (date) GROUP BY cohort, strategy"
-add("b3_baseline_scores", lambda s, d: c.rank_columns(base(s, d), ["r20", "r60", "vol20"], ["date"], "rank").select("symbol", "date", (1 - F.col("vol20_rank")).alias("low_volatility"), ((F.col("r20_rank") + F.col("r60_rank") + 1 - F.col("vol20_rank")) / 3).alias("risk_adjusted")),
-    f"SELECT {K}, {r('1 - v', 'low_volatility')}, {r('(a + b + 1 - v) / 3', 'risk_adjusted')} FROM (SELECT symbol, date, {pct('r20', 'date')} AS a, {pct('r60', 'date')} AS b, {pct('vol20', 'date')} AS v FROM feat)")
 
 
 def _b4(s, d):
@@ -203,8 +176,6 @@ def _b4(s, d):
 
 add("b4_agreement", _b4, f"""SELECT symbol, {r('m', 'r20_rank')}, CASE WHEN m >= 0.9 AND x >= 0.7 THEN 'Consensus Long-Horizon Candidate' WHEN m >= 0.9 AND y >= 0.7 THEN 'Model Candidate With Classic Momentum' WHEN m >= 0.9 THEN 'Model-Only Candidate' WHEN x >= 0.9 THEN 'Rules Candidate' ELSE 'Monitor' END AS label
  FROM (SELECT symbol, {pct('r20', 'date')} AS m, {pct('r60', 'date')} AS x, {pct('r5', 'date')} AS y FROM feat WHERE date = (SELECT max(date) FROM feat)) ORDER BY m DESC NULLS LAST, symbol LIMIT 10""")
-add("b5_inverse_baskets", lambda s, d: b.strategy_baskets(predictions(s, d), STR).select("strategy", "date", "spread"), "")
-SQL["b5_inverse_baskets"] = f"{FULL}, {LONG} SELECT strategy, {D}, {r('spread')} FROM st"
 DEC = "(SELECT date, decile, count(*) AS names, avg(outcome) AS mean, median(outcome) AS median, avg(CAST(outcome > 0 AS INTEGER)) AS hit, avg(score) AS score FROM dc GROUP BY ALL)"
 add("b6_buckets", lambda s, d: b.bucket_summary(predictions(s, d)), f"SELECT decile, count(*) AS dates, {r('avg(names)', 'names')}, {r('avg(mean)', 'mean')}, {r('avg(median)', 'median')}, {r('avg(hit)', 'hit')} FROM {DEC} GROUP BY decile")
 add("b7_max_drawdown", lambda s, d: b.max_drawdown(b.strategy_baskets(predictions(s, d), STR).withColumn("x", b.daily_equivalent(F.col("top_mean"), 14)), "x", ["strategy"]), "")
