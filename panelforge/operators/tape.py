@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.text import EDGE
+
 
 def search(df: DataFrame, words: str, columns: list[str], sector: str | None = None) -> DataFrame:
     """Rows in which any column holds the words, of a sector if given; best rank first, unranked last."""
@@ -45,11 +47,23 @@ def deeper_reads(articles: DataFrame, seen: DataFrame, most: int = 4, least_char
 
 
 def clean_conclusion(text: Column, title: Column) -> Column:
-    """A summary without its title in front, navigation debris and a key-points label."""
+    """A summary without navigation debris, with white space squeezed and its title in front taken off."""
     # fixed values
-    t = F.regexp_replace(text, r"(?i)\b(skip to (main )?content|sign in|subscribe now|read more|cookie policy)\b", " ")
-    t = F.when(F.startswith(F.lower(t), F.lower(title)) & (F.length(title) > 0), F.substring(t, F.length(title) + 1, F.length(t))).otherwise(t)
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)^\s*[-:|]?\s*key (points|takeaways):?", ""), r"\s+", " "))
+    menu = "(?:Markets|Business|Investing|Tech|Politics|Economy|Videos)"
+    t = F.regexp_replace(text, rf"(?is){EDGE}Skip Navigation{EDGE}.*$", " ")
+    t = F.regexp_replace(t, rf"(?i){EDGE}{menu}\s+{menu}(?:\s+{menu})+", " ")
+    t = F.regexp_replace(t, "(?i)Yes A checkmark with a circle around it close", " ")
+    t = F.regexp_replace(t, rf"{EDGE}close\s+([A-Z])", "$1")
+    t = F.regexp_replace(t, rf"{EDGE}(data|war|rally|update)\s+(Over in|Stock futures|Earnings season|Investors|The oil){EDGE}", "$1. $2")
+    squeezed = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    t, head = squeezed(t), squeezed(title)
+    return F.when(F.startswith(F.lower(t), F.lower(head)), F.trim(F.substring(t, F.length(head) + 1, F.length(t)))).otherwise(t)
+
+
+def key_points(text: Column) -> Column:
+    """What follows a key-points label, 40 to 700 characters, else the whole text."""
+    found = F.regexp_extract(text, rf"(?is){EDGE}Key Points\s+(.{{40,700}})", 1)
+    return F.when(found != "", found).otherwise(text)
 
 
 def dedupe_lists(text: Column) -> Column:

@@ -80,20 +80,35 @@ def published(html: Column) -> Column:
     return _first(meta(html, "article:published_time"), F.regexp_extract(html, r'(?i)<time[^>]*datetime="([^"]+)"', 1), F.regexp_extract(html, r'"datePublished"\s*:\s*"([^"]+)"', 1), F.regexp_extract(html, r"(20\d\d-\d\d-\d\d)", 1))
 
 
-def links(pages: DataFrame, most: int = 5, least: int = 0) -> DataFrame:
-    """Best links of each page: absolute, same host, scored by path and text."""
+# fixed values
+LINK_GOOD = "commentary|insight|research|market|outlook|weekly|capital-market|strategy|economic|macro|article|blog"
+LINK_BAD = (
+    "login|sign-in|privacy|terms|careers|contact|subscribe|podcast|webinar|event|video|pdf|mailto|javascript|archive|award|recognition|about|account|solution|product|fund|529|college|advisor|client|"
+    "why-|alternative-investments|benefits-of|financial-plan|personal-finance|retirement|estate-planning"
+)
+LINK_DATE = r"20[0-9]{2}[/-][0-9]{1,2}[/-][0-9]{1,2}|[0-9]{1,2}[/-][0-9]{1,2}[/-]20[0-9]{2}"
+
+
+def links(pages: DataFrame, most: int = 5, least: int = 4) -> DataFrame:
+    """Best links of each page (page_id, url, html, source): absolute, of the same host or a subdomain, scored by address and text.
+
+    Labels under eight characters are left out; a fragment is cut off; of equal targets the best counts.
+    """
     tags = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
-    df = pages.select("page_id", "url", F.explode(tags).alias("tag")).select(
-        "page_id", "url", F.regexp_extract("tag", r'(?i)href="([^"]*)"', 1).alias("href"), strip_html(F.col("tag")).alias("label"))
-    host = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
-    df = df.withColumn("target", F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(host, F.col("href"))))
-    df = df.where(F.col("target").startswith(host)).withColumn("target", F.regexp_replace("target", "#.*$", ""))
-    hay = F.lower(F.concat_ws(" ", "target", "label"))
-    score = (
-        F.when(hay.rlike("commentary|insight|research|market|outlook|weekly|strategy|economic|macro|article|blog"), 8).otherwise(0) - F.when(hay.rlike("login|privacy|terms|careers|contact|subscribe|podcast|about|account"), 10).otherwise(0)
-        + F.when(F.size(F.filter(F.split(F.regexp_replace("target", r"^https?://[^/]+", ""), "/"), lambda x: x != "")) >= 2, 2).otherwise(0)
-    )
-    best = df.withColumn("score", score).groupBy("page_id", "target").agg(F.max("score").alias("score"), F.min("label").alias("label")).where(F.col("score") >= least)
+    df = pages.select("page_id", "url", "source", F.explode(tags).alias("tag")).select(
+        "page_id", "url", "source", F.regexp_extract("tag", r'(?i)href="([^"]*)"', 1).alias("href"), strip_html(F.col("tag")).alias("label"))
+    host = lambda c: F.regexp_replace(F.regexp_extract(c, r"^https?://([^/?#]+)", 1), r"^www\.", "")
+    df = df.withColumn("target", F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(F.regexp_extract("url", r"^(https?://[^/]+)", 1), F.col("href"))))
+    df = df.withColumns({"here": host("url"), "there": host("target"), "target": F.regexp_replace("target", "#.*$", "")}).where(F.length("label") >= 8)
+    df = df.where((F.col("here") == F.col("there")) | F.col("there").endswith(F.concat(F.lit("."), "here")) | F.col("here").endswith(F.concat(F.lit("."), "there")))
+    rest = F.regexp_replace("target", r"^https?://[^/?]+", "")
+    path = F.regexp_replace(rest, r"\?.*$", "")
+    hay = F.lower(F.concat(path, F.lit(" "), F.regexp_extract(rest, r"(\?.*)$", 1), F.lit(" "), "label"))
+    points = lambda when, n: F.when(when, n).otherwise(0)
+    word = F.substring_index(F.lower(F.coalesce("source", F.lit(""))), " ", 1)
+    score = points(hay.rlike(LINK_GOOD), 8) - points(hay.rlike(LINK_BAD), 10) + points(hay.rlike(LINK_DATE), 5) + points(hay.contains(word), 1)
+    score = score + points(F.size(F.filter(F.split(path, "/"), lambda x: x != "")) >= 2, 2) - points(path.isin("", "/"), 3)
+    best = df.withColumn("score", score).where(F.col("score") >= least).groupBy("page_id", "target").agg(F.max("score").alias("score"), F.max_by("label", F.struct("score", "label")).alias("label"))
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), "target")
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 

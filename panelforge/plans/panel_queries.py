@@ -237,4 +237,11 @@ add("b11_activation_grid", _b11, f"""SELECT multiple, win AS "window", count(*)
  WHERE o IS NOT NULL GROUP BY multiple, win""")
 QUERIES["b18_bootstrap"] = lambda s, d: rounded(b.bootstrap_mean(b.daily_baskets(predictions(s, d)), "spread"))
 QUERIES["b18_block_bootstrap"] = lambda s, d: rounded(b.block_bootstrap_mean(b.daily_baskets(predictions(s, d)), "spread", 15))
-QUERIES["b23_entrants"] = lambda s, d: rounded(b.entrants(predictions(s, d)))
+add("b23_entrants", lambda s, d: b.entrants(predictions(s, d)), "")
+SQL["b23_entrants"] = f"""{FULL}, e0 AS (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY score, symbol) AS place, count(*) OVER (PARTITION BY date) AS n FROM sc WHERE score IS NOT NULL),
+e1 AS (SELECT *, CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ceil(least(n, 10) * (place - 1) / (n - 1))) END AS decile, n - place + 1 AS rank, dense_rank() OVER (ORDER BY date DESC) - 1 AS back FROM e0),
+e2 AS (SELECT *, decile = (SELECT max(decile) FROM e1 WHERE back = 0) AS top, row_number() OVER (PARTITION BY symbol ORDER BY back) AS seq FROM e1),
+e3 AS (SELECT symbol, max(rank) FILTER (back = 0) AS rank, bool_or(top) FILTER (back = 0) AS now, coalesce(bool_or(top) FILTER (back = 1), false) AS then1, coalesce(bool_or(top) FILTER (back = 5), false) AS then5, max(rank) FILTER (back = 1) AS r1, max(rank) FILTER (back = 5) AS r5, max(rank) FILTER (back = 10) AS r10,
+ coalesce(min(seq) FILTER (NOT top), count(*) + 1) - 1 AS streak, min(date) FILTER (top) AS first FROM e2 GROUP BY symbol)
+SELECT symbol, rank, r1 AS prior_1_rank, r5 AS prior_n_rank, r10 AS prior_10_rank, streak, CAST(first AS VARCHAR) AS first_top_date,
+ CASE WHEN NOT then1 THEN 'New since prior scoring date' WHEN NOT then5 THEN 'New within 5 scoring dates' WHEN r5 - rank >= 10 THEN 'Rank improved ' || (r5 - rank) ELSE 'Existing top-decile constituent' END AS reason FROM e3 WHERE now"""

@@ -42,7 +42,26 @@ for _t in ("script", "style", "nav", "footer", "header"):
     _VIS = rf"regexp_replace({_VIS}, '(?is)<{_t}\b.*?</{_t}>', ' ', 'g')"
 add("t3_visible_text", lambda s, d: pages(s, d).select("page_id", F.md5(tx.visible_text(F.col("html"))).alias("text_md5")), f"SELECT page_id, md5({STRIP.format(_VIS)}) AS text_md5 FROM pages")
 add("t2_published", lambda s, d: pages(s, d).select("page_id", F.coalesce(tx.published(F.col("html")), F.lit("")).alias("published")), r"""SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<meta\b[^>]*(?:property|name|itemprop)="article:published_time"[^>]*content="([^"]*)"', 1), ''), nullif(regexp_extract(html, '(?i)<time[^>]*datetime="([^"]+)"', 1), ''), nullif(regexp_extract(html, '"datePublished"\s*:\s*"([^"]+)"', 1), ''), regexp_extract(html, '(20\d\d-\d\d-\d\d)', 1)) AS published FROM pages""")
-add("t4_links", lambda s, d: tx.links(pages(s, d)).select("page_id", "target", "score", "place"))
+def _linked(s, d):
+    """Pages with two more links that carry words of the rules."""
+    n = F.col("page_id").cast("string")
+    dated = F.concat(F.lit('<a href="/markets/2024/01/'), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("/n"), n, F.lit('#top">Weekly outlook '), n, F.lit("</a>"))
+    bad = F.concat(F.lit('<a href="https://www.elsewhere.example/research/'), n, F.lit('">Research elsewhere</a><a class="x" href="/about/insight-'), n, F.lit('?a=1">About our <b>insight</b></a>'))
+    return pages(s, d).select("page_id", "url", F.concat("html", dated, F.when(F.col("page_id") % 2 == 0, bad).otherwise("")).alias("html"), F.when(F.col("page_id") % 3 == 0, "Weekly Desk").otherwise("Other").alias("source"))
+
+
+add("t4_links", lambda s, d: tx.links(_linked(s, d)).select("page_id", "target", "label", "score", "place"), rf"""WITH l AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 'weekly' ELSE 'other' END AS word, html || '<a href="/markets/2024/01/' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || '/n' || page_id || '#top">Weekly outlook ' || page_id || '</a>'
+ || CASE WHEN page_id % 2 = 0 THEN '<a href="https://www.elsewhere.example/research/' || page_id || '">Research elsewhere</a><a class="x" href="/about/insight-' || page_id || '?a=1">About our <b>insight</b></a>' ELSE '' END AS html FROM pages),
+a AS (SELECT page_id, url, word, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href="[^"]*"[^>]*>.*?</a>')) AS tag FROM l),
+b AS (SELECT page_id, url, word, regexp_extract(tag, '(?i)href="([^"]*)"', 1) AS href, {STRIP.format('tag')} AS label FROM a),
+c AS (SELECT *, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || href END AS t FROM b WHERE length(label) >= 8),
+e AS (SELECT *, regexp_replace(t, '#.*$', '') AS target, regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), '^www\.', '') AS here, regexp_replace(regexp_extract(t, '^https?://([^/?#]+)', 1), '^www\.', '') AS there FROM c),
+f AS (SELECT *, regexp_replace(target, '^https?://[^/?]+', '') AS rest FROM e WHERE here = there OR suffix(there, '.' || here) OR suffix(here, '.' || there)),
+g AS (SELECT *, regexp_replace(rest, '\?.*$', '') AS path, lower(regexp_replace(rest, '\?.*$', '') || ' ' || regexp_extract(rest, '(\?.*)$', 1) || ' ' || label) AS hay FROM f),
+h AS (SELECT *, CASE WHEN regexp_matches(hay, '{tx.LINK_GOOD}') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(hay, '{tx.LINK_BAD}') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(hay, '{tx.LINK_DATE}') THEN 5 ELSE 0 END + CASE WHEN contains(hay, word) THEN 1 ELSE 0 END
+ + CASE WHEN len(list_filter(string_split(path, '/'), lambda x: x <> '')) >= 2 THEN 2 ELSE 0 END - CASE WHEN path IN ('', '/') THEN 3 ELSE 0 END AS score FROM g),
+i AS (SELECT page_id, target, max(score) AS score, arg_max(label, (score, label)) AS label FROM h WHERE score >= 4 GROUP BY ALL)
+SELECT page_id, target, label, CAST(score AS INTEGER) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, target) AS place FROM i) WHERE place <= 5""")
 
 
 def _has(text, words):
@@ -108,6 +127,27 @@ add("t13_tickers", lambda s, d: table(s, d, "conversations").select("conv_id", "
 c AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(t, '\$([A-Z][A-Z0-9.-]{{0,7}})\b', 1), lambda x: regexp_replace(replace(x, '-', '.'), '[^A-Z0-9.]', '', 'g')), lambda x: len(x) BETWEEN 1 AND 6) AS cash,
  list_intersect(regexp_extract_all(t, '\b([A-Z]{{2,5}}(?:\.[A-Z])?)\b', 1), ['THE', 'AND', 'LES', 'QUE', 'DER', 'UND', 'EST']) AS plain FROM p)
 SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(list_concat(cash, plain)), lambda x: NOT list_contains([{_STOP}], x))), ',') AS tickers FROM c""")
-add("t15_attention", lambda s, d: tx.attention(tx.ticker_signals(_posts(s, d), KNOWN)).select("symbol", "mentions", "direct", "signal", "attention"))
+_GENERIC = _has("title", tx.GENERIC_THREAD)
+
+
+def _tick(x):
+    """SQL lists of the cashtags and known symbols of a text."""
+    cash = rf"list_filter(list_transform(regexp_extract_all({x}, '\$([A-Z][A-Z0-9.-]{{0,7}})\b', 1), lambda x: regexp_replace(replace(x, '-', '.'), '[^A-Z0-9.]', '', 'g')), lambda x: len(x) BETWEEN 1 AND 6)"
+    plain = rf"list_intersect(list_transform(regexp_extract_all({x}, '\b([A-Z]{{2,5}}(?:\.[A-Z])?)\b', 1), lambda x: regexp_replace(replace(x, '-', '.'), '[^A-Z0-9.]', '', 'g')), {KNOWN})"
+    return cash, f"list_filter(list_distinct(list_concat({cash}, {plain})), lambda x: NOT list_contains([{_STOP}], x))"
+
+
+_TITLE, _BODY, _BOTH = _tick("title"), _tick("body"), _tick("title || ' ' || body")
+_SIGNALS = f"""tu AS (SELECT *, translate(coalesce(text, ''), '{_SMALL}', '{_CAPITAL}') AS said FROM conversations),
+po AS (SELECT conv_id AS post_id, arg_min(said, turn) AS title, left(array_to_string(list(said ORDER BY turn)[2:], ' '), 1200) AS body, count(*) * 100 AS score, CAST(sum(length(text) % 37) AS BIGINT) AS comments FROM tu GROUP BY conv_id),
+tk AS (SELECT *, {_TITLE[1]} AS t, {_BODY[1]} AS b, list_distinct(list_filter({_BOTH[0]}, lambda x: list_contains({KNOWN}, x) OR NOT list_contains([{_STOP}], x))) AS k, {_GENERIC} AS generic FROM po),
+ta AS (SELECT *, list_distinct(list_concat(t, b, k)) AS al FROM tk), te AS (SELECT *, generic OR (len(al) >= 8 AND len(t) = 0 AND len(k) = 0) AS strict, unnest(al) AS symbol FROM ta),
+tc AS (SELECT *, list_contains(t, symbol) AS it, list_contains(k, symbol) AS ik, len(regexp_extract_all(body, '(?i)(?:\\$|\\b)' || replace(symbol, '.', '[.-]') || '\\b')) AS times FROM te),
+tw AS (SELECT *, round(CASE WHEN it THEN 2.5 ELSE 0.0 END + CASE WHEN ik THEN 2.0 ELSE 0.0 END + CAST(0.4 AS DOUBLE) * least(times, 4), 2) AS weight FROM tc),
+sg AS (SELECT post_id, symbol, score, comments, CAST(count(*) OVER (PARTITION BY post_id) AS INTEGER) AS n, weight, it OR ik AS direct FROM tw WHERE ((it OR ik) OR (NOT strict AND times >= 2)) AND weight >= 1)"""
+add("t14_ticker_signals", lambda s, d: tx.ticker_signals(_posts(s, d), KNOWN), f"WITH {_SIGNALS} SELECT post_id, symbol, score, comments, n, weight, direct FROM sg")
+add("t15_attention", lambda s, d: tx.attention(tx.ticker_signals(_posts(s, d), KNOWN)).select("symbol", "mentions", "direct", "signal", "attention"),
+    f"""WITH {_SIGNALS}, g AS (SELECT symbol, count(*) AS mentions, CAST(sum(CAST(direct AS INTEGER)) AS BIGINT) AS direct, sum(weight) AS signal, round(sum(least(score, 1200) / sqrt(greatest(n, 1)))) AS sc, round(sum(least(comments, 500) / sqrt(greatest(n, 1)))) AS co FROM sg GROUP BY symbol)
+ SELECT symbol, mentions, direct, round(signal, 1) + 0.0 AS signal, CAST(round(CAST(mentions * 8 + direct * 16 + signal * 10 + sc * 0.015 + co * 0.04 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS attention FROM g WHERE direct > 0 OR mentions >= 2 ORDER BY attention DESC, symbol LIMIT 15""")
 add("t22_repeated_lists", lambda s, d: table(s, d, "documents").select("doc_id", tx.repeated_list(F.col("text")).alias("repeats")), r"SELECT doc_id, len(p) <> len(list_distinct(p)) AS repeats FROM (SELECT doc_id, list_transform(string_split(text, ','), lambda x: trim(x)) AS p FROM documents)")
 add("t23_source_refs", lambda s, d: tx.source_refs(pages(s, d).select("url", F.col("page_id").alias("published"))).select("url", "ref"), "SELECT url, 'S' || row_number() OVER (ORDER BY page_id DESC, url) AS ref FROM pages ORDER BY page_id DESC, url LIMIT 36")
