@@ -140,7 +140,7 @@ def paired(long: DataFrame, arms: list[str], value: str = "spread") -> DataFrame
     return long.groupBy("date").pivot("strategy", arms).agg(F.first(value)).dropna(subset=arms)
 
 
-def bootstrap_mean(daily: DataFrame, column: str, reps: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_mean(daily: DataFrame, column: str, reps: int = 2000, seed: int = 42) -> DataFrame:
     """95% interval of the mean over dates; draws come from hashes of (seed, repetition, draw), so reruns agree."""
     days = daily.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))
     n = days.count()
@@ -151,7 +151,7 @@ def bootstrap_mean(daily: DataFrame, column: str, reps: int = 200, seed: int = 4
     return means.agg(F.lit(n).alias("n"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
-def block_bootstrap_mean(daily: DataFrame, column: str, block: int, reps: int = 200, seed: int = 42) -> DataFrame:
+def block_bootstrap_mean(daily: DataFrame, column: str, block: int, reps: int = 1000, seed: int = 42) -> DataFrame:
     """Interval from circular moving blocks; refused (null) for fewer than three blocks of dates."""
     days = daily.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))
     n = days.count()

@@ -88,12 +88,12 @@ def exposure(panel: DataFrame, flags: DataFrame, back: int, h: int) -> DataFrame
     return panel.select("symbol", "session_ix").join(hit, ["symbol", "session_ix"], "left").select("symbol", "session_ix", F.coalesce("past", F.lit(0)).alias("past_flag"), F.coalesce("future", F.lit(0)).alias("future_flag"))
 
 
-def unknown_reason(entry_known: Column, exit_known: Column, entry_halted: Column, exit_halted: Column, after_last: Column, exit_after_last: Column, has_event: Column, verified: Column, rights: Column) -> Column:
+def unknown_reason(entry_known: Column, exit_known: Column, entry_halted: Column, exit_halted: Column, after_last: Column, exit_after_last: Column, has_event: Column, verified: Column, rights: Column, outcome_known: Column) -> Column:
     """Why an outcome is unknown, by fixed precedence."""
     # fixed values
     return (
         F.when(~entry_known & entry_halted, "entry_during_halt").when(~entry_known & after_last & verified, "entry_after_verified_termination").when(~entry_known & after_last & has_event, "missing_entry_before_event")
-        .when(~entry_known & after_last, "entry_after_unreviewed_series_end").when(~entry_known, "missing_entry_quote").when(exit_halted, "exit_during_halt").when(exit_known, "unexpected_label_failure")
+        .when(~entry_known & after_last, "entry_after_unreviewed_series_end").when(~entry_known, "missing_entry_quote").when(exit_halted, "exit_during_halt").when(outcome_known, "missing_sector_benchmark").when(exit_known, "unexpected_label_failure")
         .when(has_event & rights, "unpriced_contingent_rights").when(exit_after_last & has_event, "registered_event_needs_review").when(exit_after_last, "unreviewed_series_end").otherwise("missing_exit_quote")
     )
 

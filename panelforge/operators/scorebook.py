@@ -19,18 +19,21 @@ def first_true(*named: tuple[Column, str], most: int = 4) -> Column:
 
 
 def reason_tags() -> Column:
+    """Up to four reasons of a row of the full matrix."""
     # fixed values
     return first_true(
-        (F.col("vol20_minus_sector_median") < 0, "Lower volatility than sector median"), (F.col("r20_minus_sector_median") > 0, "Momentum ahead of sector median"),
-        (F.col("r20_sector_rank") >= 0.7, "Top-sector return rank"), (F.col("vs_sma50") > 0, "Above trend"), (F.col("volume_ratio") >= 1.2, "Strong volume"),
+        (F.col("volatility_60d_minus_sector_median") < 0, "Lower 60d volatility than sector median"), (F.col("momentum_252_20_minus_sector_median") > 0, "Long-horizon momentum ahead of sector median"),
+        (F.col("return_120d_sector_rank") >= 0.7, "Top-sector 120d return rank"), (F.col("price_vs_sma_200") > 0, "Above 200d trend"),
+        (F.col("from_high_252d") > -0.08, "Within 8% of 52w high"), (F.col("log_dollar_volume_20d_rank") >= 0.7, "Liquid versus universe"),
     )
 
 
 def risk_flags() -> Column:
+    """Up to four risks of a row of the full matrix."""
     # fixed values
     return first_true(
-        (F.col("vol20_minus_sector_median") > 0, "Above-sector volatility"), (F.col("vs_sma20") < 0, "Below short trend"),
-        (F.col("vs_sma50") < 0, "Below trend"), (F.col("volume_ratio") < 0.7, "Weak volume confirmation"),
+        (F.col("rsi_14") > 76, "RSI extended"), (F.col("volatility_60d_minus_sector_median") > 0, "Above-sector volatility"), (F.col("price_vs_sma_50") < 0, "Below 50d trend"),
+        (F.col("price_vs_sma_200") < 0, "Below 200d trend"), (F.col("volume_ratio_20d") < 0.7, "Weak volume confirmation"),
     )
 
 

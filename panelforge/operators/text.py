@@ -181,6 +181,23 @@ def market_drivers(scored: DataFrame, most: int = DRIVERS) -> DataFrame:
     return best.select("url", "a.*").orderBy(F.desc("importance"), "doc_id").limit(most)
 
 
+def theme_drivers(drivers: DataFrame, themes: list[str], most: int = DRIVERS) -> DataFrame:
+    """(theme, doc_id, importance): for each priority theme in turn its best driver that no earlier theme took.
+
+    A theme can only miss its first candidates to the themes before it, so its best len(themes) ones hold its pick;
+    the turns then run over that small table, one conditional aggregate a theme.
+    """
+    ranked = drivers.limit(most).select("doc_id", "importance", F.explode("themes").alias("theme")).where(F.col("theme").isin(themes))
+    few = top_per(ranked, "theme", len(themes), F.desc("importance"), "doc_id").select("theme", "doc_id", "importance")
+    lists = [F.array_sort(F.collect_list(F.when(F.col("theme") == t, F.struct((-F.col("importance")).alias("i"), "doc_id")))).alias(f"t{n}") for n, t in enumerate(themes)]
+    df = few.agg(*lists).withColumn("used", F.array().cast("array<bigint>"))
+    for n in range(len(themes)):
+        left = F.filter(F.col(f"t{n}"), lambda x: ~F.array_contains("used", x["doc_id"]))
+        df = df.withColumn(f"t{n}", F.get(left, F.lit(0))).withColumn("used", F.array_compact(F.array_append("used", F.col(f"t{n}.doc_id"))))
+    picks = F.array(*[F.struct(F.lit(t).alias("theme"), F.col(f"t{n}.doc_id").alias("doc_id"), (-F.col(f"t{n}.i")).alias("importance")) for n, t in enumerate(themes)])
+    return df.select(F.inline(picks)).where("doc_id is not null")
+
+
 def top_per(df: DataFrame, key: str, n: int, *order) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= n)
 

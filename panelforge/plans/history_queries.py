@@ -85,18 +85,20 @@ add("h10_exposure", lambda s, d: h.exposure(t.panel(s, d), flags(s, d), 20, 14),
 
 
 def _h11(s, d):
+    """Rows without an end result: an unknown quote, or no sector benchmark (every tenth session); halts on every eleventh entry and thirteenth exit."""
     w = Window.partitionBy("symbol").orderBy("session_ix")
     df = ended(s, d).select("symbol", "session_ix", F.lead("close", 1).over(w).alias("en"), F.lead("close", 15).over(w).alias("ex"))
     last = ended(s, d).where("close is not null").groupBy("symbol").agg(F.max("session_ix").alias("li"))
-    df = df.join(last, "symbol").join(events(s, d).select("symbol", "verified", "unresolved"), "symbol", "left").where("en is null or ex is null")
-    no = F.lit(False)
-    ev = F.col("verified").isNotNull()
-    why = h.unknown_reason(F.col("en").isNotNull(), F.col("ex").isNotNull(), no, no, F.col("session_ix") + 1 > F.col("li"), F.col("session_ix") + 15 > F.col("li"), ev, ev & (F.col("session_ix") + 1 >= 250), F.coalesce("unresolved", no))
+    df = df.join(last, "symbol").join(events(s, d).select("symbol", "verified", "unresolved"), "symbol", "left").where("en is null or ex is null or session_ix % 10 = 0")
+    ix, ev = F.col("session_ix"), F.col("verified").isNotNull()
+    known = F.col("en").isNotNull() & F.col("ex").isNotNull()
+    why = h.unknown_reason(F.col("en").isNotNull(), F.col("ex").isNotNull(), (ix + 1) % 11 == 0, (ix + 15) % 13 == 0, ix + 1 > F.col("li"), ix + 15 > F.col("li"), ev, ev & (ix + 1 >= 250), F.coalesce("unresolved", F.lit(False)), known)
     return df.select("symbol", "session_ix", why.alias("reason"))
 
 
-add("h11_unknown_reason", _h11, EV + """ SELECT symbol, session_ix, CASE WHEN en IS NULL AND session_ix + 1 > li AND value IS NOT NULL AND session_ix + 1 >= 250 THEN 'entry_after_verified_termination' WHEN en IS NULL AND session_ix + 1 > li AND value IS NOT NULL THEN 'missing_entry_before_event'
- WHEN en IS NULL AND session_ix + 1 > li THEN 'entry_after_unreviewed_series_end' WHEN en IS NULL THEN 'missing_entry_quote' WHEN value IS NOT NULL AND unresolved THEN 'unpriced_contingent_rights' WHEN session_ix + 15 > li AND value IS NOT NULL THEN 'registered_event_needs_review' WHEN session_ix + 15 > li THEN 'unreviewed_series_end' ELSE 'missing_exit_quote' END AS reason FROM tx WHERE en IS NULL OR ex IS NULL""")
+add("h11_unknown_reason", _h11, EV + """ SELECT symbol, session_ix, CASE WHEN en IS NULL AND (session_ix + 1) % 11 = 0 THEN 'entry_during_halt' WHEN en IS NULL AND session_ix + 1 > li AND value IS NOT NULL AND session_ix + 1 >= 250 THEN 'entry_after_verified_termination' WHEN en IS NULL AND session_ix + 1 > li AND value IS NOT NULL THEN 'missing_entry_before_event'
+ WHEN en IS NULL AND session_ix + 1 > li THEN 'entry_after_unreviewed_series_end' WHEN en IS NULL THEN 'missing_entry_quote' WHEN (session_ix + 15) % 13 = 0 THEN 'exit_during_halt' WHEN ex IS NOT NULL THEN 'missing_sector_benchmark' WHEN value IS NOT NULL AND unresolved THEN 'unpriced_contingent_rights'
+ WHEN session_ix + 15 > li AND value IS NOT NULL THEN 'registered_event_needs_review' WHEN session_ix + 15 > li THEN 'unreviewed_series_end' ELSE 'missing_exit_quote' END AS reason FROM tx WHERE en IS NULL OR ex IS NULL OR session_ix % 10 = 0""")
 add("h12_missingness", lambda s, d: h.missingness(predictions(s, d), ["sector"]), f"SELECT sector, outcome IS NULL AS unknown, count(*) AS rows, count(DISTINCT symbol) AS symbols, {r('median(score)', 'median_score')} FROM sc GROUP BY ALL")
 add("h13_disagreements", lambda s, d: h.disagreements(t.bars(s, d), t.bars(s, d).withColumn("close", F.when(F.dayofyear("date") % 30 == 2, F.col("close") * 1.1).otherwise(F.col("close"))), 0.01).select("symbol", "date", "gap", "offsetting"),
     f", x AS (SELECT symbol, date, close / lag(close) OVER w - 1 AS ra, c2 / lag(c2) OVER w - 1 AS rb FROM (SELECT *, CASE WHEN dayofyear(date) % 30 = 2 THEN close * 1.1 ELSE close END AS c2 FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, {D}, {r('ra - rb', 'gap')}, coalesce(abs(ra - rb + nx) <= 0.01, false) AS offsetting FROM (SELECT *, lead(ra - rb) OVER (PARTITION BY symbol ORDER BY date) AS nx FROM x) WHERE abs(ra - rb) > 0.01")
@@ -141,9 +143,6 @@ def top():
 
 
 LIVE = f", lv AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY r60 DESC, symbol) AS rank, count(*) OVER (PARTITION BY date) AS n FROM (SELECT *, r20 - median(r20) OVER (PARTITION BY date, sector) AS rm, vol20 - median(vol20) OVER (PARTITION BY date, sector) AS vm, {pct('r20', 'date, sector')} AS sr FROM feat) WHERE r60 IS NOT NULL)"
-_first4 = lambda items: "array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN {a} THEN '{b}' END" for a, b in items) + "], lambda x: x IS NOT NULL), 1, 4), '|')"
-add("k2_tags", lambda s, d: live(s, d).select("symbol", "date", F.array_join(k.reason_tags(), "|").alias("reasons"), F.array_join(k.risk_flags(), "|").alias("risks")),
-    LIVE + f" SELECT {K}, " + _first4([("vm < 0", "Lower volatility than sector median"), ("rm > 0", "Momentum ahead of sector median"), ("sr >= 0.7", "Top-sector return rank"), ("vs_sma50 > 0", "Above trend"), ("volume_ratio >= 1.2", "Strong volume")]) + " AS reasons, " + _first4([("vm > 0", "Above-sector volatility"), ("vs_sma20 < 0", "Below short trend"), ("vs_sma50 < 0", "Below trend"), ("volume_ratio < 0.7", "Weak volume confirmation")]) + " AS risks FROM lv")
 _SET = "CASE WHEN rank <= greatest(1, ceil(n * 0.1)) AND vs_sma20 > 0 AND vs_sma50 > 0 AND r5 > 0 AND r20 > 0 THEN 'momentum_confirmed' WHEN rank <= greatest(1, ceil(n * 0.1)) AND vs_sma20 < 0 AND vs_sma50 < 0 AND r5 < 0 AND r20 < 0 THEN 'model_rebound_watch' WHEN rank <= greatest(1, ceil(n * 0.1)) AND (vs_sma20 < 0 OR vs_sma50 < 0) THEN 'model_ranked_not_momentum_confirmed' ELSE 'model_ranked' END"
 add("k3_setup", lambda s, d: live(s, d).select("symbol", "date", k.setup_type(top()).alias("setup")), LIVE + f" SELECT {K}, {_SET} AS setup FROM lv")
 add("k4_activation", lambda s, d: live(s, d).withColumn("setup", k.setup_type(top())).select("symbol", "date", k.activation_price(F.col("setup"), F.col("close"), F.col("vol20")).alias("price")).where("price is not null"), LIVE + f" SELECT {K}, round(close * (1 + 0.75 * vol20), 2) AS price FROM (SELECT *, {_SET} AS setup FROM lv) WHERE setup = 'model_rebound_watch' AND vol20 > 0 AND close > 0")

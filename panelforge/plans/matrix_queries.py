@@ -8,6 +8,8 @@ from panelforge.functions.semantics import rounded
 from panelforge.operators import backtest as b
 from panelforge.operators import cross_section as c
 from panelforge.operators import matrix as mx
+from panelforge.operators import scorebook as k
+from panelforge.operators import splits as v
 from panelforge.plans.panel_queries import FW, predictions
 from panelforge.plans.sqlparts import ALL, D, lag, lead, pct, r, ret, roll
 from panelforge.sources import tables as t
@@ -113,3 +115,30 @@ lg AS (UNPIVOT (SELECT fm.symbol, fm.date, outcome, {', '.join(f'({x})::DOUBLE A
 lr AS (SELECT *, row_number() OVER (PARTITION BY strategy, date ORDER BY v DESC, symbol) AS place, count(*) OVER (PARTITION BY strategy, date) AS n FROM lg WHERE v IS NOT NULL AND outcome IS NOT NULL),
 dz AS (SELECT strategy, date, avg(outcome) FILTER (place <= greatest(1, ceil(n * 0.1))) AS tm, avg(outcome) FILTER (place > n - greatest(1, ceil(n * 0.1))) AS bm, avg(CAST(outcome > 0 AS INTEGER)) FILTER (place <= greatest(1, ceil(n * 0.1))) AS th FROM lr GROUP BY ALL)
 SELECT strategy, count(*) AS dates, {r('avg(tm)', 'top_mean')}, {r(f'avg(tm - {COST})', 'top_after_cost')}, {r('avg(bm)', 'bottom_mean')}, {r('avg(tm - bm)', 'spread')}, {r('avg(th)', 'top_hit')} FROM dz GROUP BY strategy""")
+
+
+def _first4(*items: tuple[str, str]) -> str:
+    return "array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN {a} THEN '{b}' END" for a, b in items) + "], lambda x: x IS NOT NULL), 1, 4), '|')"
+
+
+_REASONS = _first4(("volatility_60d_minus_sector_median < 0", "Lower 60d volatility than sector median"), ("momentum_252_20_minus_sector_median > 0", "Long-horizon momentum ahead of sector median"), ("return_120d_sector_rank >= 0.7", "Top-sector 120d return rank"), ("price_vs_sma_200 > 0", "Above 200d trend"), ("from_high_252d > -0.08", "Within 8% of 52w high"), ("log_dollar_volume_20d_rank >= 0.7", "Liquid versus universe"))
+_RISKS = _first4(("rsi_14 > 76", "RSI extended"), ("volatility_60d_minus_sector_median > 0", "Above-sector volatility"), ("price_vs_sma_50 < 0", "Below 50d trend"), ("price_vs_sma_200 < 0", "Below 200d trend"), ("volume_ratio_20d < 0.7", "Weak volume confirmation"))
+add("k2_tags", lambda s, d: full(s, d).select("symbol", "date", F.array_join(k.reason_tags(), "|").alias("reasons"), F.array_join(k.risk_flags(), "|").alias("risks")), f"{WHOLE} SELECT {K}, {_REASONS} AS reasons, {_RISKS} AS risks FROM fm")
+
+
+def _b2(s, d):
+    """The model's score and the seven baselines by day, month, quarter and year."""
+    p = predictions(s, d).select("symbol", "date", "sector", "outcome", "grade", F.col("score").alias("rank_model"))
+    df = p.join(mx.baseline_scores(full(s, d)).select("symbol", "date", *_SEVEN), ["symbol", "date"])
+    bars = t.bars(s, d)
+    cohorts = {"daily": bars.select("date").distinct()} | {c_: v.sampled_dates(bars, c_) for c_ in ("month", "quarter", "year")}
+    return b.cohort_summary(df, ["rank_model", *_SEVEN], cohorts)
+
+
+add("b2_cohorts", _b2, f"""{WHOLE}, ms AS (SELECT *, {pct('momentum_252_20_vs_sector', 'date')} AS m1, {pct('momentum_252_20_minus_sector_median', 'date')} AS m2, {pct('sector_momentum_252_20', 'date')} AS m3, {pct('composite', 'date')} AS m4 FROM fm),
+sc AS (SELECT symbol, date, {ret(20)} AS score, {lead('close', 15)} / {lead('close', 1)} - 1 AS outcome FROM p),
+lg AS (UNPIVOT (SELECT ms.symbol, ms.date, outcome, score AS rank_model, {', '.join(f'({x})::DOUBLE AS {n}' for n, x in _SEVEN.items())} FROM ms JOIN sc ON sc.symbol = ms.symbol AND sc.date = ms.date) ON rank_model, {', '.join(_SEVEN)} INTO NAME strategy VALUE v),
+lr AS (SELECT *, row_number() OVER (PARTITION BY strategy, date ORDER BY v DESC, symbol) AS place, count(*) OVER (PARTITION BY strategy, date) AS n FROM lg WHERE v IS NOT NULL AND outcome IS NOT NULL),
+dz AS (SELECT strategy, date, avg(outcome) FILTER (place <= greatest(1, ceil(n * 0.1))) AS tm, avg(outcome) FILTER (place > n - greatest(1, ceil(n * 0.1))) AS bm, avg(CAST(outcome > 0 AS INTEGER)) FILTER (place <= greatest(1, ceil(n * 0.1))) AS th FROM lr GROUP BY ALL),
+co AS (SELECT DISTINCT 'daily' AS cohort, date FROM bars UNION ALL SELECT 'month', min(date) FROM bars GROUP BY date_trunc('month', date) UNION ALL SELECT 'quarter', min(date) FROM bars GROUP BY date_trunc('quarter', date) UNION ALL SELECT 'year', min(date) FROM bars GROUP BY date_trunc('year', date))
+SELECT cohort, strategy, count(*) AS dates, {r('avg(tm)', 'top_mean')}, {r('avg(bm)', 'bottom_mean')}, {r('avg(tm - bm)', 'spread')}, {r('avg(th)', 'top_hit')} FROM dz JOIN co USING (date) GROUP BY cohort, strategy""")

@@ -163,8 +163,6 @@ def _cohorts(s, d):
     return {"month": v.sampled_dates(bars, "month"), "quarter": v.sampled_dates(bars, "quarter")}
 
 
-add("b2_cohorts", lambda s, d: b.cohort_summary(predictions(s, d), STR, _cohorts(s, d)), "")
-SQL["b2_cohorts"] = f"{FULL}, {LONG}, co AS (SELECT 'month' AS cohort, min(date) AS date FROM bars GROUP BY date_trunc('month', date) UNION ALL SELECT 'quarter', min(date) FROM bars GROUP BY date_trunc('quarter', date)) SELECT cohort, strategy, count(*) AS dates, {', '.join(r(f'avg({x})', x) for x in ('top_mean', 'bottom_mean', 'spread', 'top_hit'))} FROM st JOIN co USING (date) GROUP BY cohort, strategy"
 
 
 def _b4(s, d):

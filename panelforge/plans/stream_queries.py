@@ -28,10 +28,9 @@ def _events(spark, sf):
 def _x1(spark, sf):
     at = shared_folder(spark)
     s = _events(spark, sf).select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("date"), F.col("event_id").alias("seq"), F.col("value").alias("close"), F.lit(1.0).alias("volume"))
-    q = jobs.latest_bars(s, f"{at}/bars", f"{at}/checkpoint")
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{at}/bars/version={last}").select("symbol", F.col("date").cast("string").alias("date"), "seq", "close")
+    jobs.latest_bars(s, f"{at}/bars", f"{at}/checkpoint").awaitTermination()
+    schema = "symbol long, seq long, close double, volume double, date date, batch long"
+    return jobs.current_bars(spark, f"{at}/bars", schema).select("symbol", F.col("date").cast("string").alias("date"), "seq", "close")
 
 
 QUERIES["x1_latest_bars"] = _x1

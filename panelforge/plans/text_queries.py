@@ -106,6 +106,11 @@ add("t9_drivers", lambda s, d: tx.market_drivers(_articles(s, d)).select("url",
     f"""WITH {_ART} SELECT url, doc_id, importance::DOUBLE AS importance FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY importance DESC, doc_id) AS n FROM art WHERE NOT media AND NOT low AND title <> ''
  AND NOT (len(f) = 1 AND f[1] = 'Earnings' AND NOT broad) AND (since OR coalesce(age <= 24, false) OR coalesce(age <= 96 AND importance >= 44, false))) WHERE n = 1 ORDER BY importance DESC, doc_id LIMIT 48""")
 add("t10_theme_counts", lambda s, d: _articles(s, d).select(F.explode("themes").alias("theme")).groupBy("theme").agg(F.count(F.lit(1)).alias("n")), f"WITH {_ART} SELECT theme, count(*) AS n FROM (SELECT unnest(f) AS theme FROM art) GROUP BY theme")
+_TURNS = tx.PRIORITY
+_DRV = f"""WITH {_ART}, dv AS (SELECT doc_id, importance, f FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY importance DESC, doc_id) AS n FROM art WHERE NOT media AND NOT low AND title <> ''
+ AND NOT (len(f) = 1 AND f[1] = 'Earnings' AND NOT broad) AND (since OR coalesce(age <= 24, false) OR coalesce(age <= 96 AND importance >= 44, false))) WHERE n = 1 ORDER BY importance DESC, doc_id LIMIT 48)"""
+_PICKS = ", ".join(f"q{n} AS (SELECT '{t}' AS theme, doc_id, importance FROM dv WHERE list_contains(f, '{t}')" + "".join(f" AND doc_id NOT IN (SELECT doc_id FROM q{m})" for m in range(n)) + " ORDER BY importance DESC, doc_id LIMIT 1)" for n, t in enumerate(_TURNS))
+add("t10_theme_drivers", lambda s, d: tx.theme_drivers(tx.market_drivers(_articles(s, d)), _TURNS), f"{_DRV}, {_PICKS} " + " UNION ALL ".join(f"SELECT theme, doc_id, importance::DOUBLE AS importance FROM q{n}" for n in range(len(_TURNS))))
 add("t20_source_health", lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.length("text") >= 200).alias("usable"), F.max("doc_id").alias("newest")), "SELECT source, count(*) AS items, count(*) FILTER (length(text) >= 200) AS usable, max(doc_id) AS newest FROM documents GROUP BY source")
 KNOWN = ["THE", "AND", "LES", "QUE", "DER", "UND", "EST"]
 

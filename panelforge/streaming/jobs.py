@@ -13,20 +13,32 @@ from pyspark.sql.streaming import StreamingQuery
 from panelforge.operators.scorebook import rank_changes
 
 
+def current_bars(spark, table: str, schema) -> DataFrame:
+    """The table that `latest_bars` keeps: of each date the rows of its last batch."""
+    rows = spark.read.schema(schema).parquet(table)
+    last = rows.groupBy("date").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(last), ["date", "batch"], "left_semi").drop("batch")
+
+
 def latest_bars(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """X1: the latest revision of each (symbol, date) as Parquet at `table`: revisions replace, they never add up.
 
-    Columns symbol, date, seq, close, volume. A batch is first cut to its own latest rows; the table is kept
-    as one version a batch, so that a batch that is run again overwrites its own version.
+    Columns symbol, date, seq, close, volume. The table is partitioned by date and batch: a batch reads and writes
+    only the dates it holds, and one that is run again overwrites its own partitions. `current_bars` reads it.
     """
+    schema = f"symbol {stream.schema['symbol'].dataType.simpleString()}, seq {stream.schema['seq'].dataType.simpleString()}, close double, volume double, date date, batch long"
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         w = Window.partitionBy("symbol", "date").orderBy(F.desc("seq"), F.desc("close"), F.desc("volume"))
-        rows = batch
+        rows = batch.select("symbol", "seq", "close", "volume", "date")
         if epoch > 0:
-            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{table}/version={epoch - 1}"))
-        rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{table}/version={epoch}")
+            days = [r[0] for r in batch.select("date").distinct().collect()]
+            before = spark.read.schema(schema).parquet(table).where(F.col("date").isin(days) & (F.col("batch") < epoch))
+            last = before.groupBy("date").agg(F.max("batch").alias("batch"))
+            rows = rows.unionByName(before.join(F.broadcast(last), ["date", "batch"], "left_semi").select(*rows.columns))
+        newest = rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumn("batch", F.lit(epoch).cast("long"))
+        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(table)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
