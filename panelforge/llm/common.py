@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +71,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about `size` bytes of a text or binary column, a row at least; empty batches go."""
+    for b in batches:
+        ends = np.cumsum(np.nan_to_num(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype("float64")))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)))
+            yield b.slice(at, min(end, b.num_rows) - at)
+            at = end
+
+
 def _mark(edges: DataFrame):
     """Tells edge sets apart: their size and a sum and a XOR of hashes."""
     h = F.xxhash64("u", "v")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelforge.llm import chat, exact_dedup, katz, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
+from panelforge.llm import bpe, chat, divergence, exact_dedup, katz, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_substrings": substring_dedup.op8_substrings,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_bpe": bpe.op11_bpe,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_divergence": divergence.op13_divergence,
 }
 SQL = {
     "op2_chat": chat.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op13_divergence": divergence.SQL,
 }
