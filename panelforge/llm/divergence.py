@@ -27,6 +27,8 @@ LEAST_DOCS, ADDED, ONE = 30, 5, 1_000_000_000
 #: Groups and terms of a block on average, terms listed of each group, and counters a task holds.
 GROUPS, TERMS, LISTED, COUNTERS = 64, 4096, 50, 400_000
 SLICE = 1 << 22
+#: So many languages are broadcast at most, a row each; of more, none can hold much of the table's groups or terms.
+LANGS = 10_000
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +84,10 @@ def _slices(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _cell(rows: pd.DataFrame) -> pd.DataFrame:
     """Partial divergences of one cell: all pairs of its two blocks of groups, over its block of terms."""
-    size = int(rows["size"].iloc[0])
+    first = rows.iloc[0]
+    if first["i"] != first["j"] and len(rows) < 2:  # the partner block holds no group
+        return pd.DataFrame(columns=["lang", "i", "j", "a", "b", "value"])
+    size = int(first["size"])
     dense = {}
     for side, g, t, p, none in zip(rows["side"], rows["groups"], rows["terms"], rows["shares"], rows["none"], strict=True):
         m = np.repeat(np.asarray(none, dtype=np.int64)[:, None], size, axis=1)
@@ -92,7 +97,6 @@ def _cell(rows: pd.DataFrame) -> pd.DataFrame:
     left, right = dense[0], dense.get(1, dense[0])
     sums = np.stack([np.abs(row - right).sum(axis=1) for row in left])
     a, b = np.nonzero(np.ones_like(sums, dtype=bool) if 1 in dense else np.triu(np.ones_like(sums, dtype=bool), 1))
-    first = rows.iloc[0]
     return pd.DataFrame({"lang": first["lang"], "i": first["i"], "j": first["j"], "a": a.astype("int32"), "b": b.astype("int32"), "value": sums[a, b]})
 
 
@@ -117,6 +121,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, groups: int = GROU
         "lang", F.ceil(F.col("g_count") / groups).cast("int").alias("g_blocks"), F.coalesce("v", F.lit(0)).cast("long").alias("v"),
         F.greatest(F.lit(1), F.ceil(F.coalesce("v", F.lit(0)) / terms)).cast("int").alias("t_blocks"), F.coalesce("lang_total", F.lit(0)).cast("long").alias("lang_total"),
     )
+    lang = written(lang)
+    lang = F.broadcast(lang) if lang.count() <= LANGS else lang  # a join by language alone would gather one in a task
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     number = lambda by, c: (F.row_number().over(Window.partitionBy("lang", by).orderBy(c)) - 1).cast("int")
