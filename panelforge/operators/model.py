@@ -52,11 +52,11 @@ def gain_importance(nodes: DataFrame, most: int = 25) -> DataFrame:
     return nodes.where("feature is not null").groupBy("feature").agg(F.avg("gain").alias("gain"), F.count(F.lit(1)).alias("splits")).orderBy(F.desc("gain"), "feature").limit(most)
 
 
-def attribution_summary(long: DataFrame) -> DataFrame:
-    """By feature of (feature, contribution): mean size, mean, positive share and quantiles."""
+def attribution_summary(long: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """By feature (and `by`) of (feature, contribution): mean size, mean, positive share and quantiles."""
     q = F.percentile("contribution", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    g = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean"), F.avg((F.col("contribution") > 0).cast("int")).alias("positive"), q.alias("q"))
-    return g.select("feature", "mean_abs", "mean", "positive", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
+    g = long.groupBy(*(by or []), "feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"), F.avg("contribution").alias("mean"), F.avg((F.col("contribution") > 0).cast("int")).alias("positive"), q.alias("q"))
+    return g.select(*(by or []), "feature", "mean_abs", "mean", "positive", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95"))])
 
 
 def linear_contributions(df: DataFrame, weights: dict[str, float]) -> DataFrame:

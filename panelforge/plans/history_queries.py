@@ -176,19 +176,6 @@ add("r3_delay", lambda s, d: t.table(s, d, "events").groupBy("user_id").agg(F.mi
 SQL["r3_delay"] = SQL["r3_delay"].replace("chr(115)||chr(101)||chr(99)||chr(111)||chr(110)||chr(100)", "'second'")
 
 # model data
-TREES = [
-    {"tree": 0, "node": 0, "feature": "score", "threshold": 0.05, "left": 1, "right": 2, "default_left": True, "value": None, "gain": 3.0},
-    {"tree": 0, "node": 1, "feature": None, "threshold": 0.0, "left": -1, "right": -1, "default_left": False, "value": -0.2, "gain": 0.0},
-    {"tree": 0, "node": 2, "feature": "vol20", "threshold": 0.3, "left": 3, "right": 4, "default_left": False, "value": None, "gain": 2.0},
-    {"tree": 0, "node": 3, "feature": None, "threshold": 0.0, "left": -1, "right": -1, "default_left": False, "value": 0.4, "gain": 0.0},
-    {"tree": 0, "node": 4, "feature": None, "threshold": 0.0, "left": -1, "right": -1, "default_left": False, "value": 0.1, "gain": 0.0},
-    {"tree": 1, "node": 0, "feature": "short", "threshold": -0.1, "left": 1, "right": 2, "default_left": False, "value": None, "gain": 1.0},
-    {"tree": 1, "node": 1, "feature": None, "threshold": 0.0, "left": -1, "right": -1, "default_left": False, "value": 0.05, "gain": 0.0},
-    {"tree": 1, "node": 2, "feature": None, "threshold": 0.0, "left": -1, "right": -1, "default_left": False, "value": -0.05, "gain": 0.0},
-]
-add("m1_score_trees", lambda s, d: m.score_trees(predictions(s, d), TREES, 0.5).select("symbol", "date", "score"),
-    f"SELECT {K}, {r('0.5 + CASE WHEN score IS NULL OR CAST(score AS FLOAT) < CAST(0.05 AS FLOAT) THEN -0.2 WHEN CAST(vol20 AS FLOAT) < CAST(0.3 AS FLOAT) THEN 0.4 ELSE 0.1 END + CASE WHEN CAST(short AS FLOAT) < CAST(-0.1 AS FLOAT) THEN 0.05 ELSE -0.05 END', 'score')} FROM sc")
-add("m7_attribution", lambda s, d: m.attribution_summary(m.linear_contributions(predictions(s, d), {"score": 1.0, "vol20": -0.5})), " UNION ALL ".join(f"SELECT '{f}' AS feature, {r('avg(abs(x))', 'mean_abs')}, round(avg(x), 6) + 0.0 AS mean, {r('avg(CAST(x > 0 AS INTEGER))', 'positive')}, {r('quantile_cont(x, 0.05)', 'p05')}, {r('quantile_cont(x, 0.5)', 'p50')}, {r('quantile_cont(x, 0.95)', 'p95')} FROM (SELECT {w} * ({f} - avg({f}) OVER ()) AS x FROM sc) WHERE x IS NOT NULL" for f, w in (("score", 1.0), ("vol20", -0.5))))
 add("m3_ndcg", lambda s, d: m.ndcg(predictions(s, d).where("score is not null and grade is not null"), 10), f"SELECT {D}, {r('sum(CASE WHEN p <= 10 THEN (pow(2, grade) - 1) / log2(p + 1) END) / sum(CASE WHEN i <= 10 THEN (pow(2, grade) - 1) / log2(i + 1) END)', 'ndcg')} FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS p, row_number() OVER (PARTITION BY date ORDER BY grade DESC, symbol) AS i FROM sc WHERE score IS NOT NULL AND grade IS NOT NULL) GROUP BY date")
 
 
@@ -221,7 +208,6 @@ def _m6(s, d):
 
 
 QUERIES["m6_ablation"] = lambda s, d: rounded(_m6(s, d))
-add("m8_gain_importance", lambda s, d: m.gain_importance(predictions(s, d).groupBy("sector", "symbol").agg(F.avg("score").alias("gain")).withColumnRenamed("sector", "feature")), f"SELECT sector AS feature, {r('avg(g)', 'gain')}, count(*) AS splits FROM (SELECT sector, symbol, avg(score) AS g FROM sc GROUP BY sector, symbol) GROUP BY sector")
 QUERIES["v8_trailing_split"] = lambda s, d: rounded(_v8(s, d))
 
 

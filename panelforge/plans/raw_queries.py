@@ -171,13 +171,13 @@ add("s18_company_news", lambda s, d: tx.company_news(_feeds(s, d)), f"SELECT o_c
 
 def _s22(s, d):
     bal = F.col("s_acctbal")
-    tree = F.struct(F.array(F.lit(1), F.lit(-1), F.lit(-1)).alias("left_children"), F.array(F.lit(2), F.lit(-1), F.lit(-1)).alias("right_children"), F.array((F.col("s_suppkey") % 5).cast("int"), F.lit(0), F.lit(0)).alias("split_indices"), F.array(bal, F.lit(-0.5), F.lit(0.5)).alias("split_conditions"), F.array((F.col("s_suppkey") % 2).cast("int"), F.lit(0), F.lit(0)).alias("default_left"), F.array(bal / 2, F.lit(0.0), F.lit(0.0)).alias("loss_changes"))
+    tree = F.struct(F.array(F.lit(1), F.lit(-1), F.lit(-1)).alias("left_children"), F.array(F.lit(2), F.lit(-1), F.lit(-1)).alias("right_children"), F.array((F.col("s_suppkey") % 5).cast("int"), F.lit(0), F.lit(0)).alias("split_indices"), F.array(bal, F.lit(-0.5), F.lit(0.5)).alias("split_conditions"), F.array((F.col("s_suppkey") % 2).cast("int"), F.lit(0), F.lit(0)).alias("default_left"), F.array(bal / 2, F.lit(0.0), F.lit(0.0)).alias("loss_changes"), F.array(F.lit(10.0), F.lit(4.0), F.lit(6.0)).alias("sum_hessian"))
     g = t.table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("model")).agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", tree.alias("t")))), lambda x: x["t"]).alias("trees"))
     return rd.saved_trees(g.select("model", F.to_json(F.struct(F.struct(F.struct(F.struct("trees").alias("model")).alias("gradient_booster")).alias("learner"))).alias("body")))
 
 
 add("s22_saved_trees", _s22, f"""WITH x AS (SELECT s_nationkey AS model, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS tree, s_suppkey, s_acctbal FROM supplier)
- SELECT model, tree, node, CASE WHEN node = 0 THEN CAST(s_suppkey % 5 AS INTEGER) ELSE 0 END AS split_index, {r('CASE node WHEN 0 THEN s_acctbal WHEN 1 THEN -0.5 ELSE 0.5 END', 'condition')}, CASE WHEN node = 0 THEN 1 ELSE -1 END AS "left", CASE WHEN node = 0 THEN 2 ELSE -1 END AS "right", node = 0 AND s_suppkey % 2 = 1 AS default_left, {r('CASE WHEN node = 0 THEN s_acctbal / 2 ELSE 0 END', 'gain')}, node > 0 AS leaf FROM x CROSS JOIN (SELECT unnest([0, 1, 2]) AS node)""")
+ SELECT model, tree, node, CASE WHEN node = 0 THEN CAST(s_suppkey % 5 AS INTEGER) ELSE 0 END AS split_index, {r('CASE node WHEN 0 THEN s_acctbal WHEN 1 THEN -0.5 ELSE 0.5 END', 'condition')}, CASE WHEN node = 0 THEN 1 ELSE -1 END AS "left", CASE WHEN node = 0 THEN 2 ELSE -1 END AS "right", node = 0 AND s_suppkey % 2 = 1 AS default_left, {r('CASE WHEN node = 0 THEN s_acctbal / 2 ELSE 0 END', 'gain')}, node > 0 AS leaf, CASE node WHEN 0 THEN 10.0::DOUBLE WHEN 1 THEN 4.0 ELSE 6.0 END AS cover FROM x CROSS JOIN (SELECT unnest([0, 1, 2]) AS node)""")
 
 
 def _s24(s, d):

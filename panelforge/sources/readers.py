@@ -15,7 +15,8 @@ FACTS = "struct<cik:string,facts:map<string,map<string,struct<units:map<string,a
 LISTING = "struct<data:struct<children:array<struct<data:struct<id:string,title:string,selftext:string,score:bigint,num_comments:bigint,created_utc:double>>>>>"
 EARNINGS = "struct<data:struct<asOf:string,rows:array<struct<symbol:string,name:string,time:string,marketCap:string,fiscalQuarterEnding:string,epsForecast:string,noOfEsts:string,lastYearRptDt:string,lastYearEPS:string>>>>"
 BOOSTER = """struct<learner:struct<gradient_booster:struct<model:struct<trees:array<struct<left_children:array<int>,right_children:array<int>,split_indices:array<int>,
- split_conditions:array<double>,default_left:array<int>,loss_changes:array<double>>>>>>>"""
+ split_conditions:array<double>,default_left:array<int>,loss_changes:array<double>,sum_hessian:array<double>>>>>,learner_model_param:struct<base_score:string>,
+ feature_names:array<string>,attributes:struct<best_iteration:string>>>"""
 SCREEN = "struct<finance:struct<result:array<struct<id:string,quotes:array<struct<symbol:string,shortName:string,regularMarketPrice:double,regularMarketChangePercent:double,regularMarketVolume:double>>>>>>"
 
 
@@ -159,12 +160,19 @@ def fomc_calendar(pages: DataFrame, first, last) -> DataFrame:
 
 
 def saved_trees(models: DataFrame, column: str = "body") -> DataFrame:
-    """Nodes as rows (model, tree, node, split_index, condition, left, right, default_left, gain, leaf) of saved boosters (model, body)."""
+    """Nodes as rows (model, tree, node, split_index, condition, left, right, default_left, gain, leaf, cover) of saved boosters (model, body)."""
     trees = F.from_json(column, BOOSTER)["learner"]["gradient_booster"]["model"]["trees"]
     df = models.select("model", F.posexplode(trees).alias("tree", "t"))
-    zipped = F.arrays_zip(*[F.col(f"t.{c}").alias(c) for c in ("left_children", "right_children", "split_indices", "split_conditions", "default_left", "loss_changes")])
+    zipped = F.arrays_zip(*[F.col(f"t.{c}").alias(c) for c in ("left_children", "right_children", "split_indices", "split_conditions", "default_left", "loss_changes")], F.coalesce("t.sum_hessian", F.array().cast("array<double>")).alias("sum_hessian"))
     df = df.select("model", "tree", F.posexplode(zipped).alias("node", "x"))
-    return df.select("model", "tree", "node", F.col("x.split_indices").alias("split_index"), F.col("x.split_conditions").alias("condition"), F.col("x.left_children").alias("left"), F.col("x.right_children").alias("right"), (F.col("x.default_left") != 0).alias("default_left"), F.col("x.loss_changes").alias("gain"), (F.col("x.left_children") < 0).alias("leaf"))
+    return df.select("model", "tree", "node", F.col("x.split_indices").alias("split_index"), F.col("x.split_conditions").alias("condition"), F.col("x.left_children").alias("left"), F.col("x.right_children").alias("right"), (F.col("x.default_left") != 0).alias("default_left"), F.col("x.loss_changes").alias("gain"), (F.col("x.left_children") < 0).alias("leaf"), F.col("x.sum_hessian").alias("cover"))
+
+
+def saved_heads(models: DataFrame, column: str = "body") -> DataFrame:
+    """(model, base, features, best_iteration) of saved boosters (model, body): the margin added to all trees, the columns' order, and the last tree kept (null: all)."""
+    head = F.from_json(column, BOOSTER)["learner"]
+    base = F.translate(head["learner_model_param"]["base_score"], "[]", "").cast("double")
+    return models.select("model", F.coalesce(base, F.lit(0.5)).alias("base"), head["feature_names"].alias("features"), head["attributes"]["best_iteration"].cast("int").alias("best_iteration"))
 
 
 def company_facts(payloads: DataFrame, column: str = "body") -> DataFrame:
