@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from panelforge.operators.identity import connected_names
 
 def left_join_unique(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join that fails if a key repeats on either side."""
@@ -39,6 +39,32 @@ def asof(rows: DataFrame, observations: DataFrame, key: str, at: str, seen: str,
     return found.select("_row.*", *[F.when(fresh, F.col(f"_last.{v}")).alias(v) for v in values], F.when(fresh, F.col("_last.seen")).alias("seen"))
 
 
+def available_on(days: DataFrame, observed: DataFrame, lag: int) -> DataFrame:
+    """(seen, available): the lag-th session after each observation day (lag 1: the next one); days past the calendar's end go.
+
+    Sessions and observation days are one ordered table with a row a day, in which sessions are counted.
+    """
+    mark = days.select(F.col("date").alias("day")).distinct().withColumn("s", F.lit(1)).unionByName(observed.select(F.col("seen").alias("day")).distinct().withColumn("s", F.lit(0)))
+    counted = mark.groupBy("day").agg(F.max("s").alias("s"), (F.min("s") == 0).alias("o")).withColumn("n", F.sum("s").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
+    nth = counted.where("s = 1").select("n", F.col("day").alias("available"))
+    return counted.where("o").select(F.col("day").alias("seen"), (F.col("n") + lag).alias("n")).join(nth, "n").select("seen", "available")
+
+
+def lagged_asof(rows: DataFrame, observations: DataFrame, days: DataFrame, key: str, values: list[str], lag: int = 1, max_age: int | None = None) -> DataFrame:
+    """Rows (key, date, ...) with the latest observation (key, seen, values) that was available `lag` sessions after it was made.
+
+    An observation enters on the lag-th session of `days` after its own day, wherever that falls, and is carried until
+    it is more than max_age days old, counted from the day it was made; one past the calendar's end never enters. Of
+    several observations of a key that enter together the last made counts, of one day the least by `values`.
+    """
+    o = observations.select(key, "seen", *values).where("seen is not null")
+    o = o.groupBy(key, "seen").agg(F.min(F.struct(*values)).alias("v")).join(available_on(days, o, lag), "seen")
+    o = o.groupBy(key, "available").agg(F.max_by(F.struct("v", "seen"), "seen").alias("o")).select(key, "available", *[F.col(f"o.v.{v}").alias(v) for v in values], F.col("o.seen").alias("observed_at"))
+    found = asof(rows, o, key, "date", "available", [*values, "observed_at"]).drop("seen")
+    fresh = F.lit(True) if max_age is None else F.datediff("date", "observed_at") <= max_age
+    return found.withColumns({v: F.when(fresh, F.col(v)) for v in values})
+
+
 def strictly_after(rows: DataFrame, prices: DataFrame) -> DataFrame:
     """The first price after each row's date, from a price table keyed by (symbol, date)."""
     nxt = prices.select("symbol", F.col("date"), F.lead("date").over(Window.partitionBy("symbol").orderBy("date")).alias("next_date"), F.lead("close").over(Window.partitionBy("symbol").orderBy("date")).alias("next_close"))
@@ -71,20 +97,6 @@ def keep_best(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def connected_names(links: DataFrame, rounds: int = 8) -> DataFrame:
-    """(id, component): least name reachable over (old, new) links; a chain of `rounds` renames at most.
-
-    Each round takes the least component among a name's neighbours. Rename registries are short chains.
-    """
-    both = links.select(F.col("old").alias("id"), F.col("new").alias("to")).where("id is not null and to is not null")
-    both = both.union(both.select(F.col("to").alias("id"), F.col("id").alias("to"))).distinct()
-    now = both.groupBy("id").agg(F.least("id", F.min("to")).alias("component"))
-    for _ in range(rounds):
-        seen = both.join(now.select(F.col("id").alias("to"), "component"), "to").groupBy("id").agg(F.min("component").alias("c"))
-        now = now.join(seen, "id").select("id", F.least("component", "c").alias("component"))
-    return now
-
-
 def resolve_aliases(links: DataFrame, active: DataFrame) -> DataFrame:
     """(name, security): rename chains as connected names, each with its one active name; ambiguous groups stay out."""
     groups = connected_names(links)

@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from panelforge.sources import shared
 from panelforge.streaming import jobs
 
 QUERIES, SQL = {}, {}
 
 
 def shared_folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelforge-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A folder of its own for a run, where driver and executors share one."""
+    return f"{shared.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _events(spark, sf):
