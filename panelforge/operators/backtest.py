@@ -140,28 +140,78 @@ def paired(long: DataFrame, arms: list[str], value: str = "spread") -> DataFrame
     return long.groupBy("date").pivot("strategy", arms).agg(F.first(value)).dropna(subset=arms)
 
 
+#: The modulus and step of the draws, whose arithmetic stays within a long and can be repeated in SQL.
+_PRIME, _STEP = 2_147_483_647, 48_271
+
+
+def draw(rep: Column, k: Column, seed: int) -> Column:
+    """A whole number below 2^31 - 1 for each (repetition, draw): four rounds of squaring and stepping modulo a prime."""
+    x = (rep * 1_103_515_245 + k * 12_345_701 + seed) % _PRIME
+    for i in range(4):
+        x = ((x * x) % _PRIME + x * _STEP + i + 1) % _PRIME
+    return x
+
+
+def _interval(spark, means: DataFrame, n: int) -> DataFrame:
+    return means.agg(F.lit(n).alias("n"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
 def bootstrap_mean(daily: DataFrame, column: str, reps: int = 2000, seed: int = 42) -> DataFrame:
-    """95% interval of the mean over dates; draws come from hashes of (seed, repetition, draw), so reruns agree."""
-    days = daily.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))
-    n = days.count()
+    """95% interval of the mean over dates (a row a day); null for fewer than three dates. Reruns agree, and SQL can repeat it."""
+    days = daily.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), (F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("i"))
+    spark, n = daily.sparkSession, days.count()
     if n < 3:
-        return daily.sparkSession.createDataFrame([(n, None, None)], "n int, low double, high double")
-    draws = daily.sparkSession.range(reps * n).select(F.floor(F.col("id") / n).alias("rep"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).cast("int").alias("i"))
-    means = draws.join(F.broadcast(days), "i").groupBy("rep").agg(F.avg("x").alias("m"))
-    return means.agg(F.lit(n).alias("n"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+        return spark.createDataFrame([(n, None, None)], "n int, low double, high double")
+    at = spark.range(reps * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("k"))
+    draws = at.select("rep", (draw(F.col("rep"), F.col("k"), seed) % n).alias("i"))
+    return _interval(spark, draws.join(F.broadcast(days), "i").groupBy("rep").agg(F.avg("x").alias("m")), n)
+
+
+def _block_means(days: DataFrame, n: int, block: int, reps: int, seed: int) -> DataFrame:
+    """(rep, m): means of n values in circular blocks; a block's sum is a difference of prefix sums of the doubled series.
+
+    Rows are repetitions times blocks, not times dates; the prefix sums are a row a day, twice.
+    """
+    spark = days.sparkSession
+    twice = days.unionByName(days.select("x", (F.col("i") + n).alias("i")))
+    prefix = twice.select((F.col("i") + 1).alias("i"), F.sum("x").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("s")).unionByName(spark.range(1).select(F.col("id").alias("i"), F.lit(0.0).alias("s")))
+    blocks = -(-n // block)
+    at = spark.range(reps * blocks).select(F.floor(F.col("id") / blocks).alias("rep"), (F.col("id") % blocks).alias("k"))
+    start = draw(F.col("rep"), F.col("k"), seed) % n
+    size = F.least(F.lit(block).cast("long"), n - F.col("k") * block)
+    ends = at.select("rep", start.alias("a"), (start + size).alias("b"))
+    low, high = (F.broadcast(prefix.select(F.col("i").alias(c), F.col("s").alias(f"s{c}"))) for c in "ab")
+    return ends.join(low, "a").join(high, "b").groupBy("rep").agg((F.sum(F.col("sb") - F.col("sa")) / n).alias("m"))
+
+
+def _in_order(daily: DataFrame, x: Column) -> DataFrame:
+    return daily.select("date", x.alias("x")).where("x is not null").select("x", (F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("i"))
 
 
 def block_bootstrap_mean(daily: DataFrame, column: str, block: int, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """Interval from circular moving blocks; refused (null) for fewer than three blocks of dates."""
-    days = daily.where(F.col(column).isNotNull()).select(F.col(column).alias("x"), (F.row_number().over(Window.orderBy("date")) - 1).alias("i"))
-    n = days.count()
-    if n < 3 * block:
-        return daily.sparkSession.createDataFrame([(n, None, None)], "n int, low double, high double")
-    ids = daily.sparkSession.range(reps * n).select(F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("k"))
-    start = F.pmod(F.xxhash64(F.lit(seed), "rep", F.floor(F.col("k") / block)), F.lit(n))
-    draws = ids.select("rep", ((start + F.col("k") % block) % n).cast("int").alias("i"))
-    means = draws.join(F.broadcast(days), "i").groupBy("rep").agg(F.avg("x").alias("m"))
-    return means.agg(F.lit(n).alias("n"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    """Interval from circular moving blocks; refused (null) for fewer than two blocks of dates."""
+    days = _in_order(daily, F.col(column))
+    spark, n = daily.sparkSession, days.count()
+    if n < 2 * block:
+        return spark.createDataFrame([(n, None, None)], "n int, low double, high double")
+    return _interval(spark, _block_means(days, n, block, reps, seed), n)
+
+
+def paired_interval(daily: DataFrame, treated: str, control: str, block: int, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """(status, mean_difference, low, high, paired_dates, total_dates): block bootstrap of paired daily differences.
+
+    Refused, with the reason as status, where no date has both values, where fewer than two blocks are paired, and where
+    some dates lack a value: complete dates pushed together are no calendar.
+    """
+    diff = F.col(treated) - F.col(control)
+    spark = daily.sparkSession
+    n, total, mean = daily.agg(F.count(diff), F.count(F.lit(1)), F.avg(diff)).first()
+    status = "no_common_cohorts" if not n else "insufficient_blocks" if n < 2 * block else "incomplete_calendar" if n < total else "ok"
+    schema = "status string, mean_difference double, low double, high double, paired_dates long, total_dates long"
+    if status != "ok":
+        return spark.createDataFrame([(status, mean, None, None, n, total)], schema)
+    known = _interval(spark, _block_means(_in_order(daily, diff), n, block, reps, seed), n)
+    return known.select(F.lit("ok").alias("status"), F.lit(mean).alias("mean_difference"), "low", "high", F.lit(n).alias("paired_dates"), F.lit(total).alias("total_dates"))
 
 
 def winsorised(df: DataFrame, column: str, by: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:

@@ -233,8 +233,6 @@ add("b11_activation_grid", _b11, f"""SELECT multiple, win AS "window", count(*)
  JOIN sc x ON x.symbol = f.symbol AND x.session_ix = f.s + 14
  LEFT JOIN (SELECT * FROM etf JOIN days USING (date)) e0 ON e0.sector = f.sector AND e0.session_ix = f.s LEFT JOIN (SELECT * FROM etf JOIN days USING (date)) e1 ON e1.sector = f.sector AND e1.session_ix = f.s + 14)
  WHERE o IS NOT NULL GROUP BY multiple, win""")
-QUERIES["b18_bootstrap"] = lambda s, d: rounded(b.bootstrap_mean(b.daily_baskets(predictions(s, d)), "spread"))
-QUERIES["b18_block_bootstrap"] = lambda s, d: rounded(b.block_bootstrap_mean(b.daily_baskets(predictions(s, d)), "spread", 15))
 add("b23_entrants", lambda s, d: b.entrants(predictions(s, d)), "")
 SQL["b23_entrants"] = f"""{FULL}, e0 AS (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY score, symbol) AS place, count(*) OVER (PARTITION BY date) AS n FROM sc WHERE score IS NOT NULL),
 e1 AS (SELECT *, CASE WHEN n <= 1 THEN 1 ELSE greatest(1, ceil(least(n, 10) * (place - 1) / (n - 1))) END AS decile, n - place + 1 AS rank, dense_rank() OVER (ORDER BY date DESC) - 1 AS back FROM e0),
