@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.semantics import pct_rank
+from panelforge.operators.cross_section import breadth
+from panelforge.operators.joins import members
 
 def build_membership(current: DataFrame, changes: DataFrame) -> DataFrame:
     """(symbol, start, end, quality) from today's list and dated additions and removals.
@@ -120,6 +123,30 @@ def coverage(panel: DataFrame, columns: list[str], by: str) -> DataFrame:
     return panel.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.avg(known.cast("int")).alias("coverage"))
 
 
+def point_in_time_matrix(features: DataFrame, intervals: DataFrame, ranked: list[str]) -> DataFrame:
+    """Rows of members with their date's breadth and percentile ranks, both over that day's members only.
+
+    Features come from a symbol's whole history and are computed before; membership decides first who is in the
+    cross-section, so a name that joins later never moves an earlier day's ranks.
+    """
+    inside = members(features, intervals)
+    df = inside.select("*", *[pct_rank(F.col(c), "date").alias(f"{c}_rank") for c in ranked])
+    return df.join(breadth(inside), "date")
+
+
+def write_years(df: DataFrame, path: str, years: list[int] | None = None) -> DataFrame:
+    """Write a dated table partitioned by year and read it back; given years replace just their own partitions.
+
+    Only the named years are computed and written (dynamic partition overwrite), so a correction costs its years. A year
+    named without rows is left as it was.
+    """
+    out = df.withColumn("year", F.year("date"))
+    if years is not None:
+        out = out.where(F.col("year").isin(years))
+    out.repartition("year").sortWithinPartitions("date", "symbol").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
 def reconcile(snapshot: DataFrame, members: DataFrame) -> DataFrame:
     """By date: names in both, only in the snapshot, only in the intervals."""
     s, m = snapshot.select("symbol", "date", F.lit(1).alias("_s")), members.select("symbol", "date", F.lit(1).alias("_m"))

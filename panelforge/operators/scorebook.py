@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators import matrix, trees
+
 
 def place_and_percentile(scored: DataFrame, by: list[str]) -> DataFrame:
     """Rank by falling score (ties by symbol) and percentile 100 * (1 - (rank - 1) / (n - 1))."""
@@ -77,6 +79,24 @@ def against_reference(outsiders: DataFrame, reference: DataFrame) -> DataFrame:
     return both.withColumn("place", above - ties + 1).where("symbol is not null").select("date", "symbol", "score", "place")
 
 
+def place_outsiders(reference: DataFrame, outsiders: DataFrame, frozen: DataFrame, models: DataFrame, model: str, columns: list[str], ranked: list[str], centred: list[str]) -> DataFrame:
+    """(date, symbol, score, place, of, percentile): names outside a cached cross-section, scored as if they were in it.
+
+    `reference` and `outsiders` have symbol, date, sector and the raw columns; their union is ranked anew (`*_rank`,
+    `*_sector_rank`, `*_minus_sector_median`), so an outsider's columns are placed among the reference's. The saved
+    model scores them, and the scores are compared with the `frozen` ones (date, score) of the reference: place is one
+    more than the frozen scores above, of `of` frozen ones. A symbol of the reference is no outsider.
+    """
+    strange = outsiders.join(reference.select("symbol", "date"), ["symbol", "date"], "left_anti")
+    both = reference.withColumn("_out", F.lit(False)).unionByName(strange.withColumn("_out", F.lit(True)))
+    placed = both.join(matrix.ranks(both, ranked, centred), ["symbol", "date"]).where("_out")
+    scored = trees.score_saved(placed.withColumn("_model", F.lit(model)), models, columns, "_model").select("date", "symbol", F.col("model_score").alias("score"))
+    known = frozen.where("score is not null").select("date", "score")
+    size = known.groupBy("date").agg(F.count(F.lit(1)).alias("of"))
+    out = against_reference(scored.where("score is not null"), known).join(size, "date", "left").withColumn("of", F.coalesce("of", F.lit(0)))
+    return out.withColumn("percentile", 100 * (1 - (F.col("place") - 1) / F.greatest(F.col("of") - 1, F.lit(1))))
+
+
 def sector_leadership(scored: DataFrame) -> DataFrame:
     """By sector: top-decile names, average percentile and the first six symbols."""
     top = scored.where(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1)))

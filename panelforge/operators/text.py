@@ -252,7 +252,7 @@ def attention(signals: DataFrame, most: int = 15) -> DataFrame:
         F.slice(F.sort_array(F.collect_list(F.struct((F.col("score") + F.col("comments")).alias("s"), "post_id")), False), 1, 3).alias("top"),
     ).where("direct > 0 or mentions >= 2")
     total = F.col("mentions") * 8 + F.col("direct") * 16 + F.col("signal") * 10 + F.col("score") * 0.015 + F.col("comments") * 0.04
-    return g.select("symbol", "mentions", "direct", F.round("signal", 1).alias("signal"), F.round(total, 2).alias("attention"), F.col("top.post_id").alias("top_posts")).orderBy(F.desc("attention"), "symbol").limit(most)
+    return g.select("symbol", "mentions", "direct", F.round("signal", 1).alias("signal"), F.round(total.cast("decimal(30,6)"), 2).cast("double").alias("attention"), F.col("top.post_id").alias("top_posts")).orderBy(F.desc("attention"), "symbol").limit(most)
 
 
 def recent_posts(posts: DataFrame, now, hours: int = 24) -> DataFrame:

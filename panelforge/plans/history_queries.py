@@ -14,6 +14,7 @@ from panelforge.operators import model as m
 from panelforge.operators import quality as qa
 from panelforge.operators import scorebook as k
 from panelforge.plans.panel_queries import MEM, base, membership, predictions
+from panelforge.plans.stream_queries import shared_folder
 from panelforge.plans.sqlparts import BARS, D, FULL, lead, pct, r, rs
 from panelforge.sources import tables as t
 
@@ -103,6 +104,21 @@ add("h12_missingness", lambda s, d: h.missingness(predictions(s, d), ["sector"])
 add("h13_disagreements", lambda s, d: h.disagreements(t.bars(s, d), t.bars(s, d).withColumn("close", F.when(F.dayofyear("date") % 30 == 2, F.col("close") * 1.1).otherwise(F.col("close"))), 0.01).select("symbol", "date", "gap", "offsetting"),
     f", x AS (SELECT symbol, date, close / lag(close) OVER w - 1 AS ra, c2 / lag(c2) OVER w - 1 AS rb FROM (SELECT *, CASE WHEN dayofyear(date) % 30 = 2 THEN close * 1.1 ELSE close END AS c2 FROM bars) WINDOW w AS (PARTITION BY symbol ORDER BY date)) SELECT symbol, {D}, {r('ra - rb', 'gap')}, coalesce(abs(ra - rb + nx) <= 0.01, false) AS offsetting FROM (SELECT *, lead(ra - rb) OVER (PARTITION BY symbol ORDER BY date) AS nx FROM x) WHERE abs(ra - rb) > 0.01")
 add("h14_coverage", lambda s, d: h.coverage(j.members(base(s, d), membership(s, d)), ["r20", "vol20"], "date"), f", {MEM} SELECT {D}, count(*) AS rows, {r('avg(CAST(r20 IS NOT NULL AND vol20 IS NOT NULL AS INTEGER))', 'coverage')} FROM feat WHERE EXISTS (SELECT 1 FROM mem WHERE mem.symbol = feat.symbol AND feat.date >= a AND (b IS NULL OR feat.date < b)) GROUP BY date")
+
+
+def _h14(s, d):
+    """The members' matrix written by year; then one year is written again after its features changed, and all years are read."""
+    at = shared_folder(s)
+    build = lambda features: h.point_in_time_matrix(features, membership(s, d), ["r20", "vol20", "vs_sma50"])
+    h.write_years(build(base(s, d)), at)
+    revised = base(s, d).withColumn("r20", F.when(F.year("date") == 1997, -F.col("r20")).otherwise(F.col("r20")))
+    return h.write_years(build(revised), at, [1997])
+
+
+_MEMBERS = f""", {MEM}, pm0 AS (SELECT * REPLACE (CASE WHEN year(date) = 1997 THEN -r20 ELSE r20 END AS r20) FROM feat WHERE EXISTS (SELECT 1 FROM mem WHERE mem.symbol = feat.symbol AND feat.date >= a AND (b IS NULL OR feat.date < b))),
+pm AS (SELECT *, {pct('r20', 'date')} AS r20_rank, {pct('vol20', 'date')} AS vol20_rank, {pct('vs_sma50', 'date')} AS vs_sma50_rank, avg(coalesce(CAST(vs_sma20 > 0 AS INTEGER), 0)) OVER d AS above_20, avg(coalesce(CAST(vs_sma50 > 0 AS INTEGER), 0)) OVER d AS above_50, median(r20) OVER d AS r20_median FROM pm0 WINDOW d AS (PARTITION BY date))"""
+add("h14_point_in_time", lambda s, d: _h14(s, d).select("symbol", "date", "r20_rank", "vol20_rank", "vs_sma50_rank", "above_20", "above_50", "r20_median"), f"{_MEMBERS} SELECT {K}, {rs('r20_rank', 'vol20_rank', 'vs_sma50_rank', 'above_20', 'above_50', 'r20_median')} FROM pm")
+add("h14_coverage_symbols", lambda s, d: h.coverage(h.point_in_time_matrix(base(s, d), membership(s, d), ["r20"]), ["r20_rank", "vol20"], "symbol"), f"{_MEMBERS} SELECT symbol, count(*) AS rows, {r('avg(CAST(r20 IS NOT NULL AND vol20 IS NOT NULL AS INTEGER))', 'coverage')} FROM pm GROUP BY symbol")
 add("h15_reconcile", lambda s, d: h.reconcile(t.bars(s, d).where("volume > 100"), j.members(t.panel(s, d).select("symbol", "date"), membership(s, d))), f""", {MEM}, mm AS (SELECT symbol, date FROM p WHERE EXISTS (SELECT 1 FROM mem WHERE mem.symbol = p.symbol AND p.date >= a AND (b IS NULL OR p.date < b)))
  SELECT CAST(coalesce(x.date, y.date) AS VARCHAR) AS date, count(*) FILTER (x.symbol IS NOT NULL AND y.symbol IS NOT NULL) AS both, count(*) FILTER (y.symbol IS NULL) AS only_snapshot, count(*) FILTER (x.symbol IS NULL) AS only_members FROM (SELECT symbol, date FROM bars WHERE volume > 100) x FULL JOIN mm y ON x.symbol = y.symbol AND x.date = y.date GROUP BY 1""")
 add("h17_survivorship", lambda s, d: h.survivorship(membership(s, d).where("end is not null").select("symbol", F.col("end").alias("removed")), t.bars(s, d).where("symbol < 'NATION_5' and date < '1996-06-01'")),

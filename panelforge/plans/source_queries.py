@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.semantics import rounded
@@ -36,6 +37,28 @@ add("s3_evidence", lambda s, d: rd.ingestion_evidence(rd.chart_bars(charts(s, d)
 add("s6_index_changes", lambda s, d: rd.index_changes(t.table(s, d, "customer").select((F.col("c_custkey") % 5).alias("page_id"), F.col("c_custkey").alias("pos"), F.when(F.col("c_custkey") % 15 < 5, F.concat(F.lit("d"), "c_custkey")).alias("date"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_name")).alias("added"), F.when(F.col("c_nationkey") % 3 == 0, F.col("c_mktsegment")).alias("removed"))),
     """WITH x AS (SELECT c_custkey % 5 AS page_id, c_custkey AS pos, last_value(CASE WHEN c_custkey % 15 < 5 THEN 'd' || c_custkey END IGNORE NULLS) OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey) AS date, c_name, c_mktsegment, c_nationkey FROM customer)
  SELECT page_id, pos, date, c_name AS symbol, 'add' AS kind FROM x WHERE c_nationkey % 2 = 0 UNION ALL SELECT page_id, pos, date, c_mktsegment, 'remove' FROM x WHERE c_nationkey % 3 = 0""")
+
+
+def _s6(s, d):
+    """Change tables of five pages: a date over three rows, a reason over two, sides left empty or dashed."""
+    c = t.table(s, d, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    w = Window.partitionBy("page_id").orderBy("c_custkey")
+    c = c.withColumn("page_id", F.col("c_custkey") % 5).withColumn("i", F.row_number().over(w) - 1)
+    td = lambda x, attr=F.lit(""): F.concat(F.lit("<td"), attr, F.lit(">"), x, F.lit("</td>"))
+    day = F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("c_custkey") % 3000).cast("int")), "MMMM d, yyyy")
+    date = F.when(F.col("i") % 3 == 0, td(F.concat(F.lit("<b>"), day, F.lit("</b>")), F.lit(' rowspan="3"'))).otherwise("")
+    reason = F.when(F.col("i") % 2 == 0, td(F.concat(F.lit("Cap &amp; "), F.col("c_mktsegment")), F.lit(" rowspan=2"))).otherwise("")
+    added = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("A"), "c_custkey")).otherwise("")
+    gone = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("R"), "c_custkey")).otherwise("-")
+    row = F.concat(F.lit("\n<tr>"), date, td(added), td(F.when(added != "", F.col("c_name")).otherwise("")), td(gone, F.lit(' class="x"')), td(F.col("c_name")), reason, F.lit("</tr>"))
+    head = "<html><table id=other><tr><td>no</td></tr></table><table class='w' id=\"changes\"><tr><th rowspan=1>Date</th><th>Ticker</th><th>Security</th><th>Ticker</th><th>Security</th><th>Reason</th></tr>"
+    pages = c.groupBy("page_id").agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", row.alias("row")))), lambda x: x["row"]), ""), F.lit("</table></html>")).alias("html"))
+    return rd.index_change_pages(pages)
+
+
+add("s6_change_pages", _s6, """WITH x AS (SELECT c_custkey % 5 AS page_id, row_number() OVER (PARTITION BY c_custkey % 5 ORDER BY c_custkey) - 1 AS i, * FROM customer),
+ y AS (SELECT page_id, CAST(i + 1 AS INTEGER) AS pos, CAST(DATE '2001-01-01' + CAST(first_value(c_custkey) OVER (PARTITION BY page_id, i // 3 ORDER BY i) % 3000 AS INTEGER) AS DATE) AS date, 'Cap & ' || first_value(c_mktsegment) OVER (PARTITION BY page_id, i // 2 ORDER BY i) AS reason, c_custkey, c_name, c_nationkey FROM x)
+ SELECT page_id, pos, CAST(date AS VARCHAR) AS date, 'A' || c_custkey AS symbol, c_name AS name, 'add' AS kind, reason FROM y WHERE c_nationkey % 2 = 0 UNION ALL SELECT page_id, pos, CAST(date AS VARCHAR), 'R' || c_custkey, c_name, 'remove', reason FROM y WHERE c_nationkey % 3 = 0""")
 add("s7_pushed_scan", lambda s, d: t.table(s, d, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate", "l_quantity"]).where("l_shipdate >= '2001-01-01' and l_quantity > 40").select("l_orderkey", "l_linenumber", "l_quantity"),
     "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01' AND l_quantity > 40")
 add("s9_repeated_keys", lambda s, d: rd.repeated_keys(t.table(s, d, "lineitem", ["l_partkey", "l_suppkey"]), ["l_partkey", "l_suppkey"]), "SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")

@@ -58,11 +58,17 @@ SQL["x2_session_readiness"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d
 
 
 def _x4(spark, sf):
+    """Snapshots of two models by turns of days; the last batch's changes."""
     at = shared_folder(spark)
-    s = _events(spark, sf).select(F.to_date("ts").alias("as_of"), F.lit("m").alias("model"), F.concat(F.col("event_type"), F.lit("_"), F.col("user_id").cast("string")).alias("symbol"), (F.col("event_id") % 1000).alias("rank"))
-    q = jobs.snapshot_changes(s, f"{at}/snapshots", f"{at}/changes", f"{at}/checkpoint")
-    q.awaitTermination()
-    return spark.read.parquet(f"{at}/changes").drop("batch")
+    day = F.to_date("ts")
+    s = _events(spark, sf).select(day.alias("as_of"), F.when(F.dayofmonth(day) % 2 == 0, "m2").otherwise("m1").alias("model"), F.concat(F.col("event_type"), F.lit("_"), F.col("user_id").cast("string")).alias("symbol"), (F.col("event_id") % 1000).alias("rank"))
+    jobs.snapshot_changes(s, f"{at}/recent", f"{at}/changes", f"{at}/checkpoint").awaitTermination()
+    out = spark.read.parquet(f"{at}/changes")
+    return out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch").drop("batch")
 
 
+SQL["x4_snapshot_changes"] = """WITH s AS (SELECT CAST(ts AS DATE) AS d, CASE WHEN day(ts) % 2 = 0 THEN 'm2' ELSE 'm1' END AS model, event_type || '_' || user_id AS symbol, event_id % 1000 AS rank FROM events),
+ o AS (SELECT * FROM s WHERE model = (SELECT max_by(model, d) FROM s)), k AS (SELECT d, row_number() OVER (ORDER BY d DESC) - 1 AS k FROM (SELECT DISTINCT d FROM o)),
+ g AS (SELECT symbol, max(rank) FILTER (k = 0) AS rank, max(rank) FILTER (k = 1) AS p, max(rank) FILTER (k = 5) AS e FROM o JOIN k USING (d) GROUP BY symbol)
+ SELECT symbol, rank, p - rank AS change_1, e - rank AS change_n, CASE WHEN p IS NULL THEN 'new' WHEN p > rank THEN 'up' WHEN p < rank THEN 'down' ELSE 'same' END AS status FROM g WHERE rank IS NOT NULL ORDER BY abs(p - rank) DESC NULLS LAST, symbol LIMIT 20"""
 QUERIES["x4_snapshot_changes"] = _x4

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import normal_symbol, strip_html
@@ -85,6 +85,49 @@ def index_changes(rows: DataFrame) -> DataFrame:
     return df.select("page_id", "pos", "date", F.inline(both)).where("symbol is not null and symbol != ''")
 
 
+def table_grid(html: Column, table_id: str) -> Column:
+    """The cells of an HTML table as an array of rows, spanned cells repeated in every row they cover; null without the table.
+
+    A fold over the rows carries for each column how many more rows its cell covers; a row's own cells fill the columns
+    that are free. Cell texts have no tags and squeezed blanks; an empty cell is ''.
+    """
+    body = F.regexp_extract(html, rf"""(?is)<table[^>]*\bid=["']?{table_id}["']?[^>]*>(.*?)</table>""", 1)
+    rows = F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    cell = lambda c: F.struct(F.coalesce(F.regexp_extract(c, r"""(?i)^<t[dh][^>]*?\browspan=["']?(\d+)""", 1).try_cast("int"), F.lit(1)).alias("left"), strip_html(F.regexp_replace(c, r"(?is)^<t[dh][^>]*>|</t[dh]>$", "")).alias("text"))
+    cells = F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)(<t[dh][^>]*>.*?</t[dh]>)"), F.lit(1)), cell))
+    free = F.struct(F.lit(0).alias("left"), F.lit("").alias("text"))
+
+    def row(state: Column, own: Column) -> Column:
+        width = F.size(own) + F.size(F.filter(state["held"], lambda h: h["left"] > 0))
+
+        def column(acc: Column, c: Column) -> Column:
+            held = F.coalesce(F.get(state["held"], c), free)
+            taken = held["left"] > 0
+            now = F.when(taken, held).otherwise(F.coalesce(F.get(own, acc["next"]), free))
+            after = F.struct((now["left"] - 1).alias("left"), now["text"].alias("text"))
+            return F.struct((acc["next"] + F.when(taken, 0).otherwise(1)).alias("next"), F.concat(acc["texts"], F.array(now["text"])).alias("texts"), F.concat(acc["held"], F.array(after)).alias("held"))
+
+        empty = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("texts"), F.array().cast("array<struct<left:int,text:string>>").alias("held"))
+        done = F.aggregate(F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>")), empty, column)
+        return F.struct(F.concat(state["out"], F.array(done["texts"])).alias("out"), done["held"].alias("held"))
+
+    start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.array().cast("array<struct<left:int,text:string>>").alias("held"))
+    return F.when(body != "", F.aggregate(cells, start, row)["out"])
+
+
+def index_change_pages(pages: DataFrame, table_id: str = "changes", column: str = "html") -> DataFrame:
+    """(page_id, pos, date, symbol, name, kind, reason) of raw pages (page_id, html): one row for each side of a change that is filled.
+
+    Columns are date, added symbol and name, removed symbol and name, reason. Head rows, rows without a date and rows of
+    fewer cells go; a dash is an empty cell, and a change with one empty side keeps the other.
+    """
+    df = pages.select("page_id", F.posexplode(table_grid(F.col(column), table_id)).alias("pos", "c")).where(F.size("c") >= 6)
+    day = F.coalesce(*[F.try_to_timestamp(F.col("c")[0], F.lit(f)).cast("date") for f in ("MMMM d, yyyy", "MMM d, yyyy", "yyyy-MM-dd")])
+    side = lambda i, kind: F.struct(F.when(F.col("c")[i] != "-", F.col("c")[i]).alias("symbol"), F.when(F.col("c")[i + 1] != "-", F.col("c")[i + 1]).alias("name"), F.lit(kind).alias("kind"))
+    df = df.select("page_id", "pos", day.alias("date"), F.col("c")[5].alias("reason"), F.inline(F.array(side(1, "add"), side(3, "remove"))))
+    return df.where("date is not null and symbol is not null and symbol != ''").select("page_id", "pos", "date", "symbol", "name", "kind", "reason")
+
+
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

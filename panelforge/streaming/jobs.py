@@ -66,12 +66,22 @@ def post_attention(stream: DataFrame, table: str, checkpoint: str, late: str = "
     return out.writeStream.outputMode("append").format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot_changes(stream: DataFrame, snapshots: str, table: str, checkpoint: str) -> StreamingQuery:
-    """X4: appends snapshots (as_of, model, symbol, rank) and writes the rank changes against earlier ones of the same model."""
+def snapshot_changes(stream: DataFrame, recent: str, table: str, checkpoint: str, back: int = 5) -> StreamingQuery:
+    """X4: snapshots (as_of, model, symbol, rank) in, the rank changes of the latest against earlier ones of its model out.
+
+    The state is a table of each model's last back + 1 snapshots, a version a batch: a batch reads the version before it,
+    adds its rows and writes its own, so neither state nor a batch's work grows with history, and a batch that is run
+    again after a failure writes the same. Snapshots may come late or in parts, as long as they are among the last.
+    """
+    schema = "as_of date, model string, symbol string, rank long"
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{snapshots}/batch={epoch}")
-        known = batch.sparkSession.read.parquet(snapshots).drop("batch")
-        rank_changes(known).write.mode("overwrite").parquet(f"{table}/batch={epoch}")
+        spark = batch.sparkSession
+        rows = batch.selectExpr("cast(as_of as date) as as_of", "model", "symbol", "cast(rank as long) as rank")
+        if epoch:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{recent}/batch={epoch - 1}"))
+        days = rows.select("model", "as_of").distinct().withColumn("k", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("as_of")))).where(F.col("k") <= back + 1)
+        rows.join(days.drop("k"), ["model", "as_of"], "left_semi").select("as_of", "model", "symbol", "rank").write.mode("overwrite").parquet(f"{recent}/batch={epoch}")
+        rank_changes(spark.read.schema(schema).parquet(f"{recent}/batch={epoch}"), back).write.mode("overwrite").parquet(f"{table}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
