@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,19 @@ def series_delta(x: Column, before: Column, kind: Column) -> Column:
     return F.when(kind == "bps", (x - before) * 100).when(kind == "pp", x - before).when((kind == "pct") & (before != 0), (x / before - 1) * 100).otherwise(x - before)
 
 
+def latest_deltas(values: DataFrame, key: str, at: str, value: str, kind: str) -> DataFrame:
+    """(key, latest, previous, delta) by series: the last two valid values and their change by kind; null with fewer than two.
+
+    A value counts if it is a finite number. Places are limited before the shuffle, so a long series sends two rows a task.
+    """
+    x = F.col(value).cast("double")
+    valid = values.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))).select(key, kind, F.struct(F.col(at).alias("at"), x.alias("x")).alias("v"))
+    last = valid.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("v")))).where("n <= 2")
+    side = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
+    g = last.groupBy(key).agg(side(1, "v.x").alias("latest"), side(2, "v.x").alias("previous"), side(1, kind).alias("kind"))
+    return g.select(key, "latest", "previous", series_delta(F.col("latest"), F.col("previous"), F.col("kind")).alias("delta"))
+
+
 def utc_date(x: Column, this_year: int) -> Column:
     """A time from text in one of the usual forms; null outside 2000 to next year."""
     t = F.coalesce(F.try_to_timestamp(x), F.try_to_timestamp(x, F.lit("yyyy/MM/dd HH:mm")), F.try_to_timestamp(x, F.lit("dd MMM yyyy HH:mm:ss Z")))

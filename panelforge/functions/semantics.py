@@ -50,6 +50,14 @@ def tail_size(n: Column, share: float = 0.1) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * share)).cast("int")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Correlation as an aggregate of pairs that are both known; null where either side never moves (corr fails there)."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    sd = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(sd > 0, F.covar_pop(x, y) / sd)
+
+
 def finite(x: Column, digits: int | None = None) -> Column:
     """Null for NaN and infinities, else the value, rounded if asked."""
     ok = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)

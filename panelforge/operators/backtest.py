@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.semantics import bucket_of, pct_rank, share_true, tail_size
+from panelforge.functions.semantics import bucket_of, correlation, pct_rank, share_true, tail_size
 
 
 def ranked(preds: DataFrame, descending: bool = True) -> DataFrame:
@@ -140,6 +140,39 @@ def paired(long: DataFrame, arms: list[str], value: str = "spread") -> DataFrame
     return long.groupBy("date").pivot("strategy", arms).agg(F.first(value)).dropna(subset=arms)
 
 
+def probability_metrics(df: DataFrame, by: list[str], share: float = 0.1) -> DataFrame:
+    """By group of (date, symbol, probability, outcome, label): how good probabilities are as such and as a ranking.
+
+    Log loss (probabilities kept 1e-6 from 0 and 1), accuracy at 0.5, positive rate, mean outcome, correlations with outcome
+    and label; top and bottom baskets of each date averaged over dates (`top`, `top_hit`, `bottom`, `spread`), and the top
+    tenth and fifth of all rows together (`global_top`, `global_fifth`: rounded down, one row at least). Ties in probability
+    go by date and symbol. The places among all rows come from a count of rows above by probability, so no group is one task.
+    """
+    known = df.where("probability is not null and outcome is not null and label is not null")
+    p, y = F.col("probability"), F.col("label")
+    clipped = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    own = known.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("log_loss"), F.avg(((p >= 0.5).cast("int") == y).cast("int")).alias("accuracy"),
+        F.avg(y).alias("positive_rate"), F.avg("outcome").alias("mean_outcome"), correlation(p, F.col("outcome")).alias("outcome_correlation"), correlation(p, y.cast("double")).alias("label_correlation"),
+    )
+    w = Window.partitionBy(*by, "date")
+    d = known.withColumns({"place": F.row_number().over(w.orderBy(F.desc("probability"), "symbol")), "n": F.count(F.lit(1)).over(w)})
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * share))
+    top, bottom = F.col("place") <= k, F.col("place") > F.col("n") - k
+    daily = d.groupBy(*by, "date").agg(F.avg(F.when(top, F.col("outcome"))).alias("t"), F.avg(F.when(top, y)).alias("h"), F.avg(F.when(bottom, F.col("outcome"))).alias("b"))
+    balanced = daily.groupBy(*by).agg(F.avg("t").alias("top"), F.avg("h").alias("top_hit"), F.avg("b").alias("bottom"), F.avg(F.col("t") - F.col("b")).alias("spread"))
+    # rows above a probability: counts by probability first, then a running sum over the few distinct ones of a group
+    sizes = known.groupBy(*by, "probability").agg(F.count(F.lit(1)).alias("same"))
+    running = Window.partitionBy(*by).orderBy(F.desc("probability")).rowsBetween(Window.unboundedPreceding, 0)
+    above = sizes.withColumn("above", F.sum("same").over(running) - F.col("same"))
+    ranked_all = known.join(above, [*by, "probability"]).join(own.select(*by, "rows"), by)
+    ties = F.row_number().over(Window.partitionBy(*by, "probability").orderBy("date", "symbol"))
+    edge = lambda s: F.greatest(F.lit(1), F.floor(F.col("rows") * s))
+    inside = ranked_all.where(F.col("above") < edge(2 * share)).withColumn("place", F.col("above") + ties)
+    whole = inside.groupBy(*by).agg(F.avg(F.when(F.col("place") <= edge(share), F.col("outcome"))).alias("global_top"), F.avg(F.when(F.col("place") <= edge(2 * share), F.col("outcome"))).alias("global_fifth"))
+    return own.join(balanced, by).join(whole, by)
+
+
 #: The modulus and step of the draws, whose arithmetic stays within a long and can be repeated in SQL.
 _PRIME, _STEP = 2_147_483_647, 48_271
 

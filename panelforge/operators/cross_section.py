@@ -122,6 +122,11 @@ def binary_labels(df: DataFrame, column: str, hurdle: float = 0.01) -> DataFrame
     return df.select("*", (x > 0).cast("int").alias("positive"), (x > hurdle).cast("int").alias("above_hurdle"))
 
 
+def outperform_label(df: DataFrame, own: str, series: str) -> DataFrame:
+    """Adds `excess` and whether it is above zero; both are null where either return is unknown."""
+    return df.withColumn("excess", F.col(own) - F.col(series)).withColumn("outperform", (F.col("excess") > 0).cast("int"))
+
+
 def meta_label(candidate: Column, outcome: Column, drawdown: Column, hurdle: float = 0.0, floor: float = -0.3) -> Column:
     """1 if a candidate beat the hurdle without falling below the floor; null where there is no candidate."""
     return F.when(candidate, F.coalesce((outcome > hurdle) & (drawdown > floor), F.lit(False)).cast("int"))

@@ -28,10 +28,11 @@ def build_membership(current: DataFrame, changes: DataFrame) -> DataFrame:
 
 def no_trade_days(days: DataFrame, listed: DataFrame, gaps: DataFrame, periods: DataFrame) -> DataFrame:
     """(symbol, date): listed days, sessions strictly inside exit gaps, and reviewed periods with both ends."""
-    d = F.broadcast(days.select("date"))
-    inside = gaps.join(d, (F.col("date") > F.col("last_trade")) & (F.col("date") < F.col("next_trade"))).select("symbol", "date")
-    closed = periods.join(d, F.col("date").between(F.col("start"), F.col("end"))).select("symbol", "date")
-    return listed.select("symbol", "date").unionByName(inside).unionByName(closed).distinct()
+    span = lambda df, a, b: df.where(a <= b).select("symbol", F.explode(F.sequence(a, b)).alias("date"))
+    inside = span(gaps, F.date_add("last_trade", 1), F.date_sub("next_trade", 1))
+    closed = span(periods, F.col("start"), F.col("end"))
+    at_session = inside.unionByName(closed).join(F.broadcast(days.select("date").distinct()), "date", "left_semi").select("symbol", "date")
+    return listed.select("symbol", "date").unionByName(at_session).distinct()
 
 
 def normalise_bars(raw: DataFrame, halted: DataFrame) -> DataFrame:
@@ -52,6 +53,36 @@ def rebase(bars: DataFrame, corrections: DataFrame) -> DataFrame:
     return bars.join(factor, ["symbol", "date"], "left").withColumn("close", F.col("close") * F.coalesce("factor", F.lit(1.0))).drop("factor")
 
 
+def reviewed_corrections(bars: DataFrame, records: DataFrame) -> DataFrame:
+    """(symbol, date, value, factor, status) of reviewed dividends: what each does to all earlier adjusted closes.
+
+    `bars`: symbol, date, close, adj_close, dividends, stock_splits, source; `records`: symbol, date, cash (a share of that
+    day), expected (the archive's dividend), source_url. The value in split-adjusted shares divides by the splits after
+    the day; the factor turns the day's archived gross return into (close + value) / last close. A record holds only with a
+    link to its evidence, one split-adjusted bar, a bar before it, and the dividend it expects.
+    """
+    w = Window.partitionBy("symbol").orderBy("date")
+    later = F.coalesce(F.product(F.when(F.col("stock_splits") > 0, F.col("stock_splits"))).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(1.0))
+    b = bars.select("symbol", "date", "close", "adj_close", "dividends", "source", later.alias("later"), F.lag("close").over(w).alias("close0"), F.lag("adj_close").over(w).alias("adj0"), F.count(F.lit(1)).over(Window.partitionBy("symbol", "date")).alias("bars"))
+    j = records.join(b.where("bars = 1"), ["symbol", "date"], "left")
+    value = F.col("cash") / F.col("later")
+    factor = (F.col("adj_close") / F.col("adj0")) / ((F.col("close") + value) / F.col("close0"))
+    status = (
+        F.when(~F.coalesce(F.col("source_url").startswith("https://"), F.lit(False)), "no_evidence").when(F.col("bars").isNull() | (F.col("source") != "yahoo"), "no_single_bar").when(value.isNull() | F.isnan(value) | (value < 0), "bad_dividend")
+        .when(F.col("close0").isNull() | (F.abs(F.coalesce("dividends", F.lit(0.0)) - F.col("expected")) > 1e-7), "precondition_changed").otherwise("applied")
+    )
+    return j.select("symbol", "date", value.alias("value"), factor.alias("factor"), status.alias("status"))
+
+
+def correct_adjusted(bars: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Adjusted closes times the factors of all applied corrections after them, a running product from the right; the day's dividend is replaced."""
+    c = corrections.where("status = 'applied'").groupBy("symbol", "date").agg(F.product("factor").alias("_f"), F.max("value").alias("_v"))
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    after = Window.partitionBy("symbol").orderBy(day).rangeBetween(1, Window.unboundedFollowing)
+    df = bars.join(c, ["symbol", "date"], "left").withColumn("adj_close", F.col("adj_close") * F.coalesce(F.product("_f").over(after), F.lit(1.0)))
+    return df.withColumn("dividends", F.coalesce("_v", "dividends")).drop("_f", "_v")
+
+
 def terminal_outcomes(panel: DataFrame, events: DataFrame, h: int) -> DataFrame:
     """Forward outcome from the next close, with a verified terminal event inside the holding window paid out in cash.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.semantics import correlation
 from panelforge.operators import matrix, trees
 
 
@@ -68,6 +69,20 @@ def sector_inference(returns: DataFrame, sectors: DataFrame, least: int = 60) ->
     return g.groupBy("symbol").agg(F.max_by("sector", F.struct("corr", "sector")).alias("inferred"), F.max("corr").alias("corr"))
 
 
+def infer_sectors(returns: DataFrame, sectors: DataFrame, least: int = 60, last: int = 252, fallback: str = "Information Technology") -> DataFrame:
+    """(symbol, sector, source, correlation, observations) of every symbol: the sector series its returns follow most.
+
+    Symbols and series bring their last `last` known returns; dates that both have are paired, `least` at least. A symbol
+    without a correlation gets the fallback sector, and its source says so. Ties go to the first sector by name.
+    """
+    tail = lambda df, key, x: df.where(F.col(x).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("date")))).where(F.col("_n") <= last).select(key, "date", x)
+    pairs = tail(returns, "symbol", "r1").join(tail(sectors, "sector", "s1"), "date")
+    g = pairs.groupBy("symbol", "sector").agg(F.count(F.lit(1)).alias("n"), correlation(F.col("r1"), F.col("s1")).alias("c")).where((F.col("n") >= least) & F.col("c").isNotNull() & ~F.isnan("c"))
+    best = g.groupBy("symbol").agg(F.min(F.struct((-F.col("c")).alias("c"), "sector", "n")).alias("b"))
+    df = returns.select("symbol").distinct().join(best, "symbol", "left")
+    return df.select("symbol", F.coalesce("b.sector", F.lit(fallback)).alias("sector"), F.when(F.col("b").isNull(), "fallback").otherwise("return_correlation").alias("source"), F.round(-F.col("b.c"), 4).alias("correlation"), F.coalesce("b.n", F.lit(0)).cast("long").alias("observations"))
+
+
 def against_reference(outsiders: DataFrame, reference: DataFrame) -> DataFrame:
     """Place of outside scores in a frozen cross-section: one more than the reference scores above.
 
@@ -123,6 +138,34 @@ def over_represented(scored: DataFrame, least: int = 2) -> DataFrame:
     return g.withColumn("ratio", (F.col("bottom") / tot["tb"]) / (F.col("all") / tot["ta"])).where((F.col("ratio") >= 1) & (F.col("bottom") >= least))
 
 
+def bottom_candidates(ranked: DataFrame, most: int = 12) -> DataFrame:
+    """The names of each date with the worst ranks, worst first."""
+    place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("rank"), "symbol"))
+    return ranked.where("rank is not null").withColumn("place", place).where(F.col("place") <= most)
+
+
+def bottom_sectors(ranked: DataFrame, least: int = 25, share: float = 0.15, count: int = 3, most: int = 4) -> DataFrame:
+    """(date, sector, count, universe, bottom_share, universe_share, ratio, examples): sectors over-represented at the bottom of each date.
+
+    The bottom is the worst `share` of ranked names, `least` names at least. A sector is listed with `count` names or more there
+    and a share no smaller than its share of all, by ratio and count, `most` a date; its four worst names are the examples.
+    An unknown sector counts as one. Percentages have one digit and ratios two.
+    """
+    w = Window.partitionBy("date")
+    df = ranked.where("rank is not null").withColumns({"sector": F.coalesce("sector", F.lit("Unknown")), "place": F.row_number().over(w.orderBy(F.desc("rank"), "symbol")), "n": F.count(F.lit(1)).over(w)})
+    df = df.withColumn("own", F.row_number().over(Window.partitionBy("date", "sector").orderBy("place")))
+    low = F.col("place") <= F.greatest(F.lit(least), F.ceil(F.col("n") * share))
+    g = df.groupBy("date", "sector").agg(
+        F.count_if(low).alias("count"), F.count(F.lit(1)).alias("universe"), F.max("n").alias("n"),
+        F.transform(F.slice(F.array_sort(F.collect_list(F.when(low & (F.col("own") <= 4), F.struct("place", "symbol")))), 1, 4), lambda x: x["symbol"]).alias("examples"),
+    )
+    size = F.least(F.greatest(F.lit(least), F.ceil(F.col("n") * share)), F.col("n"))
+    bottom, whole = F.col("count") / size * 100, F.col("universe") / F.col("n") * 100
+    g = g.withColumns({"bottom_share": F.round(bottom, 1), "universe_share": F.round(whole, 1), "ratio": F.round(bottom / whole, 2)}).where((F.col("count") >= count) & (F.col("ratio") >= 1))
+    place = F.row_number().over(w.orderBy(F.desc("ratio"), F.desc("count"), "sector"))
+    return g.withColumn("_p", place).where(F.col("_p") <= most).select("date", "sector", "count", "universe", "bottom_share", "universe_share", "ratio", "examples")
+
+
 def stance(share: Column) -> Column:
     return F.when(share >= 0.55, "Risk on").when(share >= 0.40, "Mixed").otherwise("Risk off")
 

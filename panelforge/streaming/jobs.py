@@ -56,11 +56,11 @@ def session_readiness(stream: DataFrame, symbols: int, context: list[str], table
 
 
 def post_attention(stream: DataFrame, table: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
-    """X3: posts and comments by symbol over a sliding day, each post once, undated ones dropped.
+    """X3: posts and comments by symbol over a sliding day, each post once, undated ones and those dated after now dropped.
 
     Columns post_id, symbol, created, comments. Duplicates are dropped inside the watermark.
     """
-    once = stream.where("created is not null").withWatermark("created", late).dropDuplicatesWithinWatermark(["post_id", "symbol"])
+    once = stream.where("created is not null and created <= current_timestamp()").withWatermark("created", late).dropDuplicatesWithinWatermark(["post_id", "symbol"])
     g = once.groupBy(F.window("created", "24 hours", "6 hours").alias("w"), "symbol").agg(F.count(F.lit(1)).alias("mentions"), F.sum("comments").alias("comments"))
     out = g.select(F.col("w.end").alias("at"), "symbol", "mentions", "comments")
     return out.writeStream.outputMode("append").format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
