@@ -19,8 +19,9 @@ POSTING = 2048
 #: Shingles, similarity, bits and most differing bits of the pipeline's stage, where no contract fixes them. At similarity
 #: 0.8 of five-word shingles 39 of 256 bits differ on average, with a deviation of 6.
 STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BYTES, STAGE_BITS = 5, 0.8, 32, 52
-#: Lists that share all the bytes the count filter asks for and are longer than this are dealt into parts of this size.
-CHUNK = 1 << 17
+#: Lists that share all the bytes the count filter asks for and are longer than this are dealt into parts of this size, every two
+#: of which meet in a task.
+CHUNK = 1 << 14
 
 
 def _quads() -> list[tuple[int, ...]]:
@@ -43,7 +44,7 @@ class Index:
     least_bytes: int  # count filter: so many bytes are equal at their positions
     most_bits: int
     posting: int = POSTING
-    chunk: int | None = None
+    chunk: int = CHUNK
     others: list[list[int]] = field(init=False)
 
     def __post_init__(self):
@@ -53,7 +54,7 @@ class Index:
 #: With at most 3 differing bits at least 5 of the 8 bytes agree at their positions, and four of them are a key.
 EXACT = Index(_quads(), 8, 8 - MOST_BITS, MOST_BITS)
 #: At similarity 0.8 a byte of two texts is equal with a chance of 0.27; the pairs of positions of each four are keys.
-STAGE = Index([tuple(4 * g + x for x in p) for g in range(STAGE_BYTES // 4) for p in combinations(range(4), 2)], STAGE_BYTES, 4, STAGE_BITS, chunk=CHUNK)
+STAGE = Index([tuple(4 * g + x for x in p) for g in range(STAGE_BYTES // 4) for p in combinations(range(4), 2)], STAGE_BYTES, 4, STAGE_BITS)
 
 
 def fingerprint(text: str | None) -> int:
@@ -163,40 +164,42 @@ def _linker(index: Index):
     return run
 
 
+def _linked(posted: DataFrame, index: Index) -> DataFrame:
+    """Edges of lists `posted(key, fp, node)`, each of a bounded length, found in a task."""
+    lists = posted.groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("entries"))
+    return lists.select(F.abs(F.xxhash64("key")).alias("at"), "entries").mapInArrow(_linker(index), "a long, b long")
+
+
 def links(entries: DataFrame, index: Index) -> DataFrame:
     """Edges (a, b) of `entries(fp binary, node long)`, one row per node: spanning forests of the links in each posting list.
 
     An entry is posted under each key, a tuple of positional bytes. A list of `posting` entries or fewer goes
-    to one task, where the shared bytes of its pairs are tallied. Longer lists are refined by one more byte
-    of each other position, as long as the count filter asks for more bytes than the list shares: nothing
-    that reaches it is lost. What is still long then shares all the bytes asked for (8-byte fingerprints:
-    2^24 different ones at most); with `chunk` it is dealt into parts, joined by their first entries.
+    to one task, where the shared bytes of its pairs are tallied. Longer lists are refined by one more byte of each other
+    position, in rising order of positions, as long as the count filter asks for more bytes than the list shares: nothing
+    that reaches it is lost. What is still long then shares all the bytes asked for, and is dealt into parts of `chunk`
+    entries; every two parts are a list of their own, so that each pair of entries meets, however long the list is.
     """
     byte = lambda p: F.substr("fp", p + 1, F.lit(1))
     keys = [F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(i), *[byte(F.lit(p)) for p in k]).alias("key")) for i, k in enumerate(index.keys)]
-    posted = entries.select("fp", "node", F.explode(F.array(*keys)).alias("k")).select("k.i", "k.key", "fp", "node")
+    posted = entries.select("fp", "node", F.explode(F.array(*keys)).alias("k")).select("k.i", F.lit(-1).alias("p"), "k.key", "fp", "node")
     out = []
     for depth in range(len(index.keys[0]), index.least_bytes + 1):
         posted = durable(posted)
-        sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = posted.join(sizes, "key")
+        sized = posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
         last = depth == index.least_bytes
-        short = sized if last else sized.where(F.col("n") <= index.posting)
-        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(index.chunk))).cast("int") if last and index.chunk else F.lit(0)
-        entry = F.struct("fp", "node")
-        lists = short.withColumn("part", part).groupBy("key", "part").agg(F.collect_list(entry).alias("entries"), F.min(entry).alias("head"))
-        if last and index.chunk:
-            lists = durable(lists)
-            heads = lists.groupBy("key").agg(F.collect_list("head").alias("entries")).where("size(entries) > 1")
-            out.append(heads.select(F.abs(F.xxhash64("key")).alias("at"), "entries").mapInArrow(_linker(index), "a long, b long"))
-        out.append(lists.select(F.abs(F.xxhash64("key", "part")).alias("at"), "entries").mapInArrow(_linker(index), "a long, b long"))
+        short = sized.where(F.col("n") <= (index.chunk if last else index.posting)).select("key", "fp", "node")
+        out.append(_linked(short, index))
+        long_ = sized.where(F.col("n") > (index.chunk if last else index.posting))
         if last:
+            parts = F.ceil(F.col("n") / F.lit(index.chunk)).cast("int")
+            dealt = long_.select("key", "fp", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("at"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at != other")
+            out.append(_linked(dealt.select(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other")).alias("key"), "fp", "node"), index))
+        elif long_.isEmpty():
             break
-        long_ = sized.where(F.col("n") > index.posting).drop("n")
-        if long_.isEmpty():
-            break
-        others = F.element_at(F.lit(index.others), F.col("i") + 1)
-        posted = long_.withColumn("p", F.explode(others)).select("i", F.xxhash64("key", "p", byte(F.col("p"))).alias("key"), "fp", "node")
+        else:
+            others = F.filter(F.element_at(F.lit(index.others), F.col("i") + 1), lambda o: o > F.col("p"))
+            posted = long_.withColumn("p", F.explode(others)).select("i", "p", F.xxhash64("key", "p", byte(F.col("p"))).alias("key"), "fp", "node")
     edges = out[0]
     for more in out[1:]:
         edges = edges.union(more)

@@ -158,6 +158,48 @@ def test_quads_lie_in_any_five_positions():
     assert all(any(set(q) <= set(five) for q in simhash.EXACT.keys) for five in itertools.combinations(range(8), 5))
 
 
+def _partition(nodes, edges):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    groups = {}
+    for n in nodes:
+        groups.setdefault(find(n), set()).add(n)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("stage,posting,chunk", [(True, 32, 64), (True, 4, 7), (True, 2048, 1 << 14), (False, 4, 8), (False, 32, 64)])
+def test_links_in_lists_of_any_length(spark, stage, posting, chunk):
+    """Entries that all share the bytes asked for: no link is lost where lists are refined and dealt into parts."""
+    base = simhash.STAGE if stage else simhash.EXACT
+    index = simhash.Index(base.keys, base.width, base.least_bytes, base.most_bits, posting, chunk)
+    rng = random.Random(posting)
+    same = rng.randbytes(base.least_bytes)
+    prints = []
+    for _ in range(150):
+        one = bytearray(same + rng.randbytes(base.width - len(same)))
+        two = bytearray(one)
+        # the pair shares just the bytes that the filter asks for, or a few more
+        for at in range(len(same), base.width) if stage else rng.sample(range(len(same), base.width), 3):
+            two[at] ^= 1 << rng.randrange(8)
+        prints += [bytes(one), bytes(two)]
+    prints = sorted(set(prints))
+    brute = [
+        (i, j) for i, j in itertools.combinations(range(len(prints)), 2)
+        if sum(a == b for a, b in zip(prints[i], prints[j])) >= index.least_bytes and sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j])) <= index.most_bits
+    ]
+    entries = spark.createDataFrame([(bytearray(f), i) for i, f in enumerate(prints)], "fp binary, node long")
+    got = [(r.a, r.b) for r in simhash.links(entries, index).collect()]
+    assert len(brute) >= 100 and set(got) <= set(brute)
+    assert _partition(range(len(prints)), got) == _partition(range(len(prints)), brute)
+
+
 @pytest.mark.parametrize("changed", [0, 1])
 def test_simhash_stage_recall(spark, changed):
     """Pairs of texts at 0.8 to 0.9 among unrelated ones."""
