@@ -144,3 +144,44 @@ def identity_violations(artifacts: DataFrame, datasets: DataFrame, target: str,
     j = artifacts.join(datasets.select("dataset", F.col("sha256").alias("have"), "label_version"), "dataset", "left")
     reason = F.when(F.col("have").isNull(), "missing_dataset").when(~F.col("have").eqNullSafe(F.col("sha256")), "other_bytes").when((F.col("target") == target) & (F.coalesce("label_version", F.lit(0)) < least_version), "old_labels")
     return j.select("artifact", reason.alias("reason")).where("reason is not null")
+
+
+#: Setups whose rows carry a stop, and the one that carries an activation price; fixed values.
+STOP_SETUPS = ["momentum_confirmed", "model_rebound_watch", "model_ranked_not_momentum_confirmed"]
+REBOUND_SETUP = "model_rebound_watch"
+
+
+def contract_violations(scorebook: DataFrame, research: DataFrame, decile: DataFrame, metrics: list[str], share: float = 0.1) -> DataFrame:
+    """(date, rule, symbol): every row that breaks the contract between the published tables of a date.
+
+    `scorebook` has date, symbol, rank, setup_type, stop_price, activation_price and the metrics; `research` date, symbol and
+    the metrics; `decile` date and symbol. Rules: rank_missing (null or not finite), rank_sequence (not 1, 2, 3, ...), decile_missing
+    and decile_extra (the published decile is the ranks up to the ceiling of share x rows), stop_missing (a setup of STOP_SETUPS or
+    a name of the decile), activation_missing and activation_extra (just rebound rows have one), metric_mismatch (a research row
+    disagrees with the scorebook row of its date; two nulls agree). An empty scorebook breaks no rule but decile_extra.
+    """
+    number = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    dates = Window.partitionBy("date")
+    rank = number("rank")
+    book = scorebook.withColumns({"_r": rank, "_n": F.count(F.lit(1)).over(dates), "_place": F.row_number().over(dates.orderBy(rank.asc_nulls_last(), "symbol"))})
+    in_decile = F.coalesce(F.col("_r") <= F.ceil(F.col("_n") * F.lit(share)), F.lit(False))
+    book = book.withColumn("_top", in_decile)
+    rebound = F.coalesce(F.col("setup_type") == REBOUND_SETUP, F.lit(False))
+    stops = F.coalesce(F.col("setup_type").isin(STOP_SETUPS), F.lit(False)) | F.col("_top")
+    rules = {
+        "rank_missing": F.col("_r").isNull(),
+        "rank_sequence": F.col("_r") != F.col("_place"),
+        "stop_missing": stops & number("stop_price").isNull(),
+        "activation_missing": rebound & number("activation_price").isNull(),
+        "activation_extra": ~rebound & number("activation_price").isNotNull(),
+    }
+    broken = book.select("date", "symbol", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("rule"))
+    published = decile.select("date", "symbol").distinct().withColumn("_published", F.lit(True))
+    sides = book.where("_top").select("date", "symbol").distinct().withColumn("_expected", F.lit(True)).join(published, ["date", "symbol"], "full")
+    sides = sides.where("_expected is null or _published is null").select("date", "symbol", F.when(F.col("_published").isNull(), "decile_missing").otherwise("decile_extra").alias("rule"))
+    other = research.select("date", "symbol", *[number(m).alias(f"_{m}") for m in metrics])
+    unlike = F.lit(False)
+    for m in metrics:
+        unlike = unlike | ~F.col(f"_{m}").eqNullSafe(number(m))
+    differ = scorebook.select("date", "symbol", *metrics).join(other, ["date", "symbol"]).where(unlike).select("date", "symbol", F.lit("metric_mismatch").alias("rule")).distinct()
+    return broken.unionByName(sides).unionByName(differ).select("date", "rule", "symbol")

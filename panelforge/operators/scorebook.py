@@ -203,3 +203,36 @@ def macro_context(books: DataFrame, releases: DataFrame, drivers: DataFrame) ->
     both = ready.unionByName(told)
     first = both.groupBy("book").agg(F.min_by(F.struct("origin", "ref", "text"), F.struct("tier", "place", "ref")).alias("a"))
     return books.select("book").distinct().join(first, "book", "left").select("book", F.coalesce("a.origin", F.lit("none")).alias("origin"), "a.ref", "a.text")
+
+
+#: Agreement labels that count as strong in both models, and as weak in the tactical one; fixed values.
+BOTH_STRONG = ["Both Models Agree", "1Y Strong + Tactical Momentum"]
+TACTICAL_WEAK = "1Y Strong / Tactical Weak"
+
+
+def trend_summary(rows: DataFrame, sectors: int = 6, symbols: int = 6) -> DataFrame:
+    """(date, part, item, place, names, percentile, tactical, symbols): what the top of each date's ranking is made of.
+
+    `rows` has date, symbol, rank, percentile, tactical, sector, cap and agreement. The top are the percentiles from 90; where a
+    date has none, its first tenth by rank (null ranks last). Part `sector`: the leading `sectors` by names, then by mean
+    percentile, with their first `symbols` by rank; `cap`: all buckets by names, with all symbols; `count`: top_decile, both_strong
+    and tactical_weak. Ties go to the item that the ranking meets first. Means have one digit, null percentiles count as zero;
+    null sectors are Unclassified, null buckets Unknown cap.
+    """
+    dates = Window.partitionBy("date")
+    high = F.coalesce(F.col("percentile") >= 90, F.lit(False))
+    place = F.row_number().over(dates.orderBy(F.col("rank").asc_nulls_last(), "symbol"))
+    top = rows.withColumns({"_high": high, "_any": F.max(high).over(dates), "_n": F.count(F.lit(1)).over(dates), "_at": place})
+    top = top.where(F.when(F.col("_any"), F.col("_high")).otherwise(F.col("_at") <= F.ceil(F.col("_n") * F.lit(0.1))))
+    item = lambda part, name: F.struct(F.lit(part).alias("part"), name.alias("item"))
+    items = F.array_compact(F.array(
+        item("sector", F.coalesce("sector", F.lit("Unclassified"))), item("cap", F.coalesce("cap", F.lit("Unknown cap"))), item("count", F.lit("top_decile")),
+        F.when(F.col("agreement").isin(BOTH_STRONG), item("count", F.lit("both_strong"))), F.when(F.col("agreement") == TACTICAL_WEAK, item("count", F.lit("tactical_weak")))))
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 1)
+    listed = F.collect_list(F.when(F.col("x.part") != "count", F.struct("_at", "symbol")))
+    g = top.withColumn("x", F.explode(items)).groupBy("date", "x.part", "x.item").agg(
+        F.count(F.lit(1)).alias("names"), mean("percentile").alias("percentile"), mean("tactical").alias("tactical"), F.min("_at").alias("_first"), F.sort_array(listed).alias("_s"))
+    mean_first = F.when(F.col("part") == "sector", F.col("percentile"))
+    g = g.withColumn("place", F.row_number().over(Window.partitionBy("date", "part").orderBy(F.desc("names"), mean_first.desc_nulls_last(), "_first", "item")))
+    kept = F.when(F.col("part") == "sector", F.slice("_s", 1, symbols)).otherwise(F.col("_s"))
+    return g.where((F.col("part") != "sector") | (F.col("place") <= sectors)).select("date", "part", "item", "place", "names", "percentile", "tactical", F.transform(kept, lambda v: v["symbol"]).alias("symbols"))

@@ -1,4 +1,4 @@
-"""Queries over a cross-section with a symbol a part, of probabilities, reviewed dividends and series (B13, H4, J3, K5, K13, L8, P6) and their SQL."""
+"""Queries over a cross-section with a symbol a part, of probabilities, reviewed dividends, series, the published contract and trends (B13, D11, H4, J3, K5, K11, K13, L8, P6) and their SQL."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from panelforge.functions.semantics import rounded
 from panelforge.operators import backtest as b
 from panelforge.operators import cross_section as c
 from panelforge.operators import history as h
+from panelforge.operators import quality as qa
 from panelforge.operators import scorebook as k
 from panelforge.plans.lifecycle_queries import archive
 from panelforge.plans.panel_queries import base, predictions
@@ -99,3 +100,48 @@ add("p6_latest_deltas", lambda s, d: x.latest_deltas(t.table(s, d, "orders", ["o
     f"""WITH v AS (SELECT o_custkey, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0),
  w AS (SELECT o_custkey, max(x) FILTER (n = 1) AS latest, max(x) FILTER (n = 2) AS previous FROM v GROUP BY o_custkey)
 SELECT o_custkey, {r('latest')}, {r('previous')}, {r('CASE o_custkey % 3 WHEN 0 THEN (latest - previous) * 100 WHEN 1 THEN (latest / previous - 1) * 100 ELSE latest - previous END', 'delta')} FROM w""", "")
+
+
+def _d11(s, d):
+    """A scorebook of every part and month with some rows that break each rule, its research table and its published decile."""
+    n = F.substring("symbol", 2, 9).cast("int")
+    df = parts(s, d).select("date", "symbol", n.alias("p"), F.when(n % 211 != 0, F.col("rank")).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy("date")).alias("n"))
+    setup = F.when(n % 4 == 0, "model_rebound_watch").when(n % 4 == 1, "momentum_confirmed").when(n % 4 == 2, "model_ranked_not_momentum_confirmed").otherwise("none")
+    book = df.select("date", "symbol", "rank", setup.alias("setup_type"), F.when(n % 37 != 0, F.col("p") * 0.5).alias("stop_price"),
+                     F.when(((n % 4 == 0) & (n % 29 != 0)) | (n % 101 == 0), F.col("p") * 0.75).alias("activation_price"), F.when(n % 19 != 0, F.col("p") * 0.25).alias("beta"), F.col("p").cast("double").alias("return30"))
+    research = df.where("p % 3 != 0").select("date", "symbol", F.when(n % 19 != 0, F.col("p") * 0.25 + (n % 97 == 0).cast("int")).alias("beta"), F.when(n % 83 != 0, F.col("p").cast("double")).alias("return30"))
+    decile = df.where("p % 53 != 0 and rank <= ceil(n * 0.1) or p % 89 = 0").select("date", "symbol")
+    return qa.contract_violations(book, research, decile, ["beta", "return30"])
+
+
+add("d11_contract", _d11, f"""{PARTS},
+cb AS (SELECT date, symbol, CAST(substring(symbol, 2) AS INTEGER) AS p, CASE WHEN CAST(substring(symbol, 2) AS INTEGER) % 211 <> 0 THEN rank END AS rank, count(*) OVER (PARTITION BY date) AS n FROM pr),
+cc AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY rank NULLS LAST, symbol) AS place, coalesce(rank <= ceil(n * 0.1), FALSE) AS top FROM cb),
+cv AS (SELECT date, symbol, 'rank_missing' AS rule FROM cc WHERE rank IS NULL UNION ALL SELECT date, symbol, 'rank_sequence' FROM cc WHERE rank <> place
+ UNION ALL SELECT date, symbol, 'stop_missing' FROM cc WHERE (p % 4 < 3 OR top) AND p % 37 = 0
+ UNION ALL SELECT date, symbol, 'activation_missing' FROM cc WHERE p % 4 = 0 AND p % 29 = 0 AND p % 101 <> 0 UNION ALL SELECT date, symbol, 'activation_extra' FROM cc WHERE p % 4 <> 0 AND p % 101 = 0
+ UNION ALL SELECT date, symbol, 'decile_missing' FROM cc WHERE top AND p % 53 = 0 AND p % 89 <> 0 UNION ALL SELECT date, symbol, 'decile_extra' FROM cc WHERE NOT top AND p % 89 = 0
+ UNION ALL SELECT date, symbol, 'metric_mismatch' FROM cc WHERE p % 3 <> 0 AND ((p % 97 = 0 AND p % 19 <> 0) OR p % 83 = 0))
+SELECT {D}, rule, symbol FROM cv""", "")
+
+
+def _k11(s, d):
+    n, size = F.substring("symbol", 2, 9).cast("int"), F.count(F.lit(1)).over(Window.partitionBy("date"))
+    df = parts(s, d).withColumns({"p": n, "n": size})
+    percentile = F.when(F.col("n") > 1, 100 * (1 - (F.col("rank") - 1) / (F.col("n") - 1))).otherwise(100.0)
+    # every third month has no percentile from 90
+    percentile = F.when(F.month("date") % 3 == 0, percentile * 0.875).otherwise(percentile)
+    label = F.when(n % 5 == 0, "Both Models Agree").when(n % 5 == 1, "1Y Strong + Tactical Momentum").when(n % 5 == 2, "1Y Strong / Tactical Weak")
+    return df.select("date", "symbol", "rank", "sector", percentile.alias("percentile"), F.when(n % 7 != 0, (n % 100).cast("double")).alias("tactical"), F.when(n % 11 != 0, x.cap_bucket((n % 500) * 1e9)).alias("cap"), label.alias("agreement"))
+
+
+add("k11_trend_summary", lambda s, d: k.trend_summary(_k11(s, d)).withColumn("symbols", F.array_join("symbols", ",")), f"""{PARTS},
+ta AS (SELECT *, CAST(substring(symbol, 2) AS INTEGER) AS p, count(*) OVER (PARTITION BY date) AS n FROM pr),
+tb AS (SELECT *, (CASE WHEN n > 1 THEN 100 * (1 - (rank - 1) / (n - 1)) ELSE 100.0::DOUBLE END) * CASE WHEN month(date) % 3 = 0 THEN 0.875::DOUBLE ELSE 1 END AS pc,
+ CASE WHEN p % 7 <> 0 THEN p % 100 ELSE 0 END AS tc, CASE WHEN p % 11 = 0 THEN 'Unknown cap' WHEN p % 500 >= 200 THEN 'Mega' WHEN p % 500 >= 10 THEN 'Large' WHEN p % 500 >= 2 THEN 'Mid' ELSE 'Small' END AS cap FROM ta),
+tt AS (SELECT * FROM tb WHERE CASE WHEN month(date) % 3 = 0 THEN rank <= ceil(n * 0.1) ELSE pc >= 90 END),
+ti AS (SELECT date, 'sector' AS part, coalesce(sector, 'Unclassified') AS item, rank, symbol, pc, tc FROM tt UNION ALL SELECT date, 'cap', cap, rank, symbol, pc, tc FROM tt UNION ALL SELECT date, 'count', 'top_decile', rank, symbol, pc, tc FROM tt
+ UNION ALL SELECT date, 'count', 'both_strong', rank, symbol, pc, tc FROM tt WHERE p % 5 < 2 UNION ALL SELECT date, 'count', 'tactical_weak', rank, symbol, pc, tc FROM tt WHERE p % 5 = 2),
+tg AS (SELECT date, part, item, count(*) AS names, round(avg(pc), 1) AS percentile, round(avg(tc), 1) AS tactical, min(rank) AS f, list(symbol ORDER BY rank) AS s FROM ti GROUP BY date, part, item),
+tp AS (SELECT *, row_number() OVER (PARTITION BY date, part ORDER BY names DESC, CASE WHEN part = 'sector' THEN percentile END DESC NULLS LAST, f, item) AS place FROM tg)
+SELECT {D}, part, item, place, names, {r('percentile')}, {r('tactical')}, CASE part WHEN 'sector' THEN array_to_string(s[1:6], ',') WHEN 'cap' THEN array_to_string(s, ',') ELSE '' END AS symbols FROM tp WHERE part <> 'sector' OR place <= 6""", "")

@@ -11,6 +11,7 @@ from panelforge.functions import scalars as x
 from panelforge.operators import backtest as b
 from panelforge.operators import cross_section as c
 from panelforge.operators import history as h
+from panelforge.operators import quality as qa
 from panelforge.operators import scorebook as k
 
 DAY = datetime.date(2020, 1, 1)
@@ -71,3 +72,32 @@ def test_series_and_labels(spark):
     assert got == {"a": (2.5, 2.0, 50.0), "b": (4.0, None, None), "c": (5.0, 4.0, 25.0)}
     df = spark.createDataFrame([(0.2, 0.1), (0.1, 0.1), (None, 0.1), (0.1, None)], "a double, b double")
     assert [r.outperform for r in c.outperform_label(df, "a", "b").collect()] == [1, 0, None, None]
+
+
+def test_contract_violations(spark):
+    nan = float("nan")
+    rows = [(DAY, f"S{i:02}", float(i + 1), "none", 1.0, None, 0.5) for i in range(11)]
+    rows[3] = (DAY, "S03", 4.0, "model_rebound_watch", 1.0, None, 0.5)
+    rows[4] = (DAY, "S04", 5.0, "momentum_confirmed", nan, 2.0, 0.5)
+    rows[9], rows[10] = (DAY, "S09", 12.0, "none", None, None, None), (DAY, "S10", nan, None, None, None, 0.5)
+    schema = "date date, symbol string, rank double, setup_type string, stop_price double, activation_price double, beta double"
+    research = spark.createDataFrame([(DAY, "S00", 0.5), (DAY, "S01", 0.25), (DAY, "S09", None), (DAY, "S10", None), (day(1), "S02", 9.0)], "date date, symbol string, beta double")
+    decile = spark.createDataFrame([(DAY, "S00"), (DAY, "S05")], "date date, symbol string")
+    got = {(r.rule, r.symbol) for r in qa.contract_violations(spark.createDataFrame(rows, schema), research, decile, ["beta"]).collect()}
+    assert got == {("rank_sequence", "S09"), ("rank_missing", "S10"), ("activation_missing", "S03"), ("activation_extra", "S04"), ("stop_missing", "S04"), ("decile_missing", "S01"), ("decile_extra", "S05"), ("metric_mismatch", "S01"), ("metric_mismatch", "S10")}
+    empty = qa.contract_violations(spark.createDataFrame([], schema), research, decile, ["beta"]).collect()
+    assert {(r.rule, r.symbol) for r in empty} == {("decile_extra", "S00"), ("decile_extra", "S05")}
+
+
+def test_trend_summary(spark):
+    rows = [(DAY, f"S{i:02}", i + 1, 100.0 - i, 50.0 if i else None, "Tech" if i % 2 else None, "Mega" if i < 3 else None, "Both Models Agree" if i == 0 else "1Y Strong / Tactical Weak") for i in range(20)]
+    rows += [(day(1), f"T{i}", 9 - i if i < 8 else None, 10.0, None, "Health", "Mid", None) for i in range(10)]
+    df = spark.createDataFrame(rows, "date date, symbol string, rank int, percentile double, tactical double, sector string, cap string, agreement string")
+    got = {(r.date, r.part, r.item): (r.place, r.names, r.percentile, r.tactical, list(r.symbols)) for r in k.trend_summary(df).collect()}
+    names = [f"S{i:02}" for i in range(11)]
+    assert got == {
+        (DAY, "sector", "Unclassified"): (1, 6, 95.0, 41.7, names[::2]), (DAY, "sector", "Tech"): (2, 5, 95.0, 50.0, names[1::2]),
+        (DAY, "cap", "Unknown cap"): (1, 8, 93.5, 50.0, names[3:]), (DAY, "cap", "Mega"): (2, 3, 99.0, 33.3, names[:3]),
+        (DAY, "count", "top_decile"): (1, 11, 95.0, 45.5, []), (DAY, "count", "tactical_weak"): (2, 10, 94.5, 50.0, []), (DAY, "count", "both_strong"): (3, 1, 100.0, 0.0, []),
+        (day(1), "sector", "Health"): (1, 1, 10.0, 0.0, ["T7"]), (day(1), "cap", "Mid"): (1, 1, 10.0, 0.0, ["T7"]), (day(1), "count", "top_decile"): (1, 1, 10.0, 0.0, []),
+    }
