@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelforge.plans import detail_queries, evaluation_queries, feature_queries, history_queries, lifecycle_queries, matrix_queries, model_queries, panel_queries, raw_queries, source_queries, stream_queries, tape_queries, text_queries
+from panelforge.plans import detail_queries, evaluation_queries, feature_queries, history_queries, lifecycle_queries, matrix_queries, model_queries, panel_queries, raw_queries, reading_queries, source_queries, stream_queries, tape_queries, text_queries
 
-_PARTS = [feature_queries, panel_queries, text_queries, history_queries, stream_queries, source_queries, tape_queries, raw_queries, matrix_queries, model_queries, lifecycle_queries, evaluation_queries, detail_queries]
+_PARTS = [feature_queries, panel_queries, text_queries, history_queries, stream_queries, source_queries, tape_queries, raw_queries, matrix_queries, model_queries, lifecycle_queries, evaluation_queries, detail_queries, reading_queries]
 QUERIES: dict = {}
 SQL: dict = {}
 for _part in _PARTS:
