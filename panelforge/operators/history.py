@@ -5,6 +5,8 @@ All side tables carry the security, so range conditions always come with an equa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,6 +193,44 @@ def survivorship(removed: DataFrame, histories: DataFrame) -> DataFrame:
     return removed.join(last, "symbol", "left").select("symbol", "removed", F.when(F.col("last_date").isNull(), "missing").when(F.col("last_date") < F.date_sub("removed", 7), "short").otherwise("covered").alias("status"))
 
 
+def _removals(removals: DataFrame, histories: DataFrame, years: int) -> DataFrame:
+    """Removals (symbol, removed) of named symbols in the `years` up to the histories' last day; a row of that day rides along."""
+    last = histories.agg(F.max("date").alias("as_of"))
+    named = removals.where("symbol is not null and symbol != ''").crossJoin(F.broadcast(last))  # one row
+    return named.where((F.col("removed") >= F.add_months("as_of", -12 * years)) & (F.col("removed") <= F.col("as_of"))).drop("as_of")
+
+
+def review_queue(removals: DataFrame, histories: DataFrame, archived: Column, years: int = 15) -> DataFrame:
+    """Every removal of the window with what its price history (symbol, date, whether `archived`) can show.
+
+    Nothing is verified by being here: membership and terminal outcome wait for a person.
+    """
+    ends = histories.groupBy("symbol").agg(F.count(F.lit(1)).alias("provider_rows"), F.max("date").alias("provider_end"), F.bool_or(archived).alias("has_archived_segment"))
+    df = _removals(removals, histories, years).join(ends, "symbol", "left")
+    # fixed values
+    policy = "retain_history_and_finish_existing_labels; no_new_sp500_entries_after_verified_removal"
+    return df.select(
+        "symbol", "removed", F.when(F.col("provider_rows").isNull(), "not_cached").otherwise("cached").alias("price_status"), F.coalesce("provider_rows", F.lit(0)).alias("provider_rows"), "provider_end",
+        F.coalesce("has_archived_segment", F.lit(False)).alias("has_archived_segment"), F.lit(False).alias("membership_verified"), F.lit(False).alias("terminal_outcome_verified"), F.lit(policy).alias("tracking_policy"),
+    )
+
+
+def survivorship_findings(removals: DataFrame, histories: DataFrame, reference: DataFrame, years: int = 15) -> DataFrame:
+    """(finding, symbol) of an audit: what blocks a universe from being called free of survivorship.
+
+    `reference` is (symbol, original, current), two snapshots. Names gone since the original one, those of them without a
+    removal in the window, removed names without prices, and histories that end before the last day of all.
+    """
+    gone = reference.where("original and not current").select("symbol").distinct()
+    removed = _removals(removals, histories, years).select("symbol").distinct()
+    ends = histories.groupBy("symbol").agg(F.max("date").alias("end")).crossJoin(F.broadcast(histories.agg(F.max("date").alias("as_of"))))  # one row
+    found = {
+        "removed_since_original": gone, "without_removal_event": gone.join(removed, "symbol", "left_anti"),
+        "removed_without_prices": removed.join(histories, "symbol", "left_anti"), "terminal_or_alias_review": ends.where("end != as_of").select("symbol"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("finding"), "symbol") for name, df in found.items()])
+
+
 def equal_outcomes(a: DataFrame, b: DataFrame, column: str = "outcome") -> DataFrame:
     """Counts of shared keys and of those whose outcome differs between two versions."""
     j = a.select("symbol", "date", F.col(column).alias("x")).join(b.select("symbol", "date", F.col(column).alias("y")), ["symbol", "date"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +43,39 @@ def risk_flags() -> Column:
     )
 
 
-def setup_type(top: Column) -> Column:
-    """Setup of a top-decile row from its trends and returns."""
-    up = (F.col("vs_sma20") > 0) & (F.col("vs_sma50") > 0) & (F.col("r5") > 0) & (F.col("r20") > 0)
-    down = (F.col("vs_sma20") < 0) & (F.col("vs_sma50") < 0) & (F.col("r5") < 0) & (F.col("r20") < 0)
+def setup_type(top: Column, trends: tuple[str, ...] = ("vs_sma20", "vs_sma50"), returns: tuple[str, ...] = ("r5", "r20")) -> Column:
+    """Setup of a top-decile row from its prices against averages and its returns; an unknown one confirms nothing."""
+    signals = [F.col(c) for c in (*trends, *returns)]
+    up, down = reduce(and_, [x > 0 for x in signals]), reduce(and_, [x < 0 for x in signals])
     # fixed values
-    return F.when(top & up, "momentum_confirmed").when(top & down, "model_rebound_watch").when(top & ((F.col("vs_sma20") < 0) | (F.col("vs_sma50") < 0)), "model_ranked_not_momentum_confirmed").otherwise("model_ranked")
+    return F.when(top & up, "momentum_confirmed").when(top & down, "model_rebound_watch").when(top & reduce(or_, [F.col(c) < 0 for c in trends]), "model_ranked_not_momentum_confirmed").otherwise("model_ranked")
+
+
+def setup_tags(setup: Column) -> Column:
+    """Tags shown with a setup."""
+    # fixed values
+    tags = {"momentum_confirmed": ["Momentum Confirmed"], "model_rebound_watch": ["Model Rebound Watch", "Not Momentum Confirmed", "Activation Pending"], "model_ranked_not_momentum_confirmed": ["Not Momentum Confirmed"]}
+    return F.coalesce(*[F.when(setup == name, F.lit(values)) for name, values in tags.items()], F.array().cast("array<string>"))
+
+
+def in_best(share: float) -> Column:
+    """Whether a row's rank is among the best share of its n, one row at least; rows without a rank are not."""
+    return F.coalesce((F.col("n") > 0) & (F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * share))), F.lit(False))
+
+
+def candidate_setups(df: DataFrame, multiple: float = 0.75) -> DataFrame:
+    """Adds setup, tags, bucket, stop (whether a stop is shown), activation_price and activation_pct to a ranked cross-section.
+
+    Columns rank, n, close, vol20, prices against the averages of 50 and 200 sessions, returns over 20 and 60. A rebound waits
+    for a close `multiple` daily volatilities above its own; without a close and a volatility above 0 there is no such price.
+    """
+    top = in_best(0.1)
+    df = df.withColumn("setup", setup_type(top, ("vs_sma50", "vs_sma200"), ("r20", "r60")))
+    waits = (F.col("setup") == "model_rebound_watch") & (F.col("close") > 0) & (F.col("vol20") > 0)
+    return df.withColumns({
+        "tags": setup_tags(F.col("setup")), "bucket": F.when(top, "Top Decile").when(in_best(0.2), "Top Quintile").otherwise("Ranked"), "stop": top | (F.col("setup") != "model_ranked"),
+        "activation_price": F.when(waits, F.round(F.col("close") * (1 + multiple * F.col("vol20")), 2)), "activation_pct": F.when(waits, F.round(100 * multiple * F.col("vol20"), 2)),
+    })
 
 
 def activation_price(setup: Column, close: Column, vol: Column, multiple: float = 0.75) -> Column:

@@ -1,4 +1,4 @@
-"""Queries over a cross-section with a symbol a part, of probabilities, reviewed dividends, series, the published contract and trends (B13, D11, H4, J3, K5, K11, K13, L8, P6) and their SQL."""
+"""Queries over a cross-section with a symbol a part, of probabilities, reviewed dividends, series, the published contract and trends (B13, D11, H4, J3, H17, K3, K5, K11, K13, L8, P6) and their SQL."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ from panelforge.functions import scalars as x
 from panelforge.functions.semantics import rounded
 from panelforge.operators import backtest as b
 from panelforge.operators import cross_section as c
+from panelforge.operators import features as f
 from panelforge.operators import history as h
 from panelforge.operators import quality as qa
 from panelforge.operators import scorebook as k
 from panelforge.plans.lifecycle_queries import archive
 from panelforge.plans.panel_queries import base, predictions
-from panelforge.plans.sqlparts import D, FULL, r
+from panelforge.plans.sqlparts import D, FULL, r, roll
 from panelforge.sources import tables as t
 
 QUERIES, SQL = {}, {}
@@ -145,3 +146,40 @@ ti AS (SELECT date, 'sector' AS part, coalesce(sector, 'Unclassified') AS item,
 tg AS (SELECT date, part, item, count(*) AS names, round(avg(pc), 1) AS percentile, round(avg(tc), 1) AS tactical, min(rank) AS f, list(symbol ORDER BY rank) AS s FROM ti GROUP BY date, part, item),
 tp AS (SELECT *, row_number() OVER (PARTITION BY date, part ORDER BY names DESC, CASE WHEN part = 'sector' THEN percentile END DESC NULLS LAST, f, item) AS place FROM tg)
 SELECT {D}, part, item, place, names, {r('percentile')}, {r('tactical')}, CASE part WHEN 'sector' THEN array_to_string(s[1:6], ',') WHEN 'cap' THEN array_to_string(s, ',') ELSE '' END AS symbols FROM tp WHERE part <> 'sector' OR place <= 6""", "")
+
+
+def _k3(s, d):
+    """The panel ranked by its 60-session return, with the averages of 50 and 200 sessions."""
+    trend = f.moving_averages(t.panel(s, d), (50, 200)).select("symbol", "date", F.col("price_vs_sma_200").alias("vs_sma200"))
+    return k.place_and_percentile(base(s, d).withColumn("score", -F.abs("r60")).where("score is not null"), ["date"]).join(trend, ["symbol", "date"])
+
+
+add("k3_candidate_setups", lambda s, d: k.candidate_setups(_k3(s, d)).select("symbol", "date", "setup", F.array_join("tags", ",").alias("tags"), "bucket", "stop", "activation_price", "activation_pct"), f""",
+ka AS (SELECT feat.*, row_number() OVER (PARTITION BY date ORDER BY -abs(r60) DESC, symbol) AS rank, count(*) OVER (PARTITION BY date) AS n FROM feat WHERE r60 IS NOT NULL),
+kb AS (SELECT symbol, date, close / ({roll('avg', 'close', 200)}) - 1 AS vs_sma200 FROM p),
+kc AS (SELECT ka.*, CASE WHEN rank > greatest(1, ceil(n * 0.1)) THEN 'model_ranked' WHEN vs_sma50 > 0 AND vs_sma200 > 0 AND r20 > 0 AND r60 > 0 THEN 'momentum_confirmed' WHEN vs_sma50 < 0 AND vs_sma200 < 0 AND r20 < 0 AND r60 < 0 THEN 'model_rebound_watch'
+ WHEN vs_sma50 < 0 OR vs_sma200 < 0 THEN 'model_ranked_not_momentum_confirmed' ELSE 'model_ranked' END AS setup FROM ka JOIN kb USING (symbol, date))
+SELECT symbol, {D}, setup, CASE setup WHEN 'momentum_confirmed' THEN 'Momentum Confirmed' WHEN 'model_rebound_watch' THEN 'Model Rebound Watch,Not Momentum Confirmed,Activation Pending' WHEN 'model_ranked' THEN '' ELSE 'Not Momentum Confirmed' END AS tags,
+ CASE WHEN rank <= greatest(1, ceil(n * 0.1)) THEN 'Top Decile' WHEN rank <= greatest(1, ceil(n * 0.2)) THEN 'Top Quintile' ELSE 'Ranked' END AS bucket, rank <= greatest(1, ceil(n * 0.1)) AS stop,
+ CASE WHEN setup = 'model_rebound_watch' AND close > 0 AND vol20 > 0 THEN round(close * (1 + 0.75::DOUBLE * vol20), 2) END AS activation_price, CASE WHEN setup = 'model_rebound_watch' AND close > 0 AND vol20 > 0 THEN round(75.0::DOUBLE * vol20, 2) END AS activation_pct FROM kc""")
+
+
+def _h17(s, d):
+    """Parts as names: a quarter is removed some day, a seventh has no prices; shipments are the histories, returned ones archived."""
+    name, n = F.format_string("P%09d", "p_partkey"), F.col("p_partkey")
+    p = t.table(s, d, "part", ["p_partkey"])
+    removals = p.where(n % 4 == 1).select(F.when(n % 40 != 1, name).otherwise("").alias("symbol"), F.date_add(F.lit("1992-01-01").cast("date"), (n * 37 % 2600).cast("int")).alias("removed"))
+    histories = t.table(s, d, "lineitem", ["l_partkey", "l_shipdate", "l_returnflag"]).where("l_partkey % 7 != 0").select(F.format_string("P%09d", "l_partkey").alias("symbol"), F.to_date("l_shipdate").alias("date"), (F.col("l_returnflag") == "R").alias("archived"))
+    return removals, histories, p.select(name.alias("symbol"), (n % 3 != 0).alias("original"), (n % 5 < 3).alias("current"))
+
+
+_REM = """WITH hs AS (SELECT format('P{:09d}', l_partkey) AS symbol, CAST(l_shipdate AS DATE) AS date, l_returnflag = 'R' AS archived FROM lineitem WHERE l_partkey % 7 <> 0), la AS (SELECT max(date) AS as_of FROM hs),
+he AS (SELECT symbol, count(*) AS n, max(date) AS last, bool_or(archived) AS old FROM hs GROUP BY symbol),
+rm AS (SELECT format('P{:09d}', p_partkey) AS symbol, DATE '1992-01-01' + CAST(p_partkey * 37 % 2600 AS INTEGER) AS removed FROM part WHERE p_partkey % 4 = 1 AND p_partkey % 40 <> 1),
+rw AS (SELECT rm.* FROM rm, la WHERE removed >= as_of - INTERVAL 48 MONTH AND removed <= as_of)"""
+add("h17_review_queue", lambda s, d: h.review_queue(*_h17(s, d)[:2], F.col("archived"), 4).withColumns({c: F.col(c).cast("string") for c in ("removed", "provider_end")}), f"""{_REM}
+SELECT symbol, CAST(removed AS VARCHAR) AS removed, CASE WHEN n IS NULL THEN 'not_cached' ELSE 'cached' END AS price_status, coalesce(n, 0) AS provider_rows, CAST(last AS VARCHAR) AS provider_end, coalesce(old, FALSE) AS has_archived_segment,
+ FALSE AS membership_verified, FALSE AS terminal_outcome_verified, 'retain_history_and_finish_existing_labels; no_new_sp500_entries_after_verified_removal' AS tracking_policy FROM rw LEFT JOIN he USING (symbol)""", "")
+add("h17_findings", lambda s, d: h.survivorship_findings(*_h17(s, d), 4), f"""{_REM}, rf AS (SELECT format('P{{:09d}}', p_partkey) AS symbol FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 5 >= 3)
+SELECT 'removed_since_original' AS finding, symbol FROM rf UNION ALL SELECT 'without_removal_event', symbol FROM rf WHERE symbol NOT IN (SELECT symbol FROM rw)
+UNION ALL SELECT 'removed_without_prices', symbol FROM (SELECT DISTINCT symbol FROM rw) WHERE symbol NOT IN (SELECT symbol FROM hs) UNION ALL SELECT 'terminal_or_alias_review', symbol FROM he, la WHERE last <> as_of""", "")

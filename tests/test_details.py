@@ -101,3 +101,31 @@ def test_trend_summary(spark):
         (DAY, "count", "top_decile"): (1, 11, 95.0, 45.5, []), (DAY, "count", "tactical_weak"): (2, 10, 94.5, 50.0, []), (DAY, "count", "both_strong"): (3, 1, 100.0, 0.0, []),
         (day(1), "sector", "Health"): (1, 1, 10.0, 0.0, ["T7"]), (day(1), "cap", "Mid"): (1, 1, 10.0, 0.0, ["T7"]), (day(1), "count", "top_decile"): (1, 1, 10.0, 0.0, []),
     }
+
+
+def test_candidate_setups(spark):
+    rows = [  # symbol, rank, n, close, vol20, vs_sma50, vs_sma200, r20, r60
+        ("up", 1, 30, 10.0, 0.02, 0.1, 0.1, 0.1, 0.1), ("down", 2, 30, 10.0, 0.02, -0.1, -0.1, -0.1, -0.1), ("mixed", 3, 30, 10.0, 0.02, 0.1, -0.1, 0.1, 0.1),
+        ("quintile", 4, 30, 10.0, 0.02, 0.1, 0.1, 0.1, 0.1), ("rest", 7, 30, 10.0, 0.02, -0.1, -0.1, -0.1, -0.1), ("alone", 1, 1, 10.0, 0.02, None, 0.1, 0.1, 0.1),
+        ("no volatility", 1, 30, 10.0, None, -0.1, -0.1, -0.1, -0.1), ("zero", 1, 30, 10.0, 0.0, -0.1, -0.1, -0.1, -0.1), ("unranked", None, 30, 10.0, 0.02, 0.1, 0.1, 0.1, 0.1), ("flat", 1, 30, 10.0, 0.02, 0.0, 0.1, 0.1, 0.1),
+    ]
+    df = spark.createDataFrame(rows, "symbol string, rank int, n int, close double, vol20 double, vs_sma50 double, vs_sma200 double, r20 double, r60 double")
+    got = {r.symbol: (r.setup, len(r.tags), r.bucket, r.stop, r.activation_price, r.activation_pct) for r in k.candidate_setups(df).collect()}
+    assert got == {
+        "up": ("momentum_confirmed", 1, "Top Decile", True, None, None), "down": ("model_rebound_watch", 3, "Top Decile", True, 10.15, 1.5),
+        "mixed": ("model_ranked_not_momentum_confirmed", 1, "Top Decile", True, None, None), "quintile": ("model_ranked", 0, "Top Quintile", False, None, None),
+        "rest": ("model_ranked", 0, "Ranked", False, None, None), "alone": ("model_ranked", 0, "Top Decile", True, None, None),
+        "no volatility": ("model_rebound_watch", 3, "Top Decile", True, None, None), "zero": ("model_rebound_watch", 3, "Top Decile", True, None, None),
+        "unranked": ("model_ranked", 0, "Ranked", False, None, None), "flat": ("model_ranked", 0, "Top Decile", True, None, None),
+    }
+
+
+def test_survivorship_audit(spark):
+    removals = spark.createDataFrame([("A", DAY), ("A", day(30)), ("B", day(30)), ("", day(30)), (None, day(30)), ("old", day(-400)), ("late", day(41))], "symbol string, removed date")
+    histories = spark.createDataFrame([("A", day(1), False), ("A", day(40), True), ("C", day(20), False)], "symbol string, date date, archived boolean")
+    queue = {(r.symbol, r.removed, r.price_status, r.provider_rows, r.provider_end, r.has_archived_segment) for r in h.review_queue(removals, histories, histories["archived"], 1).collect()}
+    assert queue == {("A", DAY, "cached", 2, day(40), True), ("A", day(30), "cached", 2, day(40), True), ("B", day(30), "not_cached", 0, None, False)}
+    reference = spark.createDataFrame([("A", True, False), ("C", True, False), ("D", True, True), ("E", False, False)], "symbol string, original boolean, current boolean")
+    found = sorted(tuple(r) for r in h.survivorship_findings(removals, histories, reference, 1).collect())
+    assert found == [("removed_since_original", "A"), ("removed_since_original", "C"), ("removed_without_prices", "B"), ("terminal_or_alias_review", "C"), ("without_removal_event", "C")]
+    assert h.review_queue(removals, histories.limit(0), histories["archived"]).collect() == []

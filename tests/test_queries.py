@@ -15,7 +15,7 @@ NAMES += ["s1_bars_csv", "s4_macro_csv", "s5_constituents", "s10_registries", "s
 NAMES += ["t4_links", "t10_theme_drivers", "t12_conclusions", "t14_ticker_signals", "t15_attention", "t18_release_metrics", "t25_clean_lists", "p10_calendar", "p11_feature_groups", "v3_embargo", "v9_strict_start", "h8_sector_observations", "h11_unknown_reason"]
 NAMES += ["d7_readiness_record", "d9_cache_endings", "d12_schema_errors", "d13_identity", "k2_tags", "k9_scorebook", "k20_label_summary", "k22_macro_context", "m9_best_iteration", "b5_inverse_baskets", "b10_compounded", "b23_entrants", "l9_candidate_setup"]
 
-NAMES += ["m1_score_trees", "m7_attribution", "h6_terminal_events", "h14_point_in_time", "j7_lagged_asof", "j16_identities", "b11_activation_report", "b18_paired_interval", "k6_outsiders", "k13_bottom_sectors", "s6_change_pages", "x4_snapshot_changes", "h3_no_trade_days", "h4_corrected_prices", "d11_contract", "k11_trend_summary"]
+NAMES += ["m1_score_trees", "m7_attribution", "h6_terminal_events", "h14_point_in_time", "j7_lagged_asof", "j16_identities", "b11_activation_report", "b18_paired_interval", "k6_outsiders", "k13_bottom_sectors", "s6_change_pages", "x4_snapshot_changes", "h3_no_trade_days", "h4_corrected_prices", "d11_contract", "k11_trend_summary", "k3_candidate_setups", "h17_findings", "t11_reading_list", "t10_fitted_drivers"]
 
 
 def rows(records):
