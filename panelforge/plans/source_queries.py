@@ -40,10 +40,16 @@ add("s6_index_changes", lambda s, d: rd.index_changes(t.table(s, d, "customer").
 
 
 def _s6(s, d):
-    """Change tables of five pages: a date over three rows, a reason over two, sides left empty or dashed."""
+    """Change tables of five pages in parts of 600 rows: a date over three rows, a reason over two, sides left empty or dashed.
+
+    Rows of a page are numbered within blocks of keys, after the counts of the blocks before; the table of counts has a row a page and block.
+    """
     c = t.table(s, d, "customer", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
-    w = Window.partitionBy("page_id").orderBy("c_custkey")
-    c = c.withColumn("page_id", F.col("c_custkey") % 5).withColumn("i", F.row_number().over(w) - 1)
+    c = c.withColumns({"page_id": F.col("c_custkey") % 5, "block": F.expr("c_custkey div 50000")})
+    n = c.groupBy("page_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("page_id", "block", (F.sum("n").over(Window.partitionBy("page_id").orderBy("block")) - F.col("n")).alias("before"))
+    c = c.join(F.broadcast(before), ["page_id", "block"]).withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("page_id", "block").orderBy("c_custkey")) - 1)
+    c = c.withColumn("first", F.col("i") - F.col("i") % 600)
     td = lambda x, attr=F.lit(""): F.concat(F.lit("<td"), attr, F.lit(">"), x, F.lit("</td>"))
     day = F.date_format(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("c_custkey") % 3000).cast("int")), "MMMM d, yyyy")
     date = F.when(F.col("i") % 3 == 0, td(F.concat(F.lit("<b>"), day, F.lit("</b>")), F.lit(' rowspan="3"'))).otherwise("")
@@ -52,7 +58,7 @@ def _s6(s, d):
     gone = F.when(F.col("c_nationkey") % 3 == 0, F.concat(F.lit("R"), "c_custkey")).otherwise("-")
     row = F.concat(F.lit("\n<tr>"), date, td(added), td(F.when(added != "", F.col("c_name")).otherwise("")), td(gone, F.lit(' class="x"')), td(F.col("c_name")), reason, F.lit("</tr>"))
     head = "<html><table id=other><tr><td>no</td></tr></table><table class='w' id=\"changes\"><tr><th rowspan=1>Date</th><th>Ticker</th><th>Security</th><th>Ticker</th><th>Security</th><th>Reason</th></tr>"
-    pages = c.groupBy("page_id").agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", row.alias("row")))), lambda x: x["row"]), ""), F.lit("</table></html>")).alias("html"))
+    pages = c.groupBy("page_id", "first").agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", row.alias("row")))), lambda x: x["row"]), ""), F.lit("</table></html>")).alias("html"))
     return rd.index_change_pages(pages)
 
 

@@ -17,3 +17,20 @@ def test_earnings_bodies_are_parsed_before_their_rows(spark):
     df = rd.earnings_calendar(spark.createDataFrame([("2024-01-02", body)], "date string, body string"))
     assert "from_json" not in above_generate(df) and "body" not in above_generate(df)
     assert [tuple(r) for r in df.select("date", "as_of", "symbol", "lastYearEps").orderBy("symbol").collect()] == [("2024-01-02", "2024-01-02", "A", None), ("2024-01-02", "2024-01-02", "B", "1")]
+
+
+def test_grid_spans_reach_from_run_to_run(spark):
+    rows = "".join(f"<tr>{f'<td rowspan=5>d{i}</td>' if i % 5 == 0 else ''}<td>a{i}</td>{'<td rowspan=2>r</td>' if i % 2 == 0 else ''}</tr>" for i in range(23))
+    df = spark.createDataFrame([(f"<table id='changes'>{rows}</table>",), ("<table id=changes></table>",), ("no",)], "html string")
+    whole, cut, default = (df.select(*[rd.table_grid(F.col("html"), "changes", **how).alias("g")]).collect() for how in ({"run": 1000}, {"run": 3}, {}))
+    assert whole == cut == default
+    assert [r[0] for r in whole[0].g] == [f"d{i - i % 5}" for i in range(23)] and [r[1] for r in whole[0].g] == [f"a{i}" for i in range(23)]
+
+
+def test_change_table_in_parts_is_the_whole_table(spark):
+    head = "<table id=changes><tr><th>Date</th></tr>"
+    row = lambda i: f"<tr><td>2001-01-{i + 1:02}</td><td>A{i}</td><td>n</td><td>-</td><td></td><td>x</td></tr>"
+    whole = spark.createDataFrame([(1, head + "".join(map(row, range(9))) + "</table>")], "page_id long, html string")
+    parts = spark.createDataFrame([(1, k, head + "".join(map(row, range(k, k + 3))) + "</table>") for k in (0, 3, 6)], "page_id long, first long, html string")
+    got = [sorted(tuple(r) for r in rd.index_change_pages(x).collect()) for x in (whole, parts)]
+    assert got[0] == got[1] and [r[1] for r in got[0]] == list(range(1, 10))
