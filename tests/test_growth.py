@@ -1,6 +1,7 @@
 """What keeps a query's cost in step with its input: bodies parsed once, folds by runs, pages in parts, texts read once."""
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -34,3 +35,26 @@ def test_change_table_in_parts_is_the_whole_table(spark):
     parts = spark.createDataFrame([(1, k, head + "".join(map(row, range(k, k + 3))) + "</table>") for k in (0, 3, 6)], "page_id long, first long, html string")
     got = [sorted(tuple(r) for r in rd.index_change_pages(x).collect()) for x in (whole, parts)]
     assert got[0] == got[1] and [r[1] for r in got[0]] == list(range(1, 10))
+
+
+def test_found_words_are_the_words_of_the_patterns(spark):
+    from panelforge.operators import reading as rl
+    from panelforge.operators import text as tx
+
+    lists = [*tx.THEMES.values(), tx.MEDIA, tx.PERSONAL, tx.ONE_DEAL, tx.BROAD, tx.ROUNDUP, tx.ROUNDUP_TOPIC, rl.ANGLE, rl.SUBJECT, rl.QUESTION, rl.ROUTINE, rl.ANALYSIS]
+    whole = [x for words in lists for x in words.split("|") if "[" not in x] + ["trade-off", "trade off"]
+    texts = [t for x in whole for t in (x, x.upper(), f"({x})", f"a{x}", f"{x}s", f"é{x}é", x.replace(" ", "  "), x.replace("k", "K").replace("i", "İ"))]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", " and ".join(whole)]], "t string")
+    low = tx.lowered(F.col("t"))
+    df = tx.behind(df, low=low, found=tx.found_words(low, tx.vocabulary(*lists)))
+    bad = [tx.has_found(F.col("found"), F.col("low"), words) != tx.has_words(F.col("t"), words) for words in lists]
+    bad += [tx.contains_any(F.col("low"), words) != F.col("t").rlike(f"(?i)(?:{words})") for words in (tx.HEADLINE, tx.WALL)]
+    assert [r.t for r in df.where(reduce(lambda a, b: a | b, bad)).collect()] == []
+
+
+def test_filters_on_scored_articles_do_not_read_texts_again(spark):
+    from panelforge.operators import text as tx
+
+    rows = spark.createDataFrame([(1, "oil soars 5% on war", "stock jumps", "", "s", "high", 1.0, True, "u")], "doc_id int, title string, summary string, excerpt string, source string, trust string, age double, since_previous boolean, url string")
+    plan = tx.market_drivers(tx.scored_articles(rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(split(") <= 2
