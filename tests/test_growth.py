@@ -58,3 +58,15 @@ def test_filters_on_scored_articles_do_not_read_texts_again(spark):
     rows = spark.createDataFrame([(1, "oil soars 5% on war", "stock jumps", "", "s", "high", 1.0, True, "u")], "doc_id int, title string, summary string, excerpt string, source string, trust string, age double, since_previous boolean, url string")
     plan = tx.market_drivers(tx.scored_articles(rows))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_intersect(split(") <= 2
+
+
+def test_feed_tags_are_read_once_and_parts_keep_places(spark):
+    from panelforge.operators import text as tx
+
+    item = lambda n: f"<item><title>T{n}</title><link>u{n}</link><description>d{n}</description></item>"
+    whole = spark.createDataFrame([(1, item(0) + item(1) + item(2))], "feed_id long, body string")
+    parts = spark.createDataFrame([(1, 0, item(0) + item(1)), (1, 2, item(2))], "feed_id long, first long, body string")
+    got = [sorted(tuple(r) for r in tx.feed_items(x).collect()) for x in (whole, parts)]
+    assert got[0] == got[1] and [r[1:4] for r in got[0]] == [(n, f"T{n}", f"u{n}") for n in range(3)]
+    plan = tx.feed_items(whole)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</title>") == 1 and plan.count("</description>") == 1
