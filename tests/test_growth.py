@@ -70,3 +70,19 @@ def test_feed_tags_are_read_once_and_parts_keep_places(spark):
     assert got[0] == got[1] and [r[1:4] for r in got[0]] == [(n, f"T{n}", f"u{n}") for n in range(3)]
     plan = tx.feed_items(whole)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("</title>") == 1 and plan.count("</description>") == 1
+
+
+def test_folds_do_not_compute_their_rows_again(spark):
+    from panelforge.operators import model as m
+
+    n = F.col("id") % 5
+    rows = spark.range(200).select(
+        F.date_add(F.lit("2001-01-01").cast("date"), (F.col("id") / 5).cast("int")).alias("date"), F.concat(F.lit("S"), n.cast("string")).alias("symbol"), F.lit("x").alias("sector"),
+        n.cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (n / 10).alias("outcome"), n.cast("int").alias("grade"),
+    )
+    day = F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int")).alias("date")
+    folds = spark.range(40).select((F.col("id") % 2 + 1).alias("fold"), F.when(F.col("id") < 30, "train").otherwise("test").alias("split"), day)
+    got = m.fold_predictions(rows, folds, {"both": {"features": ["a", "b"], "trees": 1}, "one": {"features": ["a"], "trees": 1}})
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.groupBy("strategy", "fold").count().collect())) == [("both", 1, 25), ("both", 2, 25), ("one", 1, 25), ("one", 2, 25)]
+    assert got.where(F.abs(F.col("score") - F.col("grade")) > 1e-6).isEmpty()
