@@ -86,3 +86,39 @@ def test_folds_do_not_compute_their_rows_again(spark):
     assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.groupBy("strategy", "fold").count().collect())) == [("both", 1, 25), ("both", 2, 25), ("one", 1, 25), ("one", 2, 25)]
     assert got.where(F.abs(F.col("score") - F.col("grade")) > 1e-6).isEmpty()
+
+
+def most_joined(spark, run):
+    """The most rows that a join of the queries of `run()` made."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    most, done = 0, store.executionsList()
+    for i in range(before, done.size()):
+        at = done.apply(i).executionId()
+        nodes, values = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for n in (nodes.apply(j) for j in range(nodes.size())):
+            for m in (n.metrics().apply(j) for j in range(n.metrics().size()) if "Join" in n.name()):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_an_identifiers_labels_do_not_meet_every_question(spark):
+    from panelforge.operators import identity as idy
+
+    day = lambda i: F.date_add(F.lit("2001-01-01").cast("date"), i)
+    name = F.concat(F.lit("A"), F.col("id").cast("string"))
+    isin = F.concat(F.lit("I"), (F.col("id") % 1).cast("string"))
+    securities = spark.range(100).select(name.alias("label"), day(F.lit(0)).alias("start"), F.lit(None).cast("date").alias("end"))
+    asked = spark.range(400).select(F.concat(F.lit("A"), (F.col("id") % 100).cast("string")).alias("symbol"), isin.alias("isin"), day((F.col("id") / 100).cast("int")).alias("date"))
+    asked = asked.union(spark.sql("SELECT 'none', 'I0', date'2001-01-02' UNION ALL SELECT 'none', CAST(NULL AS STRING), date'2001-01-02' UNION ALL SELECT CAST(NULL AS STRING), 'I0', date'2001-01-02' UNION ALL SELECT 'A1', 'J', date'2001-01-02' UNION ALL SELECT 'A1', 'I0', date'2000-01-02'"))
+    renames = spark.createDataFrame([("A1", "B1")], "old string, new string")
+    got = []
+    most = most_joined(spark, lambda: got.extend(idy.resolve_identities(asked, securities, renames, spark.range(100).select(isin.alias("isin"), name.alias("label"))).collect()))
+    assert 0 < most <= 500
+    assert len(got) == 405 and sum(r.security == r.symbol is not None for r in got) == 401
+    rest = {(r.symbol, r.isin, str(r.date)): (len(r.candidates), r.security) for r in got if r.security is None}
+    assert rest == {("none", "I0", "2001-01-02"): (100, None), ("none", None, "2001-01-02"): (0, None), (None, "I0", "2001-01-02"): (100, None), ("A1", "I0", "2000-01-02"): (0, None)}
