@@ -27,6 +27,8 @@ REACH, WINDOW = LENGTH - GRAM, LENGTH - GRAM + 1
 CHUNK, OVERLAP = 1 << 19, 512
 #: Anchors with more classes than this are settled by window hashes instead, which no group has to be gathered for.
 GROUP = 16384
+#: Groups of more occurrences that may lie in a repeat are scanned by arrays.
+FEW = 24
 NO_ID = -(1 << 63)
 
 
@@ -213,6 +215,45 @@ def promising(left: list[bytes], right: list[bytes], least: int = LENGTH) -> lis
     return [g for g, x in enumerate(room) if x >= least]
 
 
+def _least(lcp: np.ndarray) -> list[np.ndarray]:
+    """Minima of runs of 2^k values, by k and first value."""
+    out = [lcp]
+    while len(out[-1]) > 1 << (len(out) - 1):
+        half = 1 << (len(out) - 1)
+        out.append(np.minimum(out[-1][:-half], out[-1][half:]))
+    return out
+
+
+def reach(left: list[bytes], right: list[bytes], least: int = LENGTH) -> dict[int, tuple[int, int]]:
+    """(bytes before, bytes from the anchor) that the maximal repeats of `least` bytes or more cover of each occurrence that lies in one.
+
+    The same scan as in `maximal_repeats`, without its lists: the left contexts are sorted once, and a run of the suffix array
+    takes their common prefixes from the least of the range between its members' ranks. A run of which all lie in one child
+    adds nothing to what the child has given.
+    """
+    order, by_left = (sorted(range(len(x)), key=x.__getitem__) for x in (right, left))
+    lcp = [shared(right[a], right[b]) for a, b in zip(order, order[1:], strict=False)]
+    table = _least(np.array([shared(left[a], left[b]) for a, b in zip(by_left, by_left[1:], strict=False)]))
+    rank = np.empty(len(left), dtype=np.int64)
+    rank[by_left] = np.arange(len(left))
+    ranks = rank[order]
+    x, y, there = (np.zeros(len(left), dtype=kind) for kind in (np.int64, np.int64, bool))  # by rank
+    for length, first, last in prefix_intervals(lcp):
+        inside = np.sort(ranks[first : last + 1])
+        width = np.frexp(np.diff(inside))[1] - 1
+        common = np.empty(len(width), dtype=np.int64)
+        for k in np.flatnonzero(np.bincount(width)):
+            own = np.flatnonzero(width == k)
+            common[own] = np.minimum(table[k][inside[own]], table[k][inside[own + 1] - (1 << k)])
+        most = np.maximum(np.append(common, 0), np.append(0, common))
+        hit = most + length >= least
+        inside, most = inside[hit], most[hit]
+        there[inside] = True
+        x[inside] = np.maximum(x[inside], most)
+        y[inside] = np.maximum(y[inside], length)
+    return {by_left[r]: (int(x[r]), int(y[r])) for r in np.flatnonzero(there).tolist()}
+
+
 _SPAN = "doc_id long, th long, a long, b long"
 
 
@@ -231,6 +272,9 @@ def _group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 best = {}
                 some = promising(left[at : at + n], after[at : at + n])
+                if len(some) > FEW:
+                    best = {some[k]: xy for k, xy in reach([left[at + g] for g in some], [after[at + g] for g in some]).items()}
+                    some = []
                 for x, y, group in maximal_repeats([left[at + g] for g in some], [after[at + g] for g in some]) if len(some) > 1 else ():
                     for g in (some[k] for k in group):
                         old = best.get(g)

@@ -427,6 +427,29 @@ def test_maximal_repeats_by_hand():
     assert sorted((a, b, sorted(g)) for a, b, g in substring_dedup.maximal_repeats(left, right, 4)) == [(2, 3, [0, 1, 2]), (5, 5, [0, 1])]
 
 
+def test_scan_by_arrays_covers_what_the_maximal_repeats_cover(monkeypatch):
+    rng = random.Random(1)
+    draw = lambda of, least, most: "".join(rng.choice(of) for _ in range(rng.randint(least, most))).encode()
+    for _ in range(300):
+        n, of, least = rng.randint(2, 30), rng.choice(["ab", "abc", "a"]), rng.randint(3, 9)
+        left, right = [draw(of, 0, 8) for _ in range(n)], [draw(of, 1, 9) for _ in range(n)]
+        want = {}
+        for x, y, group in substring_dedup.maximal_repeats(left, right, least):
+            for g in group:
+                want[g] = (max(x, want.get(g, (0, 0))[0]), max(y, want.get(g, (0, 0))[1]))
+        assert substring_dedup.reach(left, right, least) == want
+    # near copies lie in nested runs, which were listed whole each
+    base, sizes, whole = draw("abcdefgh", 360, 360), [], substring_dedup.maximal_repeats
+    texts = [base[:k] + b"x" + base[k + 1 :] for k in range(205, 305)]
+    monkeypatch.setattr(substring_dedup, "maximal_repeats", lambda left, right: sizes.append(len(left)) or whole(left, right))
+    pa = substring_dedup.pa
+    kind = pa.struct([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int64()), ("single", pa.bool_()), ("before", pa.binary()), ("after", pa.binary())])
+    members = pa.array([[{"doc_id": i, "th": i, "pos": 160, "single": True, "before": t[:160], "after": t[160:]} for i, t in enumerate(texts)]], pa.list_(kind))
+    (spans,) = substring_dedup._group_spans([pa.RecordBatch.from_arrays([members], ["members"])])
+    assert sorted(spans.column(0).to_pylist()) == list(range(100)) and set(spans.column(2).to_pylist()) == {0}
+    assert dict(zip(spans.column(0).to_pylist(), spans.column(3).to_pylist(), strict=True))[0] == 205 and not sizes
+
+
 def test_quality_rules(docs, rows, empty):
     got = quality_rules.quality_rules(docs).collect()
     assert len(got) == len(rows)
