@@ -34,6 +34,8 @@ from panelforge.llm.common import forget, written
 
 VOCABULARY, DISCOUNTED, PART_TOKENS, BATCH, SLICE = 1 << 20, 5, 1_000_000, 8192, 1 << 22
 BITS, DOC_BITS = 21, 13
+#: Tokens of a part whose sums are taken at a time.
+CHUNK = 1 << 17
 #: Numbers beside those of words: the end of a text, its start (a history only). Codes of words without a number have FLAG set.
 END, START, FLAG = (1 << BITS) - 2, (1 << BITS) - 3, 1 << 62
 END_HASH = -1
@@ -230,8 +232,9 @@ class Part:
 
     def __init__(self, code: np.ndarray, doc: np.ndarray, times: np.ndarray, batches: np.ndarray, wide: list[np.ndarray]):
         self.code, self.narrow, self.wide, self.batches = code, (doc, times), wide, batches
-        new = np.diff(code, prepend=-1) > 0
-        bigrams, at = code[new], np.cumsum(new) - 1
+        new = np.append(True, code[1:] > code[:-1])[: len(code)]
+        bigrams, at = code[new], np.cumsum(new, dtype=np.int32)
+        at -= 1
         hw, ww, cw, dw, tw = wide
         order = np.lexsort((ww, hw))
         hw, ww, cw, dw, tw = (x[order] for x in (hw, ww, cw, dw, tw))
@@ -239,26 +242,58 @@ class Part:
         self.h = np.concatenate([bigrams >> BITS, hw[new]])
         self.w = np.concatenate([bigrams & ((1 << BITS) - 1), ww[new]])
         self.other = np.concatenate([np.zeros(len(bigrams), dtype=np.int64), cw[new]])
-        self.at = np.concatenate([at, len(bigrams) + np.cumsum(new) - 1]).astype(np.int64)
-        self.doc, self.times = np.concatenate([doc, dw]).astype(np.int64), np.concatenate([times, tw]).astype(np.int64)
-        self.count = np.bincount(self.at, weights=self.times * ((self.doc & _TRAIN) > 0), minlength=len(self.h)).astype(np.int64)
+        self.at = np.concatenate([at, (len(bigrams) + np.cumsum(new) - 1).astype(np.int32)])
+        del at
+        self.doc, self.times = (np.concatenate([doc, dw]), np.concatenate([times, tw.astype(times.dtype)])) if len(dw) else (doc, times)
+        self.count = np.zeros(len(self.h), dtype=np.int64)
+        for own in self.chunks():
+            # places rise along the tokens, so a chunk has a range of them
+            at = self.at[own]
+            counted = np.bincount(at - at[0], weights=self.times[own] * ((self.doc[own] & _TRAIN) > 0))
+            self.count[at[0] : at[0] + len(counted)] += counted.astype(np.int64)
+
+    def chunks(self) -> Iterator[slice]:
+        return (slice(lo, lo + CHUNK) for lo in range(0, len(self.at), CHUNK))
+
+    def by_document(self, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ordinal of the batch and row in it, sum of the logs of its tokens) of each document, from those of the bigrams."""
+        own = self.doc >> (DOC_BITS + 1)
+        own <<= DOC_BITS
+        for chunk in self.chunks():
+            own[chunk] |= self.doc[chunk] & _DOC
+        own.sort()
+        docs = own[np.append(True, own[1:] > own[:-1])[: len(own)]]
+        del own
+        added = np.zeros(len(docs))
+        for chunk in self.chunks():
+            key, x = ((self.doc[chunk] >> (DOC_BITS + 1)) << DOC_BITS) | (self.doc[chunk] & _DOC), self.times[chunk] * logs[self.at[chunk]]
+            key, at = np.unique(key, return_inverse=True)
+            added[np.searchsorted(docs, key)] += np.bincount(at, weights=x)
+        return docs, added
 
     @classmethod
     def gathered(cls, rows: pd.DataFrame, few: pd.DataFrame) -> "Part":
         """From the blocks of all batches and the rows of words without a number."""
-        code, doc, times, batches = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], []
+        code, doc, times, batches = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype="<u4")], []
         for n, entries, ids in zip(rows["n"], rows["entries"], rows["batches"], strict=True):
             step, d, t = _unpack(entries, n, *_ENTRIES)
             code.append(np.cumsum(step))
             doc.append(d.astype(np.int64) + (len(batches) << (DOC_BITS + 1)))
             times.append(t)
             batches += np.frombuffer(ids, dtype="<i8").tolist()
-        code, doc, times = np.concatenate(code), np.concatenate(doc), np.concatenate(times).astype(np.int64)
+        # one column after the other, so that each is held once
+        code = np.concatenate(code)
+        doc = np.concatenate(doc)
+        times = np.concatenate(times)
         order = np.argsort(code, kind="stable")
+        code = code[order]
+        doc = doc[order]
+        times = times[order]
+        del order
         own, ordinal = np.unique(few["batch"].to_numpy(dtype=np.int64), return_inverse=True)
         dw = ((ordinal + len(batches)) << (DOC_BITS + 1)) | few["doc"].to_numpy(dtype=np.int64) | np.where(few["train"].to_numpy(dtype=bool), _TRAIN, 0)
         wide = [few["h"].to_numpy(dtype=np.int64), few["w"].to_numpy(dtype=np.int64), few["c"].to_numpy(dtype=np.int64), dw, few["times"].to_numpy(dtype=np.int64)]
-        return cls(code[order], doc[order], times[order], np.array([*batches, *own.tolist()], dtype="<i8"), wide)
+        return cls(code, doc, times, np.array([*batches, *own.tolist()], dtype="<i8"), wide)
 
     def packed(self) -> tuple[int, bytes, bytes, int, bytes]:
         kinds = [x.astype(k) for x, k in zip(self.wide, _WIDE, strict=True)]
@@ -266,8 +301,12 @@ class Part:
 
     @classmethod
     def unpacked(cls, n: int, entries: bytes, batches: bytes, m: int, wide: bytes) -> "Part":
+        """To be scored: without the columns that only `packed` needs."""
         step, doc, times = _unpack(entries, n, *_ENTRIES)
-        return cls(np.cumsum(step), doc.astype(np.int64), times.astype(np.int64), np.frombuffer(batches, dtype="<i8"), [x.astype(np.int64) for x in _unpack(wide, m, *_WIDE)])
+        step = np.cumsum(step)
+        part = cls(step, doc.view(np.int64), times, np.frombuffer(batches, dtype="<i8"), [x.astype(np.int64) for x in _unpack(wide, m, *_WIDE)])
+        part.code = part.narrow = part.wide = None
+        return part
 
     def sums(self, u: Unigrams) -> pd.DataFrame:
         """By history: bigrams by count 1..DISCOUNTED, tokens of larger counts, all tokens, and the unigram mass of its words."""
@@ -304,15 +343,18 @@ def weights(sums: pd.DataFrame, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return below, np.where(free > 1e-12, left / np.maximum(free, 1e-12), 1.0)
 
 
-def _score_part(batches: Iterator[pd.DataFrame], shared, d: np.ndarray, hot: pd.DataFrame | None, buckets: int) -> Iterator[pd.DataFrame]:
+_SCORED = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("n", pa.int64()), ("sums", pa.binary())])
+
+
+def _score_part(batches: Iterator[pa.RecordBatch], shared, d: np.ndarray, hot: pd.DataFrame | None, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, batch, n, sums): what a part adds to the documents of each batch, packed; keys of batches pass (no sums)."""
     u, _ = Unigrams.shared(shared)
-    for pdf in batches:
-        for i in range(len(pdf)):
-            row = pdf.iloc[i]
+    for b in batches:
+        for i in range(b.num_rows):
+            row = b.slice(i, 1).to_pylist()[0]
             if row["part"] < 0:
                 batch = int.from_bytes(row["batches"], "little")
-                yield pd.DataFrame({"bucket": [batch % buckets], "batch": [batch], "n": [-row["n"]], "sums": [row["entries"]]})
+                yield pa.RecordBatch.from_pydict({"bucket": [batch % buckets], "batch": [batch], "n": [-row["n"]], "sums": [row["entries"]]}, _SCORED)
                 continue
             part = Part.unpacked(row["n"], row["entries"], row["batches"], row["m"], row["wide"])
             if not len(part.h):
@@ -322,18 +364,17 @@ def _score_part(batches: Iterator[pd.DataFrame], shared, d: np.ndarray, hot: pd.
             known = sums["h"].to_numpy().astype(np.int64)
             at = np.minimum(np.searchsorted(known, part.h), max(len(known) - 1, 0))
             there = known[at] == part.h if len(known) else np.zeros(len(part.h), dtype=bool)
-            a, b = (np.where(there, x[at], 1.0) if len(known) else np.ones(len(part.h)) for x in (alpha, below))
+            over, under = (np.where(there, x[at], 1.0) if len(known) else np.ones(len(part.h)) for x in (alpha, below))
             c = part.count
-            star = np.where(c <= DISCOUNTED, d[np.minimum(c, DISCOUNTED)], 1.0) * c / b
-            p = np.where(c > 0, star, a * u.p(u.count(part.w, part.other)))
-            own = ((part.doc >> (DOC_BITS + 1)) << DOC_BITS) | (part.doc & _DOC)
-            docs, at = np.unique(own, return_inverse=True)
-            added = np.bincount(at, weights=part.times * np.log10(p)[part.at])
+            star = np.where(c <= DISCOUNTED, d[np.minimum(c, DISCOUNTED)], 1.0) * c / under
+            logs = np.log10(np.where(c > 0, star, over * u.p(u.count(part.w, part.other))))
+            del at, there, over, under, star
+            docs, added = part.by_document(logs)
             ordinal = docs >> DOC_BITS
             groups = np.split(np.arange(len(docs)), np.flatnonzero(np.diff(ordinal)) + 1)
             batch = [int(part.batches[ordinal[g[0]]]) for g in groups]
-            yield pd.DataFrame({"bucket": [x % buckets for x in batch], "batch": batch, "n": [len(g) for g in groups],
-                                "sums": [_pack((docs[g] & _DOC).astype("<u2"), added[g].astype("<f8")) for g in groups]})
+            yield pa.RecordBatch.from_pydict({"bucket": [x % buckets for x in batch], "batch": batch, "n": [len(g) for g in groups],
+                                              "sums": [_pack((docs[g] & _DOC).astype("<u2"), added[g].astype("<f8")) for g in groups]}, _SCORED)
 
 
 def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -429,7 +470,7 @@ def katz_scores(docs: DataFrame, held_out, vocabulary: int = VOCABULARY, part_to
     keys = written(requests.where("part < 0").select(*_NAMES))
     forget(requests)
     keys = keys.select(*_NAMES, F.lit(0).cast("long").alias("m"), F.lit(None).cast("binary").alias("wide"))
-    scored = bigrams.select(*_NAMES, "m", "wide").unionByName(keys).mapInPandas(lambda b: _score_part(b, shared, d, hot, parts), "bucket long, batch long, n long, sums binary")
+    scored = bigrams.select(*_NAMES, "m", "wide").unionByName(keys).mapInArrow(lambda b: _score_part(b, shared, d, hot, parts), "bucket long, batch long, n long, sums binary")
     scores = scored.groupBy("bucket").applyInPandas(lambda pdf: _add_up(pdf), "key long, part_score double").groupBy("key").agg(F.sum("part_score").alias("total_score"))
 
     described = rows.mapInArrow(lambda b: _describe(b, shared), "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, rare array<struct<word:long,times:long>>")

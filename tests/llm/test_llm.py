@@ -8,6 +8,8 @@ import itertools
 import math
 import os
 import random
+import tracemalloc
+import types
 import zlib
 
 import pytest
@@ -374,6 +376,26 @@ def test_katz(docs, rows, empty):
     assert katz.katz_scores(empty, rule).count() == 0
 
 
+def test_katz_memory_of_a_part():
+    """Scoring a part holds few columns of its tokens at a time."""
+    rng, n, np = katz.np.random.default_rng(1), 400_000, katz.np
+    u = katz.Unigrams(np.sort(rng.integers(0, 1 << 60, 5000)), rng.integers(1, 1000, 5000), 10**7, 5001, {r: 5000 // r for r in range(1, 7)}, 1000)
+    code = np.sort((rng.integers(0, 1000, n) << katz.BITS) | (rng.zipf(1.3, n) % 5000))
+    doc = rng.integers(0, 8000, n) | (rng.integers(0, 60, n) << (katz.DOC_BITS + 1)) | np.where(rng.random(n) < 0.8, katz._TRAIN, 0)
+    entries, wide = katz._block(code, doc, rng.integers(1, 3, n)), katz._pack(*[np.zeros(0, dtype=k) for k in katz._WIDE])
+    row = {"part": [3], "hot": [False], "n": [n], "entries": [entries], "batches": [np.arange(60, dtype="<i8").tobytes()], "m": [0], "wide": [wide]}
+    shared = types.SimpleNamespace(value=(vars(u), np.zeros(0, dtype=np.int64)))
+    rows = katz.pa.RecordBatch.from_pydict(row)
+    del code, doc
+    tracemalloc.start()
+    try:
+        out = list(katz._score_part(iter([rows]), shared, katz.good_turing({1: 9, 2: 4, 3: 2, 4: 1, 5: 1, 6: 1}), None, 7))
+        assert tracemalloc.get_traced_memory()[1] < 80 * n
+    finally:
+        tracemalloc.stop()
+    assert out[-1].num_rows == 60
+
+
 def test_katz_ties_and_no_training_text(spark):
     """Twenty texts of words that occur once, under a cap they all tie at; and nothing to learn from."""
     rows = [(i, " ".join(f"w{i}x{k}" for k in range(10))) for i in range(20)]
