@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import durable, word_count, written
+from panelforge.llm.common import durable, to_join, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_COPIES, BLOCK = 1.5, 2.0, 4096
@@ -124,6 +124,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     sources = durable(source_targets(ranked_sources(sources, weights), share, most))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     s = sources.select(F.col("source").alias("s_source"), "source_size", "source_docs", "target", ratio.alias("ratio"))
+    n_sources = sources.count()
+    s = to_join(s, n_sources)
     chosen = sizes.drop(*carried).join(s, F.col("source").eqNullSafe(F.col("s_source"))).select(
         "rid", "doc_id", "source", "size", "source_docs", (F.col("ratio") - F.floor("ratio")).alias("chance"),
         F.xxhash64(F.lit(seed), "doc_id", "size", "th").alias("h"),
@@ -145,12 +147,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
             break
         left = moved.where("chance > 0 and chance < 1").drop("source_docs")
         counts = left.groupBy(F.col("source").alias("c_source")).agg(F.count(F.lit(1)).alias("source_docs"))
-        open_ = left.join(counts, F.col("source").eqNullSafe(F.col("c_source"))).drop("c_source")
+        open_ = left.join(to_join(counts, n_sources), F.col("source").eqNullSafe(F.col("c_source"))).drop("c_source")
         level += 1
     extra = picked[0]
     for more in picked[1:]:
         extra = extra.union(more)
-    out = sizes.join(s, F.col("source").eqNullSafe(F.col("s_source"))).join(extra.withColumn("one", F.lit(1)), "rid", "left")
+    out = sizes.join(s, F.col("source").eqNullSafe(F.col("s_source"))).join(to_join(extra.withColumn("one", F.lit(1))), "rid", "left")
     copies = (F.floor("ratio") + F.coalesce("one", F.lit(0))).cast("long")
     return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
                       *[F.col(n).alias(c) for n, c in zip(carried, keep or [], strict=True)])

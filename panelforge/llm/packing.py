@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import durable, word_count, written
+from panelforge.llm.common import durable, to_join, word_count, written
 
 BUCKETS, BUDGET = 16, 32768
 
@@ -87,7 +87,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col:
     offsets = counts.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = Window.partitionBy("bucket", "slice").orderBy("h", "doc_id", "length", "rid")
     bound = F.element_at(F.lit(bounds), F.col("bucket") + 1).cast("long")
-    ranked = placed.withColumn("place", F.row_number().over(inside)).join(offsets, ["bucket", "slice"])
+    ranked = placed.withColumn("place", F.row_number().over(inside)).join(to_join(offsets, slices * len(bounds)), ["bucket", "slice"])
     ranked = ranked.select("doc_id", "length", "bucket", bound.alias("bucket_length"), (F.col("offset") + F.col("place") - 1).alias("ix"))
     fits = F.greatest(F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1))), F.lit(1))
     return ranked.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import BLANKS, durable, words, written
+from panelforge.llm.common import BLANKS, durable, to_join, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -67,7 +67,7 @@ def features(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
 
 
 def host_verdicts(rated: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, host_docs, host_rate, host_ok) from rows of (host, base_failed).
+    """(v_host, host_docs, host_rate, host_ok), as a side of a join, from rows of (host, base_failed).
 
     The prior of the failure rate is Beta(m*s, (1-m)*s): m and s by moments from all hosts' rates, weighted by
     their documents; s is at least 2. A host's rate is shrunk to (failed + m*s) / (docs + s).
@@ -80,7 +80,7 @@ def host_verdicts(rated: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     between = max((squares or 0.0) / total - mean * mean - mean * (1 - mean) * (n or 1) / total, 1e-9)
     strength = max(mean * (1 - mean) / between - 1, 2.0)
     shrunk = (F.col("failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.select("host", "host_docs", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_ok"))
+    return to_join(hosts.select(F.col("host").alias("v_host"), "host_docs", shrunk.alias("host_rate"), (shrunk <= limit).alias("host_ok")), n)
 
 
 def quality_rules(docs: DataFrame, limit: float = HOST_LIMIT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -91,7 +91,7 @@ def quality_rules(docs: DataFrame, limit: float = HOST_LIMIT, id_col: str = "doc
     hosts are aggregated before they are joined back.
     """
     base = written(features(docs, F.col(text_col), [F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host")]))
-    verdicts = host_verdicts(base, limit).withColumnRenamed("host", "v_host")
+    verdicts = host_verdicts(base, limit)
     out = base.join(verdicts, F.col("host").eqNullSafe(F.col("v_host")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & F.col("host_ok")).alias("kept"), "host_rate")
@@ -111,8 +111,7 @@ def stage_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     whole = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rated = written(features(docs, F.col("text"), [*whole, F.col("source").cast("string").alias("host")]).select(*[f"c{i}" for i in range(len(whole))], "host", "base_failed"))
-    verdicts = host_verdicts(rated).where("host_ok").select(F.col("host").alias("v_host"))
-    kept = rated.where("not base_failed").join(verdicts, F.col("host").eqNullSafe(F.col("v_host")), "left_semi")
+    kept = rated.where("not base_failed").join(host_verdicts(rated), F.col("host").eqNullSafe(F.col("v_host"))).where("host_ok")
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

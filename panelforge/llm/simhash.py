@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import connected_components, durable, written
+from panelforge.llm.common import connected_components, durable, forget, joined_up, to_join, written
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 POSTING = 2048
@@ -22,6 +22,8 @@ STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BYTES, STAGE_BITS = 5, 0.8, 32, 52
 #: Lists that share all the bytes the count filter asks for and are longer than this are dealt into parts of this size, every two
 #: of which meet in a task.
 CHUNK = 1 << 14
+#: Candidate pairs an entry of a list, up to which the stage takes all of them at once.
+MOST_PAIRS = 8
 
 
 def _quads() -> list[tuple[int, ...]]:
@@ -139,12 +141,31 @@ def forest(fp: np.ndarray, least_bytes: int, most_bits: int, first: int = 0) ->
     return edges
 
 
-def _linker(index: Index):
+def all_pairs(fp: np.ndarray, least_bytes: int, most_bits: int, most: int | None = None, group: np.ndarray | None = None) -> Iterator[list[tuple[int, int]]]:
+    """The links of each row with later ones of other groups, as pairs of rows; an empty list in place of the rest once there are over `most`."""
+    found = 0
+    for at in range(len(fp) - 1):
+        x = fp[at + 1 :] ^ fp[at]
+        near = (x == 0).sum(axis=1) >= least_bytes
+        if group is not None:
+            near &= group[at + 1 :] != group[at]
+        near[near] = np.bitwise_count(x[near]).sum(axis=1) <= most_bits
+        later = (at + 1 + np.flatnonzero(near)).tolist()
+        found += len(later)
+        if most is not None and found > most:
+            yield []
+            return
+        if later:
+            yield [(at, k) for k in later]
+
+
+def _linker(index: Index, whole: bool = False):
+    """Edges of lists (key, at, entries); with `whole` all pairs of a list of MOST_PAIRS an entry or fewer, and the key of others as `cut`."""
     width, least, most = index.width, index.least_bytes, index.most_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(1)
+            lists = b.column(2)
             flat = lists.flatten()
             fp = np.frombuffer(b"".join(flat.field(0).to_pylist()), dtype=np.uint8).reshape(-1, width)
             node = flat.field(1).to_numpy(zero_copy_only=False)
@@ -153,25 +174,47 @@ def _linker(index: Index):
             two = np.flatnonzero(sizes == 2)
             x = fp[starts[two]] ^ fp[starts[two] + 1]
             near = two[((x == 0).sum(axis=1) >= least) & (np.bitwise_count(x).sum(axis=1, dtype=np.int64) <= most)]
-            left, right = [node[starts[near]]], [node[starts[near] + 1]]
+            left, right, cut = [node[starts[near]]], [node[starts[near] + 1]], [None] * len(near)
             for i in np.flatnonzero(sizes > 2):
-                at, n = starts[i], sizes[i]
-                edges = forest(fp[at : at + n], least, most, int(b.column(0)[i].as_py()) % n)
+                at, n, key = starts[i], sizes[i], None
+                found = list(all_pairs(fp[at : at + n], least, most, MOST_PAIRS * n)) if whole else [[]]
+                edges = [e for some in found for e in some]
+                if found and not found[-1]:
+                    edges = forest(fp[at : at + n], least, most, int(b.column(1)[i].as_py()) % n)
+                    key = b.column(0)[i].as_py()
                 left.append(node[at + np.array([e[0] for e in edges], dtype=np.int64)])
                 right.append(node[at + np.array([e[1] for e in edges], dtype=np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (left, right)], ["a", "b"])
+                cut += [key] * len(edges)
+            ends = [pa.array(np.concatenate(c).astype(np.int64)) for c in (left, right)]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(cut, pa.int64())], ["a", "b", "cut"])
+
+    return run
+
+
+def _between(index: Index):
+    """All links between entries (fp, node, c) of a list that are of two components, a part of rows at a time."""
+    width, least, most = index.width, index.least_bytes, index.most_bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for entries in b.column(0):
+                flat = entries.values
+                fp = np.frombuffer(b"".join(flat.field(0).to_pylist()), dtype=np.uint8).reshape(-1, width)
+                node, c = (flat.field(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+                for some in all_pairs(fp, least, most, group=c):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[[e[k] for e in some]], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _linked(posted: DataFrame, index: Index) -> DataFrame:
+def _linked(posted: DataFrame, index: Index, whole: bool = False) -> DataFrame:
     """Edges of lists `posted(key, fp, node)`, each of a bounded length, found in a task."""
     lists = posted.groupBy("key").agg(F.collect_list(F.struct("fp", "node")).alias("entries"))
-    return lists.select(F.abs(F.xxhash64("key")).alias("at"), "entries").mapInArrow(_linker(index), "a long, b long")
+    return lists.select("key", F.abs(F.xxhash64("key")).alias("at"), "entries").mapInArrow(_linker(index, whole), "a long, b long, cut long")
 
 
-def links(entries: DataFrame, index: Index) -> DataFrame:
-    """Edges (a, b) of `entries(fp binary, node long)`, one row per node: spanning forests of the links in each posting list.
+def _lists(entries: DataFrame, index: Index) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables `(key, fp, node)` of lists of a bounded length, in which all entries meet that may be linked, and the written tables they read.
 
     An entry is posted under each key, a tuple of positional bytes. A list of `posting` entries or fewer goes
     to one task, where the shared bytes of its pairs are tallied. Longer lists are refined by one more byte of each other
@@ -182,28 +225,45 @@ def links(entries: DataFrame, index: Index) -> DataFrame:
     byte = lambda p: F.substr("fp", p + 1, F.lit(1))
     keys = [F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(i), *[byte(F.lit(p)) for p in k]).alias("key")) for i, k in enumerate(index.keys)]
     posted = entries.select("fp", "node", F.explode(F.array(*keys)).alias("k")).select("k.i", F.lit(-1).alias("p"), "k.key", "fp", "node")
-    out = []
+    out, read = [], []
     for depth in range(len(index.keys[0]), index.least_bytes + 1):
-        posted = durable(posted)
-        sized = posted.join(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+        posted = written(posted)
+        counts = written(posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        read += [posted, counts]
+        # as many rows as the postings have keys, which no plan can tell
+        sized = posted.join(to_join(counts), "key")
         last = depth == index.least_bytes
-        short = sized.where(F.col("n") <= (index.chunk if last else index.posting)).select("key", "fp", "node")
-        out.append(_linked(short, index))
-        long_ = sized.where(F.col("n") > (index.chunk if last else index.posting))
+        longest = index.chunk if last else index.posting
+        out.append(sized.where(F.col("n") <= longest).select("key", "fp", "node"))
+        if counts.where(F.col("n") > longest).isEmpty():
+            break
+        long_ = sized.where(F.col("n") > longest)
         if last:
             parts = F.ceil(F.col("n") / F.lit(index.chunk)).cast("int")
             dealt = long_.select("key", "fp", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("at"))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("at != other")
-            out.append(_linked(dealt.select(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other")).alias("key"), "fp", "node"), index))
-        elif long_.isEmpty():
-            break
+            out.append(dealt.select(F.xxhash64("key", F.least("at", "other"), F.greatest("at", "other")).alias("key"), "fp", "node"))
         else:
             others = F.filter(F.element_at(F.lit(index.others), F.col("i") + 1), lambda o: o > F.col("p"))
             posted = long_.withColumn("p", F.explode(others)).select("i", "p", F.xxhash64("key", "p", byte(F.col("p"))).alias("key"), "fp", "node")
-    edges = out[0]
-    for more in out[1:]:
-        edges = edges.union(more)
-    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return out, read
+
+
+def _edges(lists: list[DataFrame], index: Index, whole: bool = False) -> DataFrame:
+    """(a, b, cut) of all lists, written."""
+    edges = _linked(lists[0], index, whole)
+    for more in lists[1:]:
+        edges = edges.union(_linked(more, index, whole))
+    return written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cut").distinct())
+
+
+def links(entries: DataFrame, index: Index) -> DataFrame:
+    """Edges (a, b) of `entries(fp binary, node long)`, one row per node: spanning forests of the links in each posting list (see `_lists`)."""
+    lists, read = _lists(entries, index)
+    edges = _edges(lists, index)
+    for table in read:
+        forget(table)
+    return edges.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", posting: int = POSTING) -> DataFrame:
@@ -236,6 +296,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["node", "hs"])
 
 
+def _alike(edges: DataFrame, rows: DataFrame) -> DataFrame:
+    """The edges (a, b) whose texts, `rows(node, digest, text)`, have the similarity wanted; written."""
+    ends = durable(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
+    texts = rows.join(to_join(ends, ends.count()), "node").dropDuplicates(["digest"]).select("node", "text")
+    sets = written(texts.mapInArrow(_sets, "node long, hs binary"))
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
+    out = written(both.select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long"))
+    forget(ends)
+    forget(sets)
+    return out
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -251,23 +323,35 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts link at a similarity of STAGE_SIMILARITY or more of their sets of five-word shingles (texts without
     a word are one class): candidates come from the index over 256-bit SimHashes and are verified on whole
-    shingle sets. The row kept of a component is the one with the smallest id (null last), ties by digest.
+    shingle sets, each of them whose ends are not in one component yet. The row kept of a component is the one with the smallest id (null last), ties by digest.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), text.alias("text"))
     prints = written(rows.mapInArrow(_wide_fingerprints, "doc_id long, digest string, fp binary").distinct())
     node = F.xxhash64("digest")
-    edges = durable(links(prints.select(node.alias("node"), "fp").distinct(), STAGE))
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    texts = rows.select(node.alias("node"), "digest", "text").join(ends, "node").dropDuplicates(["digest"]).select("node", "text")
-    sets = durable(texts.mapInArrow(_sets, "node long, hs binary"))
-    both = edges.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("hb")), "b")
-    components = connected_components(both.select("a", "b", "ha", "hb").mapInArrow(_similar, "a long, b long"))
+    lists, read = _lists(prints.select(node.alias("node"), "fp").distinct(), STAGE)
+    texts = rows.select(node.alias("node"), "digest", "text")
+    edges = _edges(lists, STAGE, whole=True)
+    components = connected_components(_alike(edges.select("a", "b").distinct(), texts))
+    cut = edges.select(F.col("cut").alias("key")).where("key is not null").distinct()
+    if not cut.isEmpty():
+        # a forest's edges may be found unlike where two others of the list are alike: all that is not in one component yet meets
+        top = components.select(F.col("id").alias("node"), "component")
+        entries = lists[0]
+        for more in lists[1:]:
+            entries = entries.union(more)
+        entries = entries.join(to_join(cut), "key", "left_semi").join(to_join(top), "node", "left").select("key", "fp", "node", F.coalesce("component", "node").alias("c"))
+        gathered = entries.groupBy("key").agg(F.collect_list(F.struct("fp", "node", "c")).alias("entries")).where(F.size(F.array_distinct(F.transform("entries", lambda x: x["c"]))) > 1)
+        rest = gathered.select("entries").mapInArrow(_between(STAGE), "a long, b long")
+        rest = written(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        components = joined_up(components, _alike(rest, texts))
+    for table in [*read, edges]:
+        forget(table)
     named = prints.select("doc_id", "digest", node.alias("id")).join(components, "id", "left").select("doc_id", "digest", F.coalesce("component", "id").alias("component"))
     named = written(named)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     keep = named.groupBy("component").agg(F.min(order).alias("keep")).select("component", F.col("keep.doc_id").alias("keep_id"), F.col("keep.digest").alias("keep_digest"))
-    return named.join(keep, "component").select("doc_id", "digest", "component", "keep_id", "keep_digest")
+    return named.join(to_join(keep), "component").select("doc_id", "digest", "component", "keep_id", "keep_digest")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
@@ -281,8 +365,10 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows equal in id and text are one document, of which one row stays; rows that share an id but are unlike
     in text all stay. Empty tables give an empty result; columns may have any names.
     """
-    kept = similar_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest"))).select(F.col("doc_id").alias("_i"), F.col("digest").alias("_d"))
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_d"))
-    # by the digest first, as ids may be null
-    stays = whole.dropDuplicates(["_i", "_d"]).join(kept.withColumnsRenamed({"_i": "_ki", "_d": "_kd"}), (F.col("_d") == F.col("_kd")) & F.col("_i").eqNullSafe(F.col("_ki")), "left_semi")
+    kept = similar_texts(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest")))
+    i, key = F.col("doc_id").cast("long"), ["_n", "_i", "_d"]
+    # keys without nulls, so that rows are dealt out once for both
+    named = [i.isNull().alias("_n"), F.coalesce(i, F.lit(0)).cast("long").alias("_i")]
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *named, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("_d"))
+    stays = whole.dropDuplicates(key).join(to_join(kept.select(*named, F.col("digest").alias("_d"))), key, "left_semi")
     return stays.select("_row.*")

@@ -12,11 +12,12 @@ import tracemalloc
 import types
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelforge.llm import chat, katz, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
+from panelforge.llm import chat, common, katz, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, toxicity
 from panelforge.llm.common import connected_components
 from panelforge.llm.exact_dedup import exact_dedup
 
@@ -531,3 +532,60 @@ def test_pipeline_stages_take_any_rows(spark, docs, empty):
         for d in (docs, empty):
             out = stage(spark, d, "")
             assert out.count() >= 0 and (i == 4 or out.columns == d.columns)
+
+
+def test_whole_texts_are_dealt_out_once_at_most(spark):
+    """Quality rules and mixing join small tables of hosts and sources to texts; SimHash deals rows out by one key."""
+    docs = spark.createDataFrame([(i, f"{i} " + " ".join(f"w{i}x{k}" for k in range(40)), "en", f"s{i % 3}", 9) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")  # as if tables were large
+    try:
+        # of mixing: texts and what is taken, by row; of SimHash: whole rows by id and digest, and of ids alone what is kept (4)
+        for stage, most in ((quality_rules.stage_quality, 0), (mixing.stage_mixing, 2), (simhash.stage_simhash, 5)):
+            out = stage(spark, docs, "")
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert out.count() == 40 or stage is mixing.stage_mixing
+            assert plan.count("Exchange hashpartitioning") <= most, (stage, plan)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_nothing_that_grows_is_broadcast_by_a_guess(spark, monkeypatch):
+    """Postings are 48 rows a text, which Spark takes for one; neither they nor their keys may go through the driver."""
+    monkeypatch.setattr(common, "FEW", 0, raising=False)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{k}" for k in range(60 + i % 2)), "en", "s", 9) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = common.written(docs)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, setting = store.executionsCount(), "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(setting)
+    spark.conf.set(setting, "1g")
+    try:
+        assert simhash.stage_simhash(spark, docs, "").count() == 30
+    finally:
+        spark.conf.set(setting, was)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found, done = [], store.executionsList()
+    for i in range(done.size()):
+        if done.apply(i).executionId() >= before:
+            nodes = store.planGraph(done.apply(i).executionId()).allNodes()
+            found += [n.name() for n in (nodes.apply(k) for k in range(nodes.size())) if n.name().startswith("BroadcastExchange")]
+    assert not found
+
+
+@pytest.mark.parametrize("most", [8, 0])
+def test_stage_verifies_all_candidates_of_a_list(spark, monkeypatch, most):
+    """In lists of one shared byte unlike texts meet alike ones: a forest of all that meet has few of the alike pairs."""
+    rng = random.Random(5)
+    monkeypatch.setattr(simhash, "STAGE", simhash.Index([(0,)], 32, 1, 256))
+    monkeypatch.setattr(simhash, "MOST_PAIRS", most, raising=False)
+    rows = []
+    for i in range(0, 240, 3):
+        ws = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        rows += [(i, " ".join(ws)), (i + 1, " ".join([*ws[:-4], "a", "b", "c", "d"])), (i + 2, " ".join(f"u{rng.randrange(10**6)}" for _ in range(120)))]
+    sets = [simhash.shingle_hashes(t) for _, t in rows]
+    first = [simhash._majority(np.stack([simhash._mix(h, 1000 + i) for i in range(4)], axis=1))[0] for h in sets]
+    alike = {i + 1 for i in range(0, 240, 3) if first[i] == first[i + 1]}
+    assert len(alike) > 20 and all(len(np.intersect1d(sets[i], sets[i - 1])) >= 0.8 * len(np.union1d(sets[i], sets[i - 1])) for i in alike)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {i for i, _ in rows} - {r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()} == alike
