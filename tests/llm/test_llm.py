@@ -589,3 +589,15 @@ def test_stage_verifies_all_candidates_of_a_list(spark, monkeypatch, most):
     assert len(alike) > 20 and all(len(np.intersect1d(sets[i], sets[i - 1])) >= 0.8 * len(np.union1d(sets[i], sets[i - 1])) for i in alike)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {i for i, _ in rows} - {r.doc_id for r in simhash.stage_simhash(spark, docs, "").collect()} == alike
+
+
+def test_a_wrong_declaration_of_reach_is_found(spark):
+    """Templates that say a turn depends on itself alone, but drop or count earlier turns in longer conversations."""
+    drops = lambda ms: chat.chatml(ms[1:] if len(ms) > 2 else ms)
+    late = lambda ms: chat.chatml(ms) + "!" * (len(ms) > 5)
+    drops.reach = late.reach = 0
+    given = spark.createDataFrame([(n, k, "user", f"text {k}") for n in (1, 2, 3, 4, 7, 9) for k in range(n)], "conv_id long, turn long, role string, text string")
+    for template, wrong in ((chat.chatml, set()), (drops, {3, 4, 7, 9}), (late, {7, 9})):
+        out = chat.conversation_digests(chat.format_conversations(given, template)).collect()
+        assert {r.conv_id for r in out if r.rewrites_history} == wrong
+        assert {r.conv_id: r.n_turns for r in out} == {n: n for n in (1, 2, 3, 4, 7, 9)}
